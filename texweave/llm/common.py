@@ -14,20 +14,26 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Materialize ``df`` in the shared checkpoint folder and cut its lineage.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder for what has to outlive executors: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``. Where that is unset, a
-    local session gets a temporary folder; a cluster has to name a shared one.
+    Where that is unset, a local session gets a temporary folder; a cluster has to name one.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    if (folder := sc.getCheckpointDir()) is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="texweave-checkpoint-")
         sc.setCheckpointDir(folder)
+        folder = sc.getCheckpointDir()
+    return folder
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Materialize ``df`` in the shared checkpoint folder and cut its lineage."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
