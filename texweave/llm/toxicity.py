@@ -8,7 +8,7 @@ all maximal segments; extreme-value statistics (lambda from the score distributi
 clean calibration texts) turn a segment's score into an expected number of chance hits, and
 a logistic curve fitted on calibration texts turns the document's hits into a probability.
 
-The model is an array of ``BINS`` floats and six numbers, whatever the corpus size.
+The model is at most ``BINS`` scores and six numbers, whatever the corpus size.
 """
 
 from __future__ import annotations
@@ -16,11 +16,11 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, fold_of, utf8
@@ -40,7 +40,8 @@ _REMEMBERED = 200_000  # words whose scores a worker keeps at hand
 
 @dataclass(frozen=True)
 class Model:
-    scores: np.ndarray  # of each bin, without the toll
+    bins: np.ndarray  # those with a score
+    scores: np.ndarray  # their scores, without the toll
     toll: float
     lam: float
     log_k: float
@@ -62,13 +63,14 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model, self.known = model, {}
+        self.bins = dict(zip(model.bins.tolist(), model.scores.tolist(), strict=True))
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words, known, scores = words_of(text), self.known, self.model.scores
+        words, known, score = words_of(text), self.known, self.bins.get
         if len(known) > _REMEMBERED:
             known.clear()
         for word in set(words).difference(known):
-            known[word] = max(scores[forms(word)].tolist(), key=abs)
+            known[word] = max((score(at, 0.0) for at in forms(word)), key=abs)
         return np.fromiter(map(known.__getitem__, words), np.float64, len(words)) - self.model.toll
 
 
@@ -129,27 +131,28 @@ def _probability(model: Model, surprise: float, n: int) -> float:
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """bin, toxic, and how many of the task's texts have it."""
-    counts = np.zeros((2, BINS), np.int64)
+    """bin, and how many of the task's other and toxic texts have it."""
+    counts = np.zeros((2, BINS), np.int32)
     for batch in batches:
         for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            for at in {at for word in set(words_of(text.as_py())) for at in forms(word)}:
-                counts[toxic, at] += 1  # once a text: repetition is no evidence
-    kind, at = np.nonzero(counts)
-    arrays = [pa.array(at.astype(np.int32)), pa.array(kind.astype(np.int32)), pa.array(counts[kind, at])]
-    yield pa.RecordBatch.from_arrays(arrays, ["bin", "toxic", "n"])
+            # Once a text: repetition is no evidence.
+            counts[toxic, list({at for word in set(words_of(text.as_py())) for at in forms(word)})] += 1
+    at = np.flatnonzero(counts.any(axis=0))
+    arrays = [pa.array(x, pa.int64()) for x in (at, counts[0, at], counts[1, at])]
+    yield pa.RecordBatch.from_arrays(arrays, ["bin", "other", "toxic"])
 
 
-def _log_odds(counts: np.ndarray, texts: np.ndarray) -> np.ndarray:
-    """Log-odds of each bin between the two kinds of text, shrunk by their standard error.
+def _log_odds(other: str, toxic: str, texts: dict[int, int]) -> Column:
+    """Log-odds of a bin between the two kinds of text, shrunk by their standard error.
 
     The Dirichlet prior gives each bin ``PRIOR_TEXTS`` texts, dealt to the kinds by their size: no association.
     """
-    seen = counts + PRIOR_TEXTS * (texts / texts.sum())[:, None]
-    rest = texts[:, None] + PRIOR_TEXTS - seen
-    odds = np.log(seen) - np.log(np.maximum(rest, 0.5))
-    delta, error = odds[1] - odds[0], np.sqrt((1 / seen).sum(axis=0))
-    return np.where(counts.any(axis=0), np.sign(delta) * np.maximum(0, np.abs(delta) - CAUTION * error), 0.0)
+    n = texts[0] + texts[1]
+    seen = [F.col(c) + PRIOR_TEXTS * texts[k] / n for k, c in ((0, other), (1, toxic))]
+    rest = [F.greatest(texts[k] + PRIOR_TEXTS - seen[k], F.lit(0.5)) for k in (0, 1)]
+    delta = F.log(seen[1]) - F.log(rest[1]) - F.log(seen[0]) + F.log(rest[0])
+    error = F.sqrt(1 / seen[0] + 1 / seen[1])
+    return F.signum(delta) * F.greatest(F.lit(0.0), F.abs(delta) - CAUTION * error)
 
 
 def _lambda(scores: np.ndarray, weights: np.ndarray) -> float:
@@ -192,21 +195,23 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     sample = checkpoint(sample)
     once = checkpoint(once).select("_first").distinct()  # no more rows than the sample
     sample = sample.join(F.broadcast(once), F.col("doc_id") == F.col("_first"), "left_semi")
-    counts = np.zeros((2, BINS))
     counted = sample.where(F.col("fold").isin(*_FOLDS_COUNT)).select("text", "_toxic")
     texts = dict(map(tuple, counted.groupBy("_toxic").count().collect()))
-    counted = counted.mapInArrow(_count_batches, "bin int, toxic int, n long").groupBy("bin", "toxic").agg(F.sum("n").alias("n"))
-    found = counted.toPandas()  # at most 2 * BINS rows
-    counts[found["toxic"], found["bin"]] = found["n"]
     kinds = dict(map(tuple, sample.groupBy("_toxic").count().collect()))
     n, toxic = sum(kinds.values()), kinds.get(1, 0)
-    if not counts.sum(axis=1).all() or len(kinds) < 2:
-        share = (toxic + 0.5) / (n + 2)
-        return Model(np.zeros(BINS), TOLL, 1.0, 0.0, (math.log(share / (1 - share)), 0.0, 0.0))
-    raw = _log_odds(counts, np.array([texts[0], texts[1]], float))
-    clean = counts[0] / counts[0].sum()
+    share = (toxic + 0.5) / (n + 2)
+    flat = (math.log(share / (1 - share)), 0.0, 0.0)
+    none = np.zeros(0)
+    if len(texts) < 2:
+        return Model(none.astype(np.int64), none, TOLL, 1.0, 0.0, flat)
+    bins = counted.mapInArrow(_count_batches, "bin long, other long, toxic long").groupBy("bin").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
+    bins = checkpoint(bins.withColumn("score", _log_odds("other", "toxic", texts)))
+    every = bins.agg(F.sum("other")).first()[0] or 1
+    found = bins.where("score <> 0").orderBy("bin").toArrow()  # at most BINS rows, in fact the few with evidence
+    raw, clean = found["score"].to_numpy(), found["other"].to_numpy() / every
     toll = max(TOLL, 2 * float((clean * raw).sum()))
-    first = Model(raw, toll, _lambda(raw - toll, clean), 0.0, (0.0, 0.0, 0.0))
+    weights = np.append(clean, 1 - clean.sum())
+    first = Model(found["bin"].to_numpy(), raw, toll, _lambda(np.append(raw, 0.0) - toll, weights), 0.0, (0.0, 0.0, 0.0))
 
     def measured(model: Model):
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,17 +227,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                 yield pa.RecordBatch.from_arrays([batch.column(1), *columns], ["toxic", "surprise", "n", "best"])
 
         held = sample.where(F.col("fold") == _FOLD_CALIBRATE).select("text", "_toxic")
-        return held.mapInArrow(each, "toxic int, surprise double, n double, best double").toPandas()  # 4 numbers a sampled row
+        return held.mapInArrow(each, "toxic int, surprise double, n double, best double").toArrow().to_pandas()  # 4 numbers a sampled row
 
     calm = measured(first)
     if calm["toxic"].nunique() < 2:
-        share = (toxic + 0.5) / (n + 2)
-        return Model(raw, toll, first.lam, 0.0, (math.log(share / (1 - share)), 0.0, 0.0))
+        return replace(first, weights=flat)
     log_k = float(calm.loc[calm["toxic"] == 0, "best"].mean()) - 0.5772156649  # the mean of a Gumbel law less Euler's constant
-    model = Model(raw, toll, first.lam, log_k, (0.0, 0.0, 0.0))
+    model = replace(first, log_k=log_k)
     held = measured(model).sort_values(["surprise", "n", "toxic"])
     x = np.column_stack([np.ones(len(held)), np.log1p(held["surprise"]), np.log1p(held["n"])])
-    return Model(raw, toll, model.lam, log_k, tuple(_logistic(x, held["toxic"].to_numpy(float)).tolist()))
+    return replace(model, weights=tuple(_logistic(x, held["toxic"].to_numpy(float)).tolist()))
 
 
 PASSAGES = "array<struct<start: int, end: int, score: double>>"
@@ -244,7 +248,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Passages are half-open ranges of word indexes, words being runs of letters, digits and
     characters beyond ASCII. Null and empty texts have no passages and still get a score.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(tuple(vars(model).values()))  # BINS floats and six more
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(vars(model).values()))  # at most BINS scores
     passage = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])
     kind = pa.struct([("score", pa.float64()), ("passages", pa.list_(passage))])
 
