@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.image import encode_png
 from ..sources.readers import table
@@ -56,7 +57,7 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _picture(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     kinds = np.array([[1, 0], [0, 0], [0.3, 120], [0.3, -120]])
     for keys, vectors in batches:

@@ -70,7 +70,7 @@ def files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return rows.withColumn("stem", F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(t.StringType())
 def unescaped(text: pd.Series) -> pd.Series:
     return text.map(html.unescape, na_action="ignore")
 
