@@ -2,7 +2,7 @@
 
 Fit, on a bounded sample of labelled rows: in how many toxic and other texts each word and each stem
 (prefix of 4 to 7 bytes, for languages that inflect) occurs, hashed into a fixed
-number of bins, give log-odds under a Dirichlet prior that holds no association. Log-odds shrink by their standard error, a word takes the strongest of its
+number of bins, give log-odds under a Dirichlet prior that holds no association. Log-odds shrink by their standard error or a least effect, a word takes the strongest of its
 forms, and every word pays a small toll, so that a clean text drifts downwards. A linear scan finds
 all maximal segments; extreme-value statistics (lambda from the score distribution, K from
 clean calibration texts) turn a segment's score into an expected number of chance hits, and
@@ -17,6 +17,7 @@ import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,7 @@ BINS = 1 << 20
 SAMPLE_ROWS = 50_000  # labelled rows that the fit takes at most, those with the smallest hash of doc_id
 PRIOR_TEXTS = 1.0  # strength of the Dirichlet prior, in texts that have the word
 CAUTION = 2.5  # standard errors by which log-odds shrink towards none
+EFFECT = 1.0  # log-odds that count as none however sure: frequent words differ a little between any two sets of texts
 TOLL = 0.05  # what each word costs a segment at least
 SIGNIFICANT = 0.05  # expected chance hits in the text below which a passage counts
 _FOLDS_COUNT, _FOLD_CALIBRATE = (1, 2, 3), 4
@@ -71,7 +73,10 @@ class Scorer:
             known.clear()
         for word in set(words).difference(known):
             known[word] = max((score(at, 0.0) for at in forms(word)), key=abs)
-        return np.fromiter(map(known.__getitem__, words), np.float64, len(words)) - self.model.toll
+        scores = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
+        if len(words) > 1:  # a word said over and over is said once
+            scores[1:][np.fromiter(map(eq, words[1:], words), bool, len(words) - 1)] = 0.0
+        return scores - self.model.toll
 
 
 def best_segment(scores: np.ndarray) -> float:
@@ -152,7 +157,7 @@ def _log_odds(other: str, toxic: str, texts: dict[int, int]) -> Column:
     rest = [F.greatest(texts[k] + PRIOR_TEXTS - seen[k], F.lit(0.5)) for k in (0, 1)]
     delta = F.log(seen[1]) - F.log(rest[1]) - F.log(seen[0]) + F.log(rest[0])
     error = F.sqrt(1 / seen[0] + 1 / seen[1])
-    return F.signum(delta) * F.greatest(F.lit(0.0), F.abs(delta) - CAUTION * error)
+    return F.signum(delta) * F.greatest(F.lit(0.0), F.abs(delta) - F.greatest(F.lit(EFFECT), CAUTION * error))
 
 
 def _lambda(scores: np.ndarray, weights: np.ndarray) -> float:
@@ -232,7 +237,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     calm = measured(first)
     if calm["toxic"].nunique() < 2:
         return replace(first, weights=flat)
-    log_k = float(calm.loc[calm["toxic"] == 0, "best"].mean()) - 0.5772156649  # the mean of a Gumbel law less Euler's constant
+    # The median of a Gumbel law lies -ln(ln 2) above its place; unlike the mean, it bears a few mislabelled texts.
+    log_k = float(calm.loc[calm["toxic"] == 0, "best"].median()) + math.log(math.log(2))
     model = replace(first, log_k=log_k)
     held = measured(model).sort_values(["surprise", "n", "toxic"])
     x = np.column_stack([np.ones(len(held)), np.log1p(held["surprise"]), np.log1p(held["n"])])
