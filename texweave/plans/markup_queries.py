@@ -155,7 +155,7 @@ def vocab_lookup(spark, sf_dir):
 
 
 @query(rf"""with r as (select length(latex) / greatest(len(t), 1.0) as ratio, len(t) as n from (select latex, regexp_extract_all(latex, '\\[a-zA-Z]+|[^\s]') as t from {LATEX_SQL}))
-  select avg(ratio) as ratio_mean, stddev_samp(ratio) as ratio_std, quantile_cont(ratio, 0.5) as ratio_median, 0.0 as unk_rate, 0.0 as unk_share, avg(n) as tokens_per_text from r""")
+  select avg(ratio) as ratio_mean, stddev_samp(ratio) as ratio_std, quantile_cont(ratio, 0.5) as ratio_median, 0.0::double as unk_rate, 0.0::double as unk_share, avg(n) as tokens_per_text from r""")
 def compression_stats(spark, sf_dir):
     rows = latex(spark, sf_dir).select("latex", F.transform(T.tokens(F.col("latex")), lambda t: F.lit(2)).alias("ids"))
     return subwords.compression(rows, "latex", "ids")
