@@ -1,0 +1,316 @@
+"""The corpus operators against brute force, and their edge cases: nulls, empty and long texts, ties, repeats, clashing names."""
+
+import collections
+import hashlib
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from texweave.llm import chat, decontaminate, html, mixing, pii, quality, sharding, simhash, toxicity, urls
+from texweave.llm.queries import ORACLES, QUERIES
+
+DIR = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+CLEAN = "the quick brown fox jumps over the lazy dog and runs far away from the old farm house by the river today"
+
+
+def documents(spark, rows):
+    """Documents with extra columns whose names the operators use inside."""
+    rows = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    return rows.select("*", *(F.lit(7).alias(c) for c in ("size", "fp", "score", "shard", "spans", "_id", "_hash", "s", "target")))
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    long = " ".join(f"w{k % 5000}" for k in range(30_000))
+    texts = [(1, CLEAN), (2, CLEAN), (2, CLEAN), (3, None), (4, ""), (5, "   \n\t"), (6, long), (None, "no id here"), (8, "Ünïcode\u00a0tëxt 中文 \U0001f600"), (9, "one")]
+    return documents(spark, [(i, t, None if i == 4 else "en", None if i in (5, 6) else "b" if i == 9 else "a", len(t or "")) for i, t in texts])
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    return {n: spark.read.parquet(f"{DIR}/{n}.parquet") for n in ("documents", "benchmark", "labels", "pages", "conversations")}
+
+
+def texts_of(df):
+    return [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_matches_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "conversations"):
+        con.execute(f"create view {t} as select * from '{DIR}/{t}.parquet'")
+    got = QUERIES[name](spark, DIR)
+    columns = sorted(got.columns)
+    found = con.execute(ORACLES[name])
+    at = [[d[0] for d in found.description].index(c) for c in columns]
+    assert sorted(str(tuple(r[c] for c in columns)) for r in got.collect()) == sorted(str(tuple(r[k] for k in at)) for r in found.fetchall())
+
+
+# 1
+
+
+def test_mixing(spark, odd, tables):
+    for docs in (odd, tables["documents"]):
+        rows = mixing.mix_counts(docs).collect()
+        sizes = collections.Counter((i, len(WORD.findall(t or ""))) for i, t in texts_of(docs))
+        assert collections.Counter((r.doc_id, r["size"]) for r in rows) == sizes
+        assert all(r.taken <= 3 * r["size"] for r in rows)
+        total = sum(r["size"] for r in rows)
+        assert abs(sum({r.source: r.target for r in rows}.values()) - total) < 1e-6 * total + 1e-9
+        again = mixing.mix_counts(docs.repartition(3)).collect()
+        assert sorted(map(str, again)) == sorted(map(str, rows))
+    taken = collections.Counter()
+    for r in rows:
+        taken[r.source] += r.taken
+    assert all(abs(taken[r.source] - r.target) <= 0.05 * r.target + 300 for r in rows)
+    blocks = mixing.mixed_blocks(tables["documents"]).agg(F.sum("n_words")).first()[0]
+    assert blocks == sum(taken.values())
+
+
+def test_targets_fill_and_share_the_excess():
+    assert mixing.targets([100, 100, 100], [5, 2, 1]) == pytest.approx([187.5, 75, 37.5])
+    assert mixing.targets([10, 290, 0], [5, 2, 1]) == pytest.approx([30, 270, 0])
+
+
+def test_permutation_is_one(spark):
+    for n in (1, 2, 7, 1000):
+        got = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), F.lit(5)).alias("p")).collect()
+        assert sorted(r.p for r in got) == list(range(n))
+
+
+# 2
+
+
+def test_contamination_edges(spark, odd):
+    items = [(1, " ".join(CLEAN.upper().split()[:12])), (2, "ONE!"), (3, None), (4, ""), (None, "no id here")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = {r.doc_id: r for r in decontaminate.contamination(odd, bench).collect()}
+    assert decontaminate.contamination(odd, bench).count() == 10
+    assert (rows[1].n_words, rows[1].n_hit, rows[1].n_items) == (22, 12, 1)
+    assert rows[9].items_sha256 == hashlib.sha256(b"2").hexdigest() and rows[None].n_hit == 3
+    assert rows[3].n_words == 0 and not rows[3].contaminated
+    cut = {r.doc_id: r for r in decontaminate.decontaminate(odd, bench).collect()}
+    assert cut[1].text == " " + " ".join(CLEAN.split()[12:]) and cut[1].n_chars == len(cut[1].text) and cut[3].text is None
+    none = decontaminate.contamination(odd, bench.limit(0)).where("contaminated").count()
+    assert none == 0
+
+
+def test_fm_index_finds_all():
+    rng = np.random.default_rng(3)
+    docs = [rng.integers(0, 4, n) for n in (0, 1, 30, 200, 200)]
+    docs[4] = docs[3].copy()
+    windows = {n: np.unique(rng.integers(1, 4, (20, n)), axis=0) for n in (1, 3, 5)}
+    items = {n: [[f"{n}:{k}"] for k in range(len(w))] for n, w in windows.items()}
+    for doc, (spans, found) in zip(docs, decontaminate.search_shard(docs, decontaminate.Phrases([], windows, items)), strict=True):
+        hit, want = set(), set()
+        for n, rows in windows.items():
+            for k, row in enumerate(rows):
+                for a in range(len(doc) - n + 1):
+                    if (doc[a : a + n] == row).all():
+                        hit |= set(range(a, a + n))
+                        want.add(f"{n}:{k}")
+        assert {p for a, b in spans for p in range(a, b)} == hit and set(found) == want
+
+
+# 3
+
+
+def test_chat_collapses_prefixes(spark):
+    a = [("user", "hi"), ("assistant", "hello"), ("user", None)]
+    rows = [(1, k, r, t) for k, (r, t) in enumerate(a)] + [(2, k, r, t) for k, (r, t) in enumerate(a[:2])] + [(3, k, r, t) for k, (r, t) in enumerate(a)]
+    rows += [(4, 0, "user", "hi"), (4, 1, "assistant", "other"), (4, 1, "assistant", "other"), (None, 0, "user", "x"), (5, None, None, "lost")]
+    got = {r.conv_id: r for r in chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert sorted(got) == [1, 4, 5] and got[1].copies == 2 and got[4].n_turns == 2
+    assert got[1].text == "<|user|>\nhi\n<|assistant|>\nhello\n<|user|>\n"
+
+
+# 4
+
+
+def test_html_blocks():
+    page = """<html><head><title>T</title></head><body><nav><a href=x>Home</a></nav><div class="cookie-notice">We use cookies</div>
+    <article><h1>Head &amp; line</h1><p>The  text of the
+    article is here and it goes on for a while so that it is long enough to judge.<p>Short.<div class=comments>bad words</div></article>
+    <form>Name <input></form><footer>&copy; x</footer><script>var a="<p>no</p>"</script></body></html>"""
+    want = "Head & line\n\nThe text of the article is here and it goes on for a while so that it is long enough to judge.\n\nShort."
+    assert html.main_text(page) == want
+    assert html.main_text(None) == html.main_text("") == "" and html.main_text("plain words") == "plain words"
+
+
+def test_html_of_the_pages(spark, tables):
+    rows = {r.page_id: r for r in html.extract(tables["pages"]).collect()}
+    for r in tables["pages"].collect():
+        text = rows[r.page_id].text
+        assert rows[r.page_id].n_chars == len(text) and "<p>" not in text and "track(" not in text
+
+
+# 5
+
+
+def brute_simhash(text):
+    w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    n = min(3, len(w))
+    h = [xxhash.xxh64_intdigest(" ".join(w[k : k + n]).encode(), 42) for k in range(len(w) - n + 1)] if w else []
+    return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
+
+
+def test_simhash(spark, odd, tables):
+    for docs in (odd, tables["documents"]):
+        rows = texts_of(docs)
+        prints = [brute_simhash(t) for _, t in rows]
+        label = [np.inf if i is None else i for i, _ in rows]
+        near = np.array([[(a ^ b).bit_count() <= 3 for b in prints] for a in prints])
+        for _ in rows:
+            label = [min(x for x, n in zip(label, line, strict=True) if n) for line in near]
+        want = collections.Counter((i, f"{p:016x}", None if c == np.inf else c) for (i, _), p, c in zip(rows, prints, label, strict=True))
+        assert collections.Counter(tuple(r) for r in simhash.near_duplicate_groups(docs).collect()) == want
+    kept = simhash.keep_one_of_each(odd)
+    assert kept.columns == odd.columns and kept.where("doc_id in (1, 2)").count() == 1
+
+
+# 6
+
+
+def test_segments():
+    def brute(s, a, b, least):
+        best, at = 0, None
+        for i in range(a, b):
+            for j in range(i + 1, b + 1):
+                if sum(s[i:j]) > best + 1e-9:
+                    best, at = sum(s[i:j]), (i, j)
+        if at is None:
+            return []
+        return brute(s, a, at[0], least) + [at] * (best >= least) + brute(s, at[1], b, least)
+
+    rng = np.random.default_rng(0)
+    for _ in range(100):
+        s = np.round(rng.normal(-0.3, 1, rng.integers(0, 20)), 3)
+        assert [x[:2] for x in toxicity.segments(s, 0.5)] == brute(s.tolist(), 0, len(s), 0.5)
+
+
+def test_toxicity_on_held_out(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    rows = toxicity.toxicity(docs, labels).join(labels, "doc_id").collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+    held = [r for r in rows if r.held_out]
+    assert sum(r.predicted == r.toxic for r in held) / len(held) > 0.95
+
+
+def test_toxicity_edges(spark, odd, tables):
+    scored = toxicity.toxicity(odd, tables["labels"].limit(0))
+    assert scored.count() == 10 and scored.where("score between 0 and 1").count() == 10
+    assert toxicity.drop_toxic(odd, tables["labels"].limit(0)).columns == odd.columns
+
+
+# 7
+
+
+def test_quality_counts(spark, odd):
+    def base(t):
+        w, lines = WORD.findall(t or ""), [x for x in (t or "").split("\n") if WORD.search(x)]
+        at = collections.defaultdict(list)
+        for k in range(len(w) - 7):
+            at[tuple(w[k : k + 8])].append(k)
+        hit = {p for v in at.values() if len(v) > 1 for k in v for p in range(k, k + 8)}
+        return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(hit)
+
+    repeated = "a b c d e f g h\n" * 3 + "x # y"
+    docs = odd.unionByName(documents(spark, [(20, repeated, "en", "a", 0)]))
+    want = collections.Counter((i, *base(t)) for i, t in texts_of(docs))
+    got = quality.quality(docs).collect()
+    assert collections.Counter(tuple(r)[:6] for r in got) == want
+    assert {r.doc_id: r.base_failed for r in got}[20] and not {r.doc_id: r.base_failed for r in got}[1]
+
+
+def test_boilerplate_lines(spark):
+    line = "subscribe to our news letter now and get the best offers of the week by mail"
+    rows = [(k, f"{line} \n{' '.join(f'{chr(97 + k)}w{chr(97 + j)}' for j in range(25 if k % 2 else 8))}", "en", "h", 0) for k in range(10)]
+    got = {r.doc_id: r for r in quality.quality(documents(spark, rows)).collect()}
+    assert all(r.boiler_words == 16 and r.kept == (k % 2 == 1) for k, r in got.items())
+    assert line not in quality.without_boilerplate(documents(spark, rows)).first().text
+
+
+# 8
+
+
+def test_sharding(spark, odd, tables):
+    for docs in (odd, tables["documents"]):
+        rows = sharding.assign(docs).collect()
+        want = collections.Counter((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in texts_of(docs))
+        assert collections.Counter((r.doc_id, r["size"], r.text_crc32) for r in rows) == want
+        for k in range(40):
+            assert sorted(r.slot for r in rows if r.shard == k) == list(range(sum(r.shard == k for r in rows)))
+    loads = collections.Counter()
+    for r in rows:
+        loads[r.shard] += r["size"]
+    assert max(loads.values()) - sum(loads.values()) / 40 <= max(r["size"] for r in rows)
+
+
+# 9
+
+
+def test_url_rules(spark):
+    given = ["http://A.example.NET/en/x", "http://net/", "https://b.org/fr/", "https://b.org/fr", "ftp://example.com/de/1?q", "nope", None, "x://h?a/b", "http://xnet/en/"]
+    rows = spark.createDataFrame(list(enumerate(given)), "page_id int, url string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.verdicts(rows).collect()}
+    assert got[0] == ("a.example.net", "/en/x", "example.net/en/", "allow") and got[1] == ("net", "/", "net/", "block")
+    assert got[2][2] == "org/fr/" and got[3][2] is None and got[4] == ("example.com", "/de/1", "example.com/de/", "block")
+    assert got[5][:2] == got[6][:2] == ("", "") and got[7][:2] == ("h", "") and got[8][2] is None
+
+
+def test_url_trees_learn(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = urls.verdicts(pages, judge_all=True).where("rule is not null").collect()
+    assert sum((r.score >= 0.5) == (r.verdict == "block") for r in rows) / len(rows) > 0.9
+
+
+# 10
+
+
+def test_pii_surrogates(spark):
+    texts = ["Mail Ann.Lee@corp.com or ann.lee@corp.com, call +1 (017) 555-7713!", "card 4111 1111 1111 1111, 4111111111111111; ip 10.1.2.3", 'token = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda"', "Frau Müller met Mr. John Smith; Mr. John Smith left", None, ""]
+    docs = documents(spark, [(k, t, "en", "a", 0) for k, t in enumerate(texts)])
+    out = {r.doc_id: r for r in pii.pseudonymize(docs).collect()}
+    for gone in ("corp.com", "555-7713", "4111", "10.1.2.3", "f3ef4d6b", "Müller", "Smith"):
+        assert all(gone not in (r.text or "") for r in out.values())
+    mails = re.findall(r"\S+@example.org", out[0].text)
+    assert mails[0] == mails[1].rstrip(",") and re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}!", out[0].text)
+    cards = re.findall(r"\d{4} \d{4} \d{4} \d{4}|\d{16}", out[1].text)
+    assert cards[0].replace(" ", "") == cards[1] and pii._check_digit(cards[1][:-1]) == cards[1][-1]
+    assert len(set(re.findall(r"Mr\. (\w+ \w+)", out[3].text))) == 1 and out[4].text is None and out[5].n_entities == 0
+
+
+def test_pii_distinct(spark):
+    names = [f"Mr {a}{b} {c}{d}" for a in "ABCDEFGH" for b in "aei" for c in "KLMN" for d in "ou"]
+    docs = documents(spark, [(k, n, "en", "a", 0) for k, n in enumerate(names)])
+    assert len({r.text for r in pii.pseudonymize(docs).collect()}) == len(names)
+
+
+# all
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_empty_tables(spark, tables, tmp_path, name):
+    for n, df in tables.items():
+        df.limit(0).write.parquet(f"{tmp_path}/{n}.parquet")
+    assert QUERIES[name](spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline(spark, tables):
+    docs, seen = tables["documents"], {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, DIR)
+        if name != "sharding":
+            assert out.columns == docs.columns
+        seen[name] = docs = spark.createDataFrame(out.collect(), out.schema)
+    assert seen["near_duplicates"].count() == simhash.near_duplicate_groups(seen["toxicity"]).agg(F.count_distinct("component_id")).first()[0]
+    assert decontaminate.contamination(seen["decontamination"], tables["benchmark"]).where("contaminated").count() == 0
+    assert seen["sharding"].count() == seen["mixing"].count() == corpus_pipeline.run(spark, DIR).count()
