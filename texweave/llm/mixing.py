@@ -26,8 +26,9 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MOST_PASSES = 3
 BLOCK_WORDS = 128
 SHARD_SLOTS = 1024
-BUCKET_ROWS = 4096  # documents whose places are summed in one window, about
+BUCKET_ROWS = 512  # documents whose places are summed in one window, about
 MOST_SOURCES = 100_000
+SLOTS_PER_TASK = 16_384
 _ROUNDS = 24
 _UNIT = float(1 << 53)
 
@@ -47,7 +48,7 @@ def targets(sizes: list[int], weights: list[float], passes: float = MOST_PASSES)
     left, weight, out = float(sum(sizes)), sum(weights), [0.0] * len(sizes)
     order = sorted(range(len(sizes)), key=lambda k: passes * sizes[k] / weights[k])
     for k in order:  # those that fill up first come first
-        out[k] = min(passes * sizes[k], left * weights[k] / weight) if weight > 0 else 0.0
+        out[k] = min(float(passes * sizes[k]), left * weights[k] / weight)
         left, weight = left - out[k], weight - weights[k]
     return out
 
@@ -144,6 +145,8 @@ def slots(df: DataFrame, sources: list[Source], seed: int = 0, shard_slots: int
         high = F.least(F.col("a") + F.col("u"), F.col("to.x") + F.col("to.d"))
         fill = fill.where(high > low).select("shard", F.col("to.s").alias("s"), (F.col("to.t") + low - F.col("to.x")).alias("first"), (high - low).alias("n"))
         kept = kept.union(fill)
+    # Few short rows become many: without a number of partitions they would meet in a few tasks.
+    kept = kept.repartition(max(1, -(-count // SLOTS_PER_TASK)), "shard", "s")
     each = kept.withColumn("j", F.explode(F.expr("sequence(first, first + n - 1)"))).join(known, "s")
     block = permuted(F.col("j") % F.col("blocks"), F.col("blocks"), F.xxhash64("s", F.lit(seed)))
     return each.select("shard", "s", "j", block.alias("block"))
