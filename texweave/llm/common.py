@@ -6,7 +6,9 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
+STRETCH_ROWS = 4096  # rows whose sums one window runs up
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -49,3 +51,21 @@ def fold_of(doc_id: Column) -> Column:
 
 def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
+
+
+def sums_before(rows: DataFrame, keys: list[str], at: str, value: str, name: str, top: int, width: int = STRETCH_ROWS) -> DataFrame:
+    """``rows`` with ``name``: the sum of ``value`` over the rows of equal ``keys`` with a smaller ``at``.
+
+    ``at`` runs from 0 to ``top`` and differs within the keys. Sums run in stretches of ``width`` and then,
+    in the same way, over the stretches, so that no task holds all rows of a key.
+    """
+    if top < width:
+        past = W.partitionBy(*keys or [F.lit(0)]).orderBy(at).rowsBetween(W.unboundedPreceding, -1)
+        return rows.withColumn(name, F.coalesce(F.sum(value).over(past), F.lit(0)))
+    stretch, inner, base = f"{at}_", f"{value}_", f"{name}_"
+    cut = rows.withColumn(stretch, F.floor(F.col(at) / width))
+    whole = cut.groupBy(*keys, stretch).agg(F.sum(value).alias(inner))
+    whole = sums_before(whole, keys, stretch, inner, base, top // width, width).select(*keys, stretch, base)
+    past = W.partitionBy(*keys, stretch).orderBy(at).rowsBetween(W.unboundedPreceding, -1)
+    out = cut.withColumn(name, F.coalesce(F.sum(value).over(past), F.lit(0))).join(whole, [*keys, stretch])
+    return out.withColumn(name, F.col(name) + F.col(base)).drop(stretch, base)

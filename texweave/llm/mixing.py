@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WORD, checkpoint, word_count
+from .common import WORD, checkpoint, sums_before, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_PASSES = 3
@@ -95,8 +95,7 @@ def pieces(sizes: DataFrame, sources: list[Source], block_words: int = BLOCK_WOR
     buckets = max(16, -(-total // BUCKET_ROWS) if total else 16)
     rows = sizes.where("size > 0").withColumn("_bucket", F.pmod(F.col("_row._key"), F.lit(buckets)))
     per = rows.groupBy("s", "_bucket").agg(F.sum("size").alias("_in"))
-    before = W.partitionBy("s").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    per = per.select("s", "_bucket", F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_base"))
+    per = sums_before(per, ["s"], "_bucket", "_in", "_base", buckets).drop("_in")
     inside = W.partitionBy("s", "_bucket").orderBy("_row").rowsBetween(W.unboundedPreceding, -1)
     placed = rows.withColumn("_start", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(per, ["s", "_bucket"])
     placed = placed.withColumn("_start", F.col("_start") + F.col("_base")).withColumn("_end", F.col("_start") + F.col("size"))
@@ -124,15 +123,15 @@ def slots(df: DataFrame, sources: list[Source], seed: int = 0, shard_slots: int
     picked = F.element_at(F.array(*(F.lit(s.number) for s in use)), picked + 1)
     drawn = spark.range(count).select(F.floor(F.col("id") / shard_slots).alias("shard"), picked.alias("s"))
     drawn = checkpoint(drawn.groupBy("shard", "s").agg(F.count("*").alias("n")))
-    past = W.partitionBy("s").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
-    drawn = drawn.withColumn("c", F.coalesce(F.sum("n").over(past), F.lit(0)))
+    shards = -(-count // shard_slots)
+    drawn = sums_before(drawn, ["s"], "shard", "n", "c", shards)
     known = _table(df, sources).select("s", "blocks", "quota")
     drawn = drawn.join(known, "s").withColumn("kept", F.least(F.col("c") + F.col("n"), "quota") - F.least("c", "quota"))
     drawn = checkpoint(drawn)
     kept = drawn.where("kept > 0").select("shard", "s", F.col("c").alias("first"), F.col("kept").alias("n"))
     # Draws beyond a quota, shard after shard, fill what other sources lack, source after source.
     over = drawn.groupBy("shard").agg(F.sum(F.col("n") - F.col("kept")).alias("u")).where("u > 0")
-    over = over.withColumn("a", F.coalesce(F.sum("u").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    over = sums_before(over, [], "shard", "u", "a", shards)
     total = {r.s: r.n for r in drawn.groupBy("s").agg(F.sum("kept").alias("n")).collect()}  # one row a source
     lacking, at = [], 0
     for s in use:
