@@ -4,7 +4,8 @@ Every row has a 64-bit key: 40 bits of its text's md5 and 24 bits of its doc_id'
 equal texts are neighbours in key order and yet no key is heavy. Round after round, the
 bytes below candidate boundaries (multiples of a power of two inside the intervals that
 still hold a splitter) are counted exactly over all partitions, until each splitter is known
-to the tolerance. The rows are then exchanged once, by shard and stretch of the shard.
+to the tolerance. The rows are then exchanged once, by ranges of the key order, and numbered
+from their places in the ranges.
 
 A round sends at most ``2 ** STEP_BITS`` sums for each splitter to the driver.
 """
@@ -21,7 +22,6 @@ SHARDS = 40
 ROW_BYTES = 16  # what a row costs besides its text
 STEP_BITS = 12
 KEY_BITS = 63  # keys are non-negative longs
-STRETCH_ROWS = 50_000  # rows that one window numbers, about
 
 
 def _bits(value: Column, bits: int) -> Column:
@@ -79,21 +79,21 @@ def assign(docs: DataFrame, shards: int = SHARDS, tolerance: int = 0) -> DataFra
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     body = F.coalesce("text", F.lit("")).cast("binary")
-    rows = checkpoint(rows.select("doc_id", (F.octet_length(body) + ROW_BYTES).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), shard_key(F.col("text"), F.col("doc_id")).alias("_key")))
+    size = (F.octet_length(body) + ROW_BYTES).cast("long").alias("size")
+    key = shard_key(F.col("text"), F.col("doc_id")).alias("_key")
+    rows = checkpoint(rows.select("doc_id", size, F.crc32(body).alias("text_crc32"), key, F.monotonically_increasing_id().alias("_id")))
     starts = splitters(rows, shards, tolerance)
-    n = rows.count()
-    stretches = max(1, -(-n // (shards * STRETCH_ROWS)))
     edges = F.array(*map(F.lit, starts)).cast("array<long>")  # one number a shard
-    rows = rows.withColumn("shard", F.size(F.filter(edges, lambda e: e <= F.col("_key"))) if starts else F.lit(0))
-    low = F.element_at(F.array(*map(F.lit, [0, *starts])).cast("array<long>"), F.col("shard") + 1)
-    high = F.element_at(F.array(*map(F.lit, [*starts, (1 << KEY_BITS) - 1])).cast("array<long>"), F.col("shard") + 1)
-    part = F.floor((F.col("_key") - low) / F.greatest(high - low, F.lit(1)) * stretches)
-    rows = rows.withColumn("_part", F.least(part, F.lit(stretches - 1)))
+    shard = F.size(F.filter(edges, lambda e: e <= F.col("_key"))) if starts else F.lit(0)
+    # The one exchange. _id makes rows distinct, so that a heavy key spreads over tasks, too.
+    order = ["_key", "doc_id", "size", "text_crc32", "_id"]
+    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
+    sorted_ = sorted_.select("doc_id", "size", "text_crc32", shard.alias("shard"), F.shiftright("_place", 33).alias("_part"), (F.col("_place") % (1 << 33)).alias("_at"))
+    sorted_ = checkpoint(sorted_)
+    held = sorted_.groupBy("shard", "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
     before = W.partitionBy("shard").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    base = rows.groupBy("shard", "_part").agg(F.count("*").alias("_n"))
-    base = base.select("shard", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    inside = W.partitionBy("shard", "_part").orderBy("_key", "doc_id", "size", "text_crc32")
-    out = rows.withColumn("_at", F.row_number().over(inside) - 1).join(base, ["shard", "_part"])
+    base = held.select("shard", "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_base"))
+    out = sorted_.join(F.broadcast(base), ["shard", "_part"])  # as many rows as partitions and shards at most
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("_base") + F.col("_at")).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
