@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from texweave.llm import chat, decontaminate, html, mixing, pii, quality, sharding, simhash, toxicity, urls
+from texweave.llm.common import sums_before
 from texweave.llm.queries import ORACLES, QUERIES
 
 DIR = "/root/testdata/sf0.001"
@@ -86,6 +87,17 @@ def test_permutation_is_one(spark):
         assert sorted(r.p for r in got) == list(range(n))
 
 
+def test_sums_before_in_levels(spark):
+    values = [(k % 2, k // 2, k * k % 17) for k in range(200) if k % 5]
+    rows = spark.createDataFrame(values, "s int, at long, n long")
+    for keys in (["s"], []):
+        given = rows if keys else rows.where("s = 0")
+        want = {(s, a): sum(n for t, b, n in values if t == s and b < a) for s, a, _ in values if keys or s == 0}
+        for width in (4, 4096):
+            got = sums_before(given, keys, "at", "n", "c", 100, width).collect()
+            assert {(r.s, r.at): r.c for r in got} == want and len(got) == len(want)
+
+
 # 2
 
 
@@ -254,6 +266,14 @@ def test_sharding(spark, odd, tables):
     assert max(loads.values()) - sum(loads.values()) / 40 <= max(r["size"] for r in rows)
 
 
+def test_sharding_of_a_heavy_text(spark):
+    docs = documents(spark, [(k if k % 3 else None, CLEAN, "en", "a", 0) for k in range(600)])
+    rows = sharding.assign(docs).collect()
+    assert len(rows) == 600
+    for k in {r.shard for r in rows}:
+        assert sorted(r.slot for r in rows if r.shard == k) == list(range(sum(r.shard == k for r in rows)))
+
+
 # 9
 
 
