@@ -76,6 +76,21 @@ def test_mixing(spark, odd, tables):
     assert blocks == sum(taken.values())
 
 
+def test_mixed_documents_meet_the_targets(spark):
+    """Long documents of sources taken at ratios like 0.3 or 1.4 are neither all lost nor all kept."""
+    rows = [(1000 * k + i, f"{name}{i} " + "word " * (400 + 37 * i % 3000), "en", name, 0) for k, (name, n) in enumerate((("a", 300), ("b", 300), ("c", 300), ("d", 100))) for i in range(n)]
+    docs = documents(spark, rows)
+    want = {r.source: r.target for r in mixing.mix_counts(docs).select("source", "target").distinct().collect()}
+    mixed = mixing.mixed_documents(docs)
+    got = collections.Counter()
+    for r in mixed.collect():
+        got[r.source] += len(WORD.findall(r.text))
+    assert mixed.columns == docs.columns
+    assert all(abs(got[s] - t) < 0.12 * t for s, t in want.items()), (got, want)
+    copies = collections.Counter(r.doc_id for r in mixed.collect())
+    assert max(copies.values()) <= mixing.MOST_PASSES
+
+
 def test_targets_fill_and_share_the_excess():
     assert mixing.targets([100, 100, 100], [5, 2, 1]) == pytest.approx([187.5, 75, 37.5])
     assert mixing.targets([10, 290, 0], [5, 2, 1]) == pytest.approx([30, 270, 0])

@@ -205,14 +205,18 @@ def mixed_blocks(docs: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS)
 
 
 def mixed_documents(docs: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` as the mix takes them: each row as often as the mix takes its words, to the nearest whole number.
+    """``docs`` as the mix takes them: each row as often as the mix takes its words, to a whole number by a keyed draw.
 
-    All columns pass unchanged; rows that the mix leaves out go.
+    A row taken 1.3 times comes twice with probability 0.3, else once, so that sources keep their
+    targets whatever the length of their documents. All columns pass unchanged; rows that the mix
+    leaves out go.
     """
     key = ["doc_id", "source", "_hash"]
     counts = _taken(_rows(docs, seed), seed, block_words).where("size > 0")
     counts = counts.groupBy(*key).agg((F.sum("taken") / F.sum("size")).alias("times"))
-    counts = counts.select(*(F.col(c).alias(f"_mix_{c}") for c in key), F.floor(F.col("times") + 0.5).cast("int").alias("_mix_times")).where("_mix_times > 0")
+    draw = F.shiftrightunsigned(F.xxhash64("doc_id", "_hash", F.lit(seed), F.lit("whole")), 11) / F.lit(_UNIT)
+    times = F.least(F.floor(F.col("times") + draw), F.lit(MOST_PASSES)).cast("int")
+    counts = counts.select(*(F.col(c).alias(f"_mix_{c}") for c in key), times.alias("_mix_times")).where("_mix_times > 0")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_mix_doc_id")) & F.col("source").cast("string").eqNullSafe(F.col("_mix_source"))
     same &= F.xxhash64(F.col("text").cast("string")) == F.col("_mix__hash")
     out = docs.join(counts, same).withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times"))))
