@@ -329,6 +329,13 @@ def test_pii_distinct(spark):
     assert len({r.text for r in pii.pseudonymize(docs).collect()}) == len(names)
 
 
+def test_pii_more_addresses_than_the_first_block(spark):
+    ips = [f"{11 + (k >> 16)}.{k >> 8 & 255}.{k & 255}.7" for k in range(140_000)]
+    docs = documents(spark, [(k, "\n".join(ips[k : k + 1000]), "en", "a", 0) for k in range(0, len(ips), 1000)])
+    made = [r.surrogate for r in pii.surrogates(docs).collect()]
+    assert len(made) == len(set(made)) == len(ips) and not set(made) & set(ips)
+
+
 # all
 
 

@@ -88,9 +88,9 @@ def canonical(key: bytes, kind: str, entity: str, draw: int) -> str:
     if kind == "email":
         user = "".join("abcdefghijklmnopqrstuvwxyz"[_pick(draws, 26)] if c.isalpha() else str(_pick(draws, 10)) if c.isdigit() else c for c in entity.split("@")[0])
         return f"{user}.{_pick(draws, 1 << 24):06x}@example.org"
-    if kind == "ip":  # from the block for benchmarks, 198.18.0.0/15, and the documentation blocks beside it
-        n = _pick(draws, 1 << 17)
-        return f"198.{18 + (n >> 16)}.{n >> 8 & 255}.{n & 255}"
+    if kind == "ip":  # from the block for benchmarks, 198.18.0.0/15; drawn again, from the reserved 240.0.0.0/4 without its last address
+        n = _pick(draws, (1 << 28) - 1) + (240 << 24) if draw else _pick(draws, 1 << 17) + (198 << 24) + (18 << 16)
+        return ".".join(str(n >> k & 255) for k in (24, 16, 8, 0))
     if kind == "card":
         body = "".join(str(_pick(draws, 10)) for _ in entity[:-1])
         right = _check_digit(body)
