@@ -203,6 +203,21 @@ def test_simhash(spark, odd, tables):
     assert kept.columns == odd.columns and kept.where("doc_id in (1, 2)").count() == 1
 
 
+def test_keep_one_of_each_tells_rows_apart(spark):
+    """Null and repeated ids with different texts: one row of each component stays, and no near copy of it."""
+    texts = [" ".join(f"{chr(97 + k)}{j * (k + 3) % 101}" for j in range(60)) for k in range(8)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (None, texts[2]), (1, texts[2])]  # null ids: apart, repeated, beside an id
+    rows += [(2, texts[3]), (2, texts[4]), (3, texts[4])]  # one id, two components, both of them its own
+    rows += [(4, texts[5]), (5, texts[5]), (5, texts[6]), (None, texts[7]), (6, texts[7])]  # of id 5 one row is a copy
+    docs = documents(spark, [(i, t, "en", None if k % 2 else "a", len(t)) for k, (i, t) in enumerate(rows)])
+    want = sorted([(None, texts[0]), (None, texts[1]), (1, texts[2]), (2, texts[3]), (2, texts[4]), (4, texts[5]), (5, texts[6]), (6, texts[7])], key=str)
+    runs = [simhash.keep_one_of_each(d).collect() for d in (docs, docs.repartition(5), docs.orderBy(F.desc("text")))]
+    assert all(sorted(((r.doc_id, r.text) for r in run), key=str) == want for run in runs)
+    assert len({str(sorted(map(str, run))) for run in runs}) == 1
+    twice = simhash.keep_one_of_each(docs.unionByName(docs)).collect()
+    assert len(twice) == len(want) and {*twice, *runs[0]} <= set(docs.collect())
+
+
 # 6
 
 

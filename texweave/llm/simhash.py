@@ -19,7 +19,7 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, utf8
@@ -164,6 +164,12 @@ def connected(edges: DataFrame) -> DataFrame:
         digest = now
 
 
+def _rooted(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with root: a fingerprint that all of its component share."""
+    roots = connected(links(nodes)).select(F.col("node").alias("fp"), "root")
+    return nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) of every row of ``docs``.
 
@@ -172,22 +178,43 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     component_id. Repeated rows repeat in the result. An empty table gives an empty result.
     """
     prints = checkpoint(fingerprints(docs))
-    nodes = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    roots = connected(links(nodes)).select(F.col("node").alias("fp"), "root")
-    rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = _rooted(checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("low"))))
     low = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     members = rooted.join(low, "root").select("fp", "component_id")
     text = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
     return prints.join(members, "fp").select("doc_id", text, "component_id")
 
 
+def _row_keys(docs: DataFrame) -> dict[str, Column]:
+    """What tells rows apart: doc_id, a hash of the text, and one of all columns (maps left out) and their nulls."""
+    given = [F.col(f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    row = F.xxhash64(*given, *(c.isNull() for c in given))
+    return {"_one_id": F.col("doc_id").cast("long"), "_one_text": F.xxhash64(F.col("text").cast("string")), "_one_row": row}
+
+
+def _keyed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        prints = np.array([simhash(t.as_py()) for t in batch.column(3)], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(prints, pa.int64())], [*_KEYS, "fp"])
+
+
+_KEYS = ["_one_id", "_one_text", "_one_row"]
+
+
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: of each near-duplicate group the one with the smallest doc_id.
+    """The rows of ``docs`` that stay: of each near-duplicate group the one with the smallest doc_id, nulls last.
 
-    All columns pass unchanged. Of rows that repeat a doc_id one stays.
+    Rows are told apart by all their columns, not by doc_id alone: of rows of a group with the same
+    doc_id the one with the smallest hash stays, and of wholly equal rows one. All columns pass unchanged.
     """
-    groups = near_duplicate_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = checkpoint(groups.select(F.col("doc_id").alias("_kept_id")))
-    repeated = keep.groupBy("_kept_id").count().where("count > 1").limit(1).count()
-    kept = docs.join(keep.distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    keys = _row_keys(docs)
+    rows = docs.select(*(c.alias(k) for k, c in keys.items()), F.col("text").cast("string").alias("text"))
+    prints = checkpoint(rows.mapInArrow(_keyed_batches, "_one_id long, _one_text long, _one_row long, fp long"))
+    each = prints.groupBy("fp", *_KEYS).agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("_one_id").isNull().alias("last"), *_KEYS, "n"))
+    rooted = _rooted(checkpoint(each.groupBy("fp").agg(first.alias("low"))))
+    keep = checkpoint(rooted.groupBy("root").agg(F.min("low").alias("low")).select(*(F.col(f"low.{k}").alias(f"_kept{k}") for k in _KEYS), F.col("low.n").alias("n")))
+    repeated = keep.where("n > 1").limit(1).count()
+    same = [c.eqNullSafe(F.col(f"_kept{k}")) for k, c in keys.items()]
+    kept = docs.join(keep.drop("n"), same, "left_semi")
+    return kept.withColumns(keys).dropDuplicates(_KEYS).select(docs.columns) if repeated else kept
