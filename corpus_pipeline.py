@@ -1,7 +1,7 @@
 """A corpus pipeline over ``documents``: each stage reads what its predecessor has written.
 
-A stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return the
-columns of ``documents``; the last returns each document's shard and place.
+A stage takes (spark, docs, sf_dir) and returns a DataFrame with the columns of ``documents``;
+the last adds each document's shard and place.
 """
 
 from __future__ import annotations
@@ -35,8 +35,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's shard and slot."""
-    return sharding.assign(docs)
+    """The documents by shard, with their shard and slot."""
+    return sharding.sharded(docs)
 
 
 STAGES = [

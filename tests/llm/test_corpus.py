@@ -304,6 +304,23 @@ def test_sharding_of_a_heavy_text(spark):
         assert sorted(r.slot for r in rows if r.shard == k) == list(range(sum(r.shard == k for r in rows)))
 
 
+def test_sharded_documents(spark, odd, tables):
+    """All columns of all rows, at the shards and slots of the digest, with and without sub-ranges."""
+    line = lambda r: str((r.shard, r.slot, r.doc_id, zlib.crc32((r.text or "").encode())))
+    for docs in (odd.drop("shard"), tables["documents"], tables["documents"].limit(0)):
+        want = sorted(str((r.shard, r.slot, r.doc_id, r.text_crc32)) for r in sharding.assign(docs).collect())
+        for size in (sharding.RANGE_BYTES, 2000):
+            got = sharding.sharded(docs, range_bytes=size)
+            assert got.columns == [*docs.columns, "shard", "slot"]
+            rows = got.collect()
+            assert sorted(map(line, rows)) == want
+            assert sorted(str(tuple(r)[:-2]) for r in rows) == sorted(str(tuple(r)) for r in docs.collect())
+    parts = sharding.sharded(tables["documents"], 4, 2000).groupBy(F.spark_partition_id()).agg(F.count_distinct("shard").alias("n")).collect()
+    assert len(parts) > 8 and {r.n for r in parts} == {1}
+    with pytest.raises(ValueError):
+        sharding.sharded(odd)
+
+
 # 9
 
 

@@ -4,8 +4,10 @@ Every row has a 64-bit key: 40 bits of its text's md5 and 24 bits of its doc_id'
 equal texts are neighbours in key order and yet no key is heavy. Round after round, the
 bytes below candidate boundaries (multiples of a power of two inside the intervals that
 still hold a splitter) are counted exactly over all partitions, until each splitter is known
-to the tolerance. The rows are then exchanged once, by ranges of the key order, and numbered
-from their places in the ranges.
+to the tolerance. ``sharded`` then exchanges the documents once, with all their columns: each
+row goes to the task of its shard's sub-range of the keys, whose rows are counted beforehand, and
+is numbered there. ``assign`` gives the same shards and slots without the documents; it exchanges
+rows of a few numbers by ranges of the key order.
 
 A round sends at most ``2 ** STEP_BITS`` sums for each splitter to the driver.
 """
@@ -22,6 +24,7 @@ SHARDS = 40
 ROW_BYTES = 16  # what a row costs besides its text
 STEP_BITS = 12
 KEY_BITS = 63  # keys are non-negative longs
+RANGE_BYTES = 1 << 26  # bytes of a shard that one task takes, about
 
 
 def _bits(value: Column, bits: int) -> Column:
@@ -98,3 +101,42 @@ def assign(docs: DataFrame, shards: int = SHARDS, tolerance: int = 0) -> DataFra
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("_base") + F.col("_at")).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+def sharded(docs: DataFrame, shards: int = SHARDS, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """``docs`` with all columns, and the shard and slot (within its shard, from 0) of every row, as ``assign`` gives them.
+
+    Rows lie by shard and slot: a partition holds a stretch of one shard, about ``range_bytes`` of it.
+    The documents are exchanged once. Only rows that repeat doc_id and text have to share a task.
+    """
+    if clash := {"shard", "slot"} & set(docs.columns):
+        raise ValueError(f"columns {sorted(clash)} would be lost: rename them")
+    body = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    key = shard_key(F.col("text").cast("string"), F.col("doc_id").cast("long"))
+    keys = checkpoint(docs.select(key.alias("_key"), (F.octet_length(body) + ROW_BYTES).cast("long").alias("size")))
+    starts = splitters(keys, shards)
+    total = keys.agg(F.sum("size")).first()[0] or 0
+    ranges = -(-total // (shards * range_bytes)) or 1
+    # Where a shard's sub-ranges begin: only shards have exact bounds, these may be off by a quarter.
+    finer = splitters(keys, shards * ranges, range_bytes // 4) if ranges > 1 else []
+    low, high = [0, *starts], [*starts, 1 << KEY_BITS]
+    inner = [sorted({e for e in finer if a < e < b}) for a, b in zip(low, high, strict=True)]
+    first = [sum(len(x) + 1 for x in inner[:k]) for k in range(shards)]  # the first partition of each shard
+    longs = lambda values: F.array(*map(F.lit, values)).cast("array<long>")
+
+    def placed(at: Column) -> tuple[Column, Column]:
+        shard = F.size(F.filter(longs(starts), lambda e: e <= at)) if starts else F.lit(0)
+        within = F.size(F.filter(F.element_at(F.array(*map(longs, inner)), shard + 1), lambda e: e <= at)) if ranges > 1 else F.lit(0)
+        return shard, (F.element_at(longs(first), shard + 1) + within).cast("int")
+
+    held = {r.part: r.n for r in keys.groupBy(placed(F.col("_key"))[1].alias("part")).agg(F.count("*").alias("n")).collect()}  # one row a sub-range
+    base = []
+    for x in inner:
+        for k in range(len(x) + 1):
+            base.append(base[-1] + held.get(len(base) - 1, 0) if k else 0)
+    order = {"_shard_key": key, "_shard_id": F.col("doc_id").cast("long"), "_shard_size": F.octet_length(body), "_shard_crc": F.crc32(body)}
+    keyed = docs.withColumns(order)
+    keyed = keyed.withColumn("_shard_part", placed(F.col("_shard_key"))[1])
+    sorted_ = keyed.repartitionById(len(base), "_shard_part").sortWithinPartitions(*order).withColumn("_shard_at", F.monotonically_increasing_id() % (1 << 33))
+    slot = F.element_at(longs(base), F.col("_shard_part") + 1) + F.col("_shard_at")
+    return sorted_.select(*docs.columns, placed(F.col("_shard_key"))[0].alias("shard"), slot.alias("slot"))
