@@ -119,7 +119,10 @@ k as (select r, doc_id, size, xor(c, 4294967295) as crc,
       from d join u on u.t = d.t),
 below as (select key, coalesce(sum(sum(size)) over (order by key rows between unbounded preceding and 1 preceding), 0) as b,
                  (select sum(size) from k) as total from k group by key),
-cut as (select i, min(key) as key from below, range(1, 40) s(i) where b >= ceil(total * i / 40.0) group by i),
+first as (select i, min(key) as key, any_value(total) as total from below, range(1, 40) s(i) where b >= ceil(total * i / 40.0) group by i),
+whole as (select i, first.key, total, sum(size) as every, coalesce(sum(size) filter (k.key < first.key), 0) as before
+          from first join k on k.key >> 24 = first.key >> 24 group by i, first.key, total),
+cut as (select i, case when every * 40 > total then key when 2 * before <= every then (key >> 24) << 24 else ((key >> 24) + 1) << 24 end as key from whole),
 p as (select k.*, (select count(*) from cut where cut.key <= k.key) as shard from k)
 select doc_id, size, crc as text_crc32, 'bytes' as law, cast(shard as integer) as shard,
        row_number() over (partition by shard order by key, doc_id, size, crc) - 1 as slot, cast(null as integer) as grown_shard

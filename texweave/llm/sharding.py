@@ -4,10 +4,11 @@ Every row has a 64-bit key: 40 bits of its text's md5 and 24 bits of its doc_id'
 equal texts are neighbours in key order and yet no key is heavy. Round after round, the
 bytes below candidate boundaries (multiples of a power of two inside the intervals that
 still hold a splitter) are counted exactly over all partitions, until each splitter is known
-to the tolerance. ``sharded`` then exchanges the documents once, with all their columns: each
-row goes to the task of its shard's sub-range of the keys, whose rows are counted beforehand, and
-is numbered there. ``assign`` gives the same shards and slots without the documents; it exchanges
-rows of a few numbers by ranges of the key order.
+to the tolerance. A splitter inside a text's rows moves to their nearer edge, so that equal texts
+share a shard; only a text that alone passes a shard's share is split. Then rows are exchanged
+once: each goes to the task of its shard's sub-range of the keys, whose rows are counted
+beforehand, and is numbered there. ``sharded`` does so with the documents and all their columns,
+``assign`` with a digest of a few numbers.
 
 A round sends at most ``2 ** STEP_BITS`` sums for each splitter to the driver.
 """
@@ -16,15 +17,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from .common import checkpoint
+from .common import checkpoint, own, unused
 
 SHARDS = 40
 ROW_BYTES = 16  # what a row costs besides its text
 STEP_BITS = 12
 KEY_BITS = 63  # keys are non-negative longs
+ID_BITS = 24  # of a key, the bits that tell rows of one text apart
 RANGE_BYTES = 1 << 26  # bytes of a shard that one task takes, about
+MOST_RANGES = 256  # sub-ranges of a shard; beyond them a task takes more bytes, and its sort spills
 
 
 def _bits(value: Column, bits: int) -> Column:
@@ -34,8 +36,8 @@ def _bits(value: Column, bits: int) -> Column:
 
 def shard_key(text: Column, doc_id: Column) -> Column:
     first = _bits(F.coalesce(text, F.lit("")).cast("binary"), 39)
-    second = _bits(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"), 24)
-    return F.shiftleft(first, 24).bitwiseOR(second)
+    second = _bits(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"), ID_BITS)
+    return F.shiftleft(first, ID_BITS).bitwiseOR(second)
 
 
 def splitters(keys: DataFrame, shards: int, tolerance: int = 0) -> list[int]:
@@ -73,70 +75,91 @@ def splitters(keys: DataFrame, shards: int, tolerance: int = 0) -> list[int]:
     return [min(known.get(i, 0), (1 << KEY_BITS) - 1) for i in range(1, shards)]
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, tolerance: int = 0) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row of ``docs``; the law is bytes.
+def _longs(values: list[int]) -> Column:
+    return F.array(*map(F.lit, values)).cast("array<long>")
 
-    Shards are stretches of the key order, so equal texts share a shard unless a boundary falls
-    among them. Rows with equal doc_id and text share a key and hence a shard. Null and empty
-    texts have no bytes, crc32 0, and cost 16 like any row. An empty table gives an empty result.
-    """
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    body = F.coalesce("text", F.lit("")).cast("binary")
-    size = (F.octet_length(body) + ROW_BYTES).cast("long").alias("size")
-    key = shard_key(F.col("text"), F.col("doc_id")).alias("_key")
-    rows = checkpoint(rows.select("doc_id", size, F.crc32(body).alias("text_crc32"), key, F.monotonically_increasing_id().alias("_id")))
-    starts = splitters(rows, shards, tolerance)
-    edges = F.array(*map(F.lit, starts)).cast("array<long>")  # one number a shard
-    shard = F.size(F.filter(edges, lambda e: e <= F.col("_key"))) if starts else F.lit(0)
-    # The one exchange. _id makes rows distinct, so that a heavy key spreads over tasks, too.
-    order = ["_key", "doc_id", "size", "text_crc32", "_id"]
-    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
-    sorted_ = sorted_.select("doc_id", "size", "text_crc32", shard.alias("shard"), F.shiftright("_place", 33).alias("_part"), (F.col("_place") % (1 << 33)).alias("_at"))
-    sorted_ = checkpoint(sorted_)
-    held = sorted_.groupBy("shard", "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
-    before = W.partitionBy("shard").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    base = held.select("shard", "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_base"))
-    out = sorted_.join(F.broadcast(base), ["shard", "_part"])  # as many rows as partitions and shards at most
-    return out.select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("_base") + F.col("_at")).alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"),
-    )
 
+def _at_or_below(values: list[int], key: Column) -> Column:
+    return F.size(F.filter(_longs(values), lambda e: e <= key)) if values else F.lit(0)
 
-def sharded(docs: DataFrame, shards: int = SHARDS, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """``docs`` with all columns, and the shard and slot (within its shard, from 0) of every row, as ``assign`` gives them.
 
-    Rows lie by shard and slot: a partition holds a stretch of one shard, about ``range_bytes`` of it.
-    The documents are exchanged once. Only rows that repeat doc_id and text have to share a task.
-    """
-    if clash := {"shard", "slot"} & set(docs.columns):
-        raise ValueError(f"columns {sorted(clash)} would be lost: rename them")
-    body = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    key = shard_key(F.col("text").cast("string"), F.col("doc_id").cast("long"))
-    keys = checkpoint(docs.select(key.alias("_key"), (F.octet_length(body) + ROW_BYTES).cast("long").alias("size")))
-    starts = splitters(keys, shards)
+def snapped(keys: DataFrame, starts: list[int], shards: int) -> list[int]:
+    """``starts``, those inside the rows of one text moved to the nearer edge of them, unless the text passes a shard's share."""
+    last = (1 << KEY_BITS) - 1
+    texts = sorted({s >> ID_BITS for s in starts if s < last})
+    total = keys.agg(F.sum("size")).first()[0] or 0
+    inside = keys.select(F.shiftrightunsigned("_key", ID_BITS).alias("text"), _at_or_below(starts, F.col("_key")).alias("shard"), "size")
+    held = inside.where(F.col("text").isin(texts)).groupBy("text", "shard").agg(F.sum("size").alias("b")).collect()  # some rows a splitter
+    out = []
+    for i, start in enumerate(starts, 1):
+        text = start >> ID_BITS
+        every, before = (sum(r.b for r in held if r.text == text and r.shard < k) for k in (shards, i))
+        if start < last and every * shards <= total:
+            start = (text if 2 * before <= every else text + 1) << ID_BITS
+        out.append(min(start, last))
+    return out
+
+
+def _dealt(rows: DataFrame, keys: DataFrame, order: list[str], shards: int, tolerance: int, range_bytes: int) -> tuple[DataFrame, Column, Column]:
+    """``rows`` exchanged once to the sub-ranges of their shards and sorted there by ``order``, whose first is the key; shard and slot."""
+    starts = snapped(keys, splitters(keys, shards, tolerance), shards)
     total = keys.agg(F.sum("size")).first()[0] or 0
-    ranges = -(-total // (shards * range_bytes)) or 1
+    ranges = min(-(-total // (shards * range_bytes)), MOST_RANGES) or 1
     # Where a shard's sub-ranges begin: only shards have exact bounds, these may be off by a quarter.
-    finer = splitters(keys, shards * ranges, range_bytes // 4) if ranges > 1 else []
+    finer = splitters(keys, shards * ranges, total // (shards * ranges * 4)) if ranges > 1 else []
     low, high = [0, *starts], [*starts, 1 << KEY_BITS]
     inner = [sorted({e for e in finer if a < e < b}) for a, b in zip(low, high, strict=True)]
     first = [sum(len(x) + 1 for x in inner[:k]) for k in range(shards)]  # the first partition of each shard
-    longs = lambda values: F.array(*map(F.lit, values)).cast("array<long>")
 
-    def placed(at: Column) -> tuple[Column, Column]:
-        shard = F.size(F.filter(longs(starts), lambda e: e <= at)) if starts else F.lit(0)
-        within = F.size(F.filter(F.element_at(F.array(*map(longs, inner)), shard + 1), lambda e: e <= at)) if ranges > 1 else F.lit(0)
-        return shard, (F.element_at(longs(first), shard + 1) + within).cast("int")
+    def placed(key: Column) -> tuple[Column, Column]:
+        shard = _at_or_below(starts, key)
+        within = F.size(F.filter(F.element_at(F.array(*map(_longs, inner)), shard + 1), lambda e: e <= key)) if ranges > 1 else F.lit(0)
+        return shard, (F.element_at(_longs(first), shard + 1) + within).cast("int")
 
     held = {r.part: r.n for r in keys.groupBy(placed(F.col("_key"))[1].alias("part")).agg(F.count("*").alias("n")).collect()}  # one row a sub-range
     base = []
     for x in inner:
         for k in range(len(x) + 1):
             base.append(base[-1] + held.get(len(base) - 1, 0) if k else 0)
-    order = {"_shard_key": key, "_shard_id": F.col("doc_id").cast("long"), "_shard_size": F.octet_length(body), "_shard_crc": F.crc32(body)}
-    keyed = docs.withColumns(order)
-    keyed = keyed.withColumn("_shard_part", placed(F.col("_shard_key"))[1])
-    sorted_ = keyed.repartitionById(len(base), "_shard_part").sortWithinPartitions(*order).withColumn("_shard_at", F.monotonically_increasing_id() % (1 << 33))
-    slot = F.element_at(longs(base), F.col("_shard_part") + 1) + F.col("_shard_at")
-    return sorted_.select(*docs.columns, placed(F.col("_shard_key"))[0].alias("shard"), slot.alias("slot"))
+    shard, part = placed(F.col(order[0]))
+    at = f"{order[0]}_at"
+    sorted_ = rows.repartitionById(len(base), part).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id() % (1 << 33))
+    return sorted_, shard, F.element_at(_longs(base), part + 1) + F.col(at)
+
+
+def assign(docs: DataFrame, shards: int = SHARDS, tolerance: int = 0, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row of ``docs``; the law is bytes.
+
+    Shards are stretches of the key order. Equal texts share a shard, unless together they pass a
+    shard's share of the bytes. Null and empty texts are one text; they have no bytes, crc32 0, and
+    cost 16 like any row. Repeated rows repeat, with slots of their own. Other columns of ``docs``
+    stay out. An empty table gives an empty result.
+    """
+    body = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    size = (F.octet_length(body) + ROW_BYTES).cast("long").alias("size")
+    key = shard_key(F.col("text").cast("string"), F.col("doc_id").cast("long")).alias("_key")
+    rows = checkpoint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), size, F.crc32(body).alias("text_crc32"), key))
+    out, shard, slot = _dealt(rows, rows, ["_key", "doc_id", "size", "text_crc32"], shards, tolerance, range_bytes)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), shard.alias("shard"), slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+def sharded(docs: DataFrame, shards: int = SHARDS, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """``docs`` with all columns, and the shard and slot (within its shard, from 0) of every row, as ``assign`` gives them.
+
+    Rows lie by shard and slot: a partition holds a stretch of one shard, about ``range_bytes`` of it.
+    The documents are exchanged once. Only rows that repeat doc_id and text have to share a task.
+    Null and empty texts and repeated rows are dealt as by ``assign``. Where ``docs`` has a column
+    shard or slot, it stays, and the new one gets an underscore after its name. An empty table
+    gives an empty result.
+    """
+    body = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    key, tag = shard_key(F.col("text").cast("string"), F.col("doc_id").cast("long")), unused(docs, "_shard")
+    keys = checkpoint(docs.select(key.alias("_key"), (F.octet_length(body) + ROW_BYTES).cast("long").alias("size")))
+    order = {f"{tag}_key": key, f"{tag}_id": F.col("doc_id").cast("long"), f"{tag}_size": F.octet_length(body), f"{tag}_crc": F.crc32(body)}
+    out, shard, slot = _dealt(docs.withColumns(order), keys, list(order), shards, 0, range_bytes)
+    taken, names = [c.lower() for c in docs.columns], []
+    for name in ("shard", "slot"):
+        while name in taken:
+            name += "_"
+        names.append(name)
+    return out.select(*own(out)[: len(docs.columns)], shard.alias(names[0]), slot.alias(names[1]))
