@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import Window as W
 
 STRETCH_ROWS = 4096  # rows whose sums one window runs up
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH_ROWS = 256  # rows that travel to Python at once: with long texts, too, a batch stays small beside a worker's memory
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +41,31 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``BATCH_ROWS`` rows. Spark reads the setting when a plan runs, so it stays in the session."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def map_batches(rows: DataFrame, f: Callable, schema: str) -> DataFrame:
+    """``rows.mapInArrow`` in bounded batches."""
+    bounded_batches(rows.sparkSession)
+    return rows.mapInArrow(f, schema)
+
+
+def unused(rows: DataFrame, prefix: str) -> str:
+    """``prefix`` with underscores appended until no column of ``rows`` begins with it."""
+    while any(c.lower().startswith(prefix.lower()) for c in rows.columns):
+        prefix += "_"
+    return prefix
+
+
+def own(rows: DataFrame) -> list[Column]:
+    """All columns of ``rows``, whatever characters are in their names."""
+    return [rows[f"`{c.replace('`', '``')}`"] for c in rows.columns]
+
+
 def word_count(text: Column) -> Column:
     """Words of a text as long; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

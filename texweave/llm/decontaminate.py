@@ -9,23 +9,25 @@ sample of suffix positions. All phrases are searched backwards at once; occurren
 located by walking to the next sampled position, and their word ranges are merged into
 removal spans.
 
-The benchmark is a stated query set: it travels to the tasks in blocks of bounded size.
+The benchmark is a stated query set: it travels to the tasks in blocks of bounded size. One
+block is the rule; each further block is a pass over the corpus of its own, whose findings are
+checkpointed, so that a worker holds one block at a time.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import bounded_batches, checkpoint, own, unused, utf8
 
 WINDOW = 10
 SHARD_WORDS = 1_000_000
@@ -222,113 +224,113 @@ def search_shard(docs: list[np.ndarray], phrases: Phrases) -> list[tuple[list[li
     return out
 
 
-_FOUND = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.string()))])
-_FOUND_SQL = "struct<n_words: bigint, spans: array<array<bigint>>, items: array<string>>"
+_FOUND_SQL = "struct<spans: array<array<bigint>>, items: array<string>>"
+_FOUND = pa.struct([("spans", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.string()))])
+_DIGEST_SQL = "struct<n_words: bigint, n_hit: bigint, n_items: bigint, items_sha256: string, spans: array<array<bigint>>>"
+_DIGEST = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("spans", pa.list_(pa.list_(pa.int64())))])
 
 
 def _blocks(benchmark: DataFrame, window: int) -> Iterator[Phrases]:
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")), F.col("text").cast("string"))
     items, words = [], 0
     for item, text in rows.toLocalIterator():  # one partition of the query set at a time
-        items.append((item, text))
-        words += len(text or "") // 2 + 1
         if words >= BLOCK_WORDS:
             yield phrases_of(items, window)
             items, words = [], 0
+        items.append((item, text))
+        words += len(text or "") // 2 + 1
     yield phrases_of(items, window)
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """All columns of ``docs`` and an array _found with a struct of n_words, spans and items for each benchmark block.
-
-    spans are merged half-open ranges of word indexes. Blocks follow each other in the same
-    pass as long as there are any; one block is the rule.
-    """
-    spark = docs.sparkSession
-    out = docs.withColumn("_found", F.array().cast(f"array<{_FOUND_SQL}>"))
-    for phrases in _blocks(benchmark, window):
-        shared = spark.sparkContext.broadcast((phrases.words, phrases.windows, phrases.items))  # at most BLOCK_WORDS
-
-        def each(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            phrases = Phrases(*shared.value)
-            symbol = {w: k + 1 for k, w in enumerate(phrases.words)}.get
-
-            def searched(batch: pa.RecordBatch, docs: list[np.ndarray]) -> pa.RecordBatch:
-                found = search_shard(docs, phrases)
-                made = [{"n_words": len(d), "spans": s, "items": i} for d, (s, i) in zip(docs, found, strict=True)]
-                before = batch.column("_found").to_pylist()
-                column = pa.array([[*a, b] for a, b in zip(before, made, strict=True)], pa.list_(_FOUND))
-                names = batch.schema.names
-                return pa.RecordBatch.from_arrays([column if n == "_found" else batch.column(n) for n in names], names)
-
-            for batch in batches:
-                held, words, first = [], 0, 0
-                for at, text in enumerate(batch.column("text")):
-                    found = words_of(text.as_py())
-                    held.append(np.fromiter(map(symbol, found, repeat(0)), np.int64, len(found)))
-                    words += len(found)
-                    if words >= SHARD_WORDS:
-                        yield searched(batch.slice(first, len(held)), held)
-                        held, words, first = [], 0, at + 1
-                if held:
-                    yield searched(batch.slice(first, len(held)), held)
-
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)
-        out = out.mapInArrow(each, fields)
-    return out
-
-
-def _digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        made = []
-        for blocks in batch.column(1).to_pylist():
-            spans = merge(*np.array([s for b in blocks for s in b["spans"]], np.int64).reshape(-1, 2).T)
-            items = sorted({i for b in blocks for i in b["items"]})
-            digest = hashlib.sha256(",".join(items).encode()).hexdigest()
-            made.append((blocks[0]["n_words"], sum(b - a for a, b in spans), len(items), digest, spans))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64()))]
-        arrays = [pa.array([m[k] for m in made], kind) for k, kind in enumerate(kinds)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "spans"])
+def _search(phrases: Phrases, finish: Callable, kind: pa.DataType, sql: str, docs: DataFrame) -> Callable[[Column, Column], Column]:
+    """A column function of a text and what earlier blocks found in it: ``finish`` of the text, its number of words, and all spans and items."""
+    shared = docs.sparkSession.sparkContext.broadcast((phrases.words, phrases.windows, phrases.items))  # about BLOCK_WORDS at most
+    bounded_batches(docs.sparkSession)
+
+    def each(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        phrases = Phrases(*shared.value)
+        symbol = {w: k + 1 for k, w in enumerate(phrases.words)}.get
+        texts, earlier, held, words = [], [], [], 0
+
+        def searched() -> pa.Array:
+            made = []
+            for text, before, symbols, (spans, items) in zip(texts, earlier, held, search_shard(held, phrases), strict=True):
+                if before:
+                    spans = merge(*np.array(before["spans"] + spans, np.int64).reshape(-1, 2).T)
+                    items = sorted({*before["items"], *items})
+                made.append(finish(text, len(symbols), spans, items))
+            for x in (texts, earlier, held):
+                x.clear()
+            return pa.array(made, kind)
+
+        for body, before in columns:
+            for text, found in zip(body.to_pylist(), before.to_pylist(), strict=True):
+                spelled = words_of(text)
+                texts.append(text)
+                earlier.append(found)
+                held.append(np.fromiter(map(symbol, spelled, repeat(0)), np.int64, len(spelled)))
+                words += len(spelled)
+                if words >= SHARD_WORDS:
+                    yield searched()
+                    words = 0
+        if held:
+            yield searched()
+
+    return F.arrow_udf(each, sql)
+
+
+def _searched(docs: DataFrame, benchmark: DataFrame, window: int, finish: Callable, kind: pa.DataType, sql: str) -> tuple[DataFrame, Column]:
+    """``docs``, with a column of what all blocks but the last found, and the column of what ``finish`` makes of each row."""
+    text, name, earlier = F.col("text").cast("string"), unused(docs, "_found"), F.lit(None).cast(_FOUND_SQL)
+    blocks = _blocks(benchmark, window)
+    block = next(blocks)
+    for later in blocks:
+        found = _search(block, lambda text, n, spans, items: {"spans": spans, "items": items}, _FOUND, _FOUND_SQL, docs)
+        docs = checkpoint(docs.withColumn(name, found(text, earlier)))
+        block, earlier = later, F.col(name)
+    return docs, _search(block, finish, kind, sql, docs)(text, earlier)
+
+
+def _digest(text: str | None, n_words: int, spans: list[list[int]], items: list[str]) -> dict:
+    n_hit = sum(b - a for a, b in spans)
+    return {"n_words": n_words, "n_hit": n_hit, "n_items": len(items), "items_sha256": hashlib.sha256(",".join(items).encode()).hexdigest(), "spans": spans}
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and spans of every row of ``docs``.
 
-    Null texts have no words. Items without words have no window; a null item_id counts as "null".
-    Repeated rows repeat. An empty benchmark leaves every document clean.
+    spans are merged half-open ranges of word indexes. Null and empty texts have no words; a long
+    text is searched whole. Items without words have no window; a null item_id counts as "null".
+    Repeated rows repeat, other columns of ``docs`` stay out, and an empty table gives an empty
+    result. An empty benchmark leaves every document clean.
     """
-    found = find(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), benchmark, window)
-    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, spans array<array<long>>"
-    out = found.select("doc_id", "_found").mapInArrow(_digest_batches, schema)
+    rows, found = _searched(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), benchmark, window, _digest, _DIGEST, _DIGEST_SQL)
+    out = rows.select("doc_id", found.alias("found")).select("doc_id", "found.*")
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"), "spans")
 
 
-def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = []
-        for text, blocks in zip(batch.column("text"), batch.column("_found").to_pylist(), strict=True):
-            text = text.as_py()
-            spans = merge(*np.array([s for b in blocks for s in b["spans"]], np.int64).reshape(-1, 2).T)
-            if spans:
-                places = [m.span() for m in _WORD.finditer(text)]
-                parts, at = [], 0
-                for a, b in spans:
-                    parts.append(text[at : places[a][0]])
-                    at = places[b - 1][1]
-                text = "".join([*parts, text[at:]])
-            texts.append(text)
-        names = [n for n in batch.schema.names if n != "_found"]
-        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names], names)
+def _cut(text: str | None, n_words: int, spans: list[list[int]], items: list[str]) -> str | None:
+    if not spans:
+        return text
+    places = [m.span() for m in _WORD.finditer(text)]
+    parts, at = [], 0
+    for a, b in spans:
+        parts.append(text[at : places[a][0]])
+        at = places[b - 1][1]
+    return "".join([*parts, text[at:]])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with every removal span cut from its text, and n_chars counted anew where there is such a column.
 
-    All rows and columns stay; a span runs from the first letter of its first word to the last of its last.
+    A span runs from the first letter of its first word to the last of its last. All rows and
+    columns stay, whatever the columns' names; null and empty texts stay as they are, repeated
+    rows repeat, and an empty table or benchmark changes nothing.
     """
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    out = find(docs, benchmark, window).mapInArrow(_cut_batches, fields)
+    rows, text = _searched(docs, benchmark, window, _cut, pa.string(), "string")
+    out = rows.withColumn("text", text)
+    out = out.select(own(out)[: len(docs.columns)])
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
-    return out.select(docs.columns)
+    return out

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WORD, checkpoint, sums_before, word_count
+from .common import WORD, checkpoint, own, sums_before, unused, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_PASSES = 3
@@ -208,16 +208,19 @@ def mixed_documents(docs: DataFrame, seed: int = 0, block_words: int = BLOCK_WOR
     """``docs`` as the mix takes them: each row as often as the mix takes its words, to a whole number by a keyed draw.
 
     A row taken 1.3 times comes twice with probability 0.3, else once, so that sources keep their
-    targets whatever the length of their documents. All columns pass unchanged; rows that the mix
-    leaves out go.
+    targets whatever the length of their documents. All columns pass unchanged, whatever their
+    names. Rows that the mix leaves out go, and so do null texts and texts without words, of which
+    it takes none. Rows equal in doc_id, source and text share one number of times. A null source
+    is a source. An empty table gives an empty result.
     """
     key = ["doc_id", "source", "_hash"]
     counts = _taken(_rows(docs, seed), seed, block_words).where("size > 0")
     counts = counts.groupBy(*key).agg((F.sum("taken") / F.sum("size")).alias("times"))
     draw = F.shiftrightunsigned(F.xxhash64("doc_id", "_hash", F.lit(seed), F.lit("whole")), 11) / F.lit(_UNIT)
     times = F.least(F.floor(F.col("times") + draw), F.lit(MOST_PASSES)).cast("int")
-    counts = counts.select(*(F.col(c).alias(f"_mix_{c}") for c in key), times.alias("_mix_times")).where("_mix_times > 0")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_mix_doc_id")) & F.col("source").cast("string").eqNullSafe(F.col("_mix_source"))
-    same &= F.xxhash64(F.col("text").cast("string")) == F.col("_mix__hash")
-    out = docs.join(counts, same).withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times"))))
-    return out.select(docs.columns)
+    tag = unused(docs, "_mix")
+    counts = counts.select(*(F.col(c).alias(f"{tag}_{c}") for c in key), times.alias(f"{tag}_times")).where(F.col(f"{tag}_times") > 0)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(f"{tag}_doc_id")) & F.col("source").cast("string").eqNullSafe(F.col(f"{tag}_source"))
+    same &= F.xxhash64(F.col("text").cast("string")) == F.col(f"{tag}__hash")
+    out = docs.join(counts, same).withColumn(f"{tag}_copy", F.explode(F.sequence(F.lit(1), F.col(f"{tag}_times"))))
+    return out.select(own(out)[: len(docs.columns)])

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, utf8
+from .common import checkpoint, map_batches, utf8
 
 LEAST_WORDS = 20
 MOST_REPEATED = 30  # percent of the words
@@ -94,7 +94,7 @@ def boilerplate(base: DataFrame) -> DataFrame:
 
 def _measured(docs: DataFrame, host: str) -> tuple[DataFrame, DataFrame, bool]:
     rows = docs.select(F.col("doc_id").cast("long"), F.col(host).cast("string"), F.col("text").cast("string"))
-    base = rows.mapInArrow(_line_batches, _LINE_SCHEMA).withColumn("_id", F.monotonically_increasing_id())
+    base = map_batches(rows, _line_batches, _LINE_SCHEMA).withColumn("_id", F.monotonically_increasing_id())
     base = checkpoint(base)
     lines = checkpoint(boilerplate(base))
     return base, lines, lines.count() <= BROADCAST_LINES
@@ -131,7 +131,7 @@ def without_boilerplate(docs: DataFrame, host: str = "source") -> DataFrame:
                 found.append([xxhash.xxh64_intdigest(name + b"\n" + normal(x)) - (1 << 63) if x.split() else None for x in utf8(text).split(b"\n")])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "text", "keys"])
 
-    keyed = checkpoint(rows.mapInArrow(keys, "doc_id long, text string, keys array<long>").withColumn("_id", F.monotonically_increasing_id()))
+    keyed = checkpoint(map_batches(rows, keys, "doc_id long, text string, keys array<long>").withColumn("_id", F.monotonically_increasing_id()))
     each = keyed.select("_id", F.explode("keys").alias("line")).join(lines, "line").groupBy("_id").agg(F.collect_set("line").alias("bad"))
     parts = F.filter(F.split("text", "\n"), lambda x, i: ~F.coalesce(F.array_contains("bad", F.get("keys", i)), F.lit(False)))
     return keyed.join(each, "_id", "left").select("doc_id", F.when(F.col("text").isNotNull(), F.array_join(parts, "\n")).alias("text"))

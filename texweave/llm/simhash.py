@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, utf8
+from .common import checkpoint, map_batches, own, unused, utf8
 
 RADIUS = 3
 SHINGLE_WORDS = 3
@@ -71,9 +71,7 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fp (the fingerprint as a signed long) of every row; null texts count as empty."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        _fingerprint_batches, "doc_id long, fp long"
-    )
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _fingerprint_batches, "doc_id long, fp long")
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,7 +134,7 @@ def links(nodes: DataFrame) -> DataFrame:
         F.explode(F.transform(offsets, lambda d: d + F.col("key"))).alias("key"),
     )
     pairs = left.join(tiles, "key").where((F.col("key") != F.col("key_a")) | (F.col("tile") >= F.col("tile_a")))
-    return pairs.select("fps_a", "fps").mapInArrow(_compare_batches, "a long, b long")
+    return map_batches(pairs.select("fps_a", "fps"), _compare_batches, "a long, b long")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -185,11 +183,14 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     return prints.join(members, "fp").select("doc_id", text, "component_id")
 
 
-def _row_keys(docs: DataFrame) -> dict[str, Column]:
+def _row_keys(docs: DataFrame) -> list[Column]:
     """What tells rows apart: doc_id, a hash of the text, and one of all columns (maps left out) and their nulls."""
-    given = [F.col(f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    given = [c for c, f in zip(own(docs), docs.schema.fields, strict=True) if "map<" not in f.dataType.simpleString()]
     row = F.xxhash64(*given, *(c.isNull() for c in given))
-    return {"_one_id": F.col("doc_id").cast("long"), "_one_text": F.xxhash64(F.col("text").cast("string")), "_one_row": row}
+    return [F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")), row]
+
+
+_KEYS = ["id", "body", "row"]
 
 
 def _keyed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,23 +199,27 @@ def _keyed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(prints, pa.int64())], [*_KEYS, "fp"])
 
 
-_KEYS = ["_one_id", "_one_text", "_one_row"]
-
-
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: of each near-duplicate group the one with the smallest doc_id, nulls last.
 
     Rows are told apart by all their columns, not by doc_id alone: of rows of a group with the same
-    doc_id the one with the smallest hash stays, and of wholly equal rows one. All columns pass unchanged.
+    doc_id the one with the smallest hash stays, and of wholly equal rows one. Texts without words
+    and null texts are one group. All columns pass unchanged, whatever their names; an empty table
+    gives an empty result.
     """
     keys = _row_keys(docs)
-    rows = docs.select(*(c.alias(k) for k, c in keys.items()), F.col("text").cast("string").alias("text"))
-    prints = checkpoint(rows.mapInArrow(_keyed_batches, "_one_id long, _one_text long, _one_row long, fp long"))
+    rows = docs.select(*(c.alias(k) for k, c in zip(_KEYS, keys, strict=True)), F.col("text").cast("string").alias("text"))
+    prints = checkpoint(map_batches(rows, _keyed_batches, "id long, body long, row long, fp long"))
     each = prints.groupBy("fp", *_KEYS).agg(F.count("*").alias("n"))
-    first = F.min(F.struct(F.col("_one_id").isNull().alias("last"), *_KEYS, "n"))
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), *_KEYS, "n"))
     rooted = _rooted(checkpoint(each.groupBy("fp").agg(first.alias("low"))))
-    keep = checkpoint(rooted.groupBy("root").agg(F.min("low").alias("low")).select(*(F.col(f"low.{k}").alias(f"_kept{k}") for k in _KEYS), F.col("low.n").alias("n")))
-    repeated = keep.where("n > 1").limit(1).count()
-    same = [c.eqNullSafe(F.col(f"_kept{k}")) for k, c in keys.items()]
-    kept = docs.join(keep.drop("n"), same, "left_semi")
-    return kept.withColumns(keys).dropDuplicates(_KEYS).select(docs.columns) if repeated else kept
+    tag = unused(docs, "_kept")
+    keep = checkpoint(rooted.groupBy("root").agg(F.min("low").alias("low")).select(*(F.col(f"low.{k}").alias(f"{tag}_{k}") for k in _KEYS), F.col("low.n").alias(f"{tag}_n")))
+    repeated = keep.where(F.col(f"{tag}_n") > 1).limit(1).count()
+    same = [c.eqNullSafe(F.col(f"{tag}_{k}")) for k, c in zip(_KEYS, keys, strict=True)]
+    kept = docs.join(keep.drop(f"{tag}_n"), same, "left_semi")
+    if not repeated:
+        return kept
+    names = [f"{tag}_{k}" for k in _KEYS]
+    once = kept.withColumns(dict(zip(names, _row_keys(kept), strict=True))).dropDuplicates(names)
+    return once.select(own(once)[: len(docs.columns)])

@@ -17,14 +17,15 @@ import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from itertools import chain
 from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, fold_of, utf8
+from .common import bounded_batches, checkpoint, fold_of, map_batches, utf8
 
 BINS = 1 << 20
 SAMPLE_ROWS = 50_000  # labelled rows that the fit takes at most, those with the smallest hash of doc_id
@@ -37,7 +38,7 @@ _FOLDS_COUNT, _FOLD_CALIBRATE = (1, 2, 3), 4
 # Bytes that separate words: everything in ASCII but letters and digits.
 _SPLIT = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 _STEMS = (4, 5, 6, 7)
-_REMEMBERED = 200_000  # words whose scores a worker keeps at hand
+_REMEMBERED = 50_000  # words whose scores a worker keeps at hand
 
 
 @dataclass(frozen=True)
@@ -65,14 +66,19 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model, self.known = model, {}
-        self.bins = dict(zip(model.bins.tolist(), model.scores.tolist(), strict=True))
+        self.table = np.zeros(BINS)
+        self.table[model.bins] = model.scores
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words, known, score = words_of(text), self.known, self.bins.get
+        words, known = words_of(text), self.known
         if len(known) > _REMEMBERED:
             known.clear()
-        for word in set(words).difference(known):
-            known[word] = max((score(at, 0.0) for at in forms(word)), key=abs)
+        if new := list(set(words).difference(known)):
+            at = list(map(forms, new))
+            values = self.table[np.fromiter(chain.from_iterable(at), np.int64)]
+            first = np.cumsum([0, *map(len, at[:-1])])
+            low, high = np.minimum.reduceat(values, first), np.maximum.reduceat(values, first)
+            known.update(zip(new, np.where(-low > high, low, high).tolist(), strict=True))
         scores = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
         if len(words) > 1:  # a word said over and over is said once
             scores[1:][np.fromiter(map(eq, words[1:], words), bool, len(words) - 1)] = 0.0
@@ -209,7 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     none = np.zeros(0)
     if len(texts) < 2:
         return Model(none.astype(np.int64), none, TOLL, 1.0, 0.0, flat)
-    bins = counted.mapInArrow(_count_batches, "bin long, other long, toxic long").groupBy("bin").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
+    bins = map_batches(counted, _count_batches, "bin long, other long, toxic long").groupBy("bin").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
     bins = checkpoint(bins.withColumn("score", _log_odds("other", "toxic", texts)))
     every = bins.agg(F.sum("other")).first()[0] or 1
     found = bins.where("score <> 0").orderBy("bin").toArrow()  # at most BINS rows, in fact the few with evidence
@@ -219,8 +225,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     first = Model(found["bin"].to_numpy(), raw, toll, _lambda(np.append(raw, 0.0) - toll, weights), 0.0, (0.0, 0.0, 0.0))
 
     def measured(model: Model):
+        shared = docs.sparkSession.sparkContext.broadcast(tuple(vars(model).values()))  # at most BINS scores
+
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            scorer = Scorer(model)
+            scorer = Scorer(model := Model(*shared.value))
             for batch in batches:
                 made = []
                 for text in batch.column(0):
@@ -232,7 +240,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                 yield pa.RecordBatch.from_arrays([batch.column(1), *columns], ["toxic", "surprise", "n", "best"])
 
         held = sample.where(F.col("fold") == _FOLD_CALIBRATE).select("text", "_toxic")
-        return held.mapInArrow(each, "toxic int, surprise double, n double, best double").toArrow().to_pandas()  # 4 numbers a sampled row
+        return map_batches(held, each, "toxic int, surprise double, n double, best double").toArrow().to_pandas()  # 4 numbers a sampled row
 
     calm = measured(first)
     if calm["toxic"].nunique() < 2:
@@ -248,43 +256,51 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 PASSAGES = "array<struct<start: int, end: int, score: double>>"
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` and a struct _toxicity of score (0 to 1) and passages.
+def toxicity_of(text: Column, model: Model) -> Column:
+    """A struct of score (0 to 1) and passages of a text: only texts travel to Python, and in bounded batches.
 
     Passages are half-open ranges of word indexes, words being runs of letters, digits and
     characters beyond ASCII. Null and empty texts have no passages and still get a score.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(tuple(vars(model).values()))  # at most BINS scores
+    spark = SparkSession.active()
+    bounded_batches(spark)
+    shared = spark.sparkContext.broadcast(tuple(vars(model).values()))  # at most BINS scores
     passage = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])
     kind = pa.struct([("score", pa.float64()), ("passages", pa.list_(passage))])
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(model := Model(*shared.value))
-        for batch in batches:
+        for batch in texts:
             made = []
-            for text in batch.column("text"):
+            for text in batch:
                 surprise, found = _features(model, scorer(text.as_py()))
                 passages = [{"start": a, "end": b, "score": s} for a, b, s in found]
                 made.append({"score": _probability(model, surprise, len(found)), "passages": passages})
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, kind)], [*batch.schema.names, "_toxicity"])
+            yield pa.array(made, kind)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(each, f"{fields}, _toxicity struct<score: double, passages: {PASSAGES}>")
+    return F.arrow_udf(each, f"struct<score: double, passages: {PASSAGES}>")(text.cast("string"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, n_passages and passages of every row of ``docs``.
 
-    Repeated rows repeat. A null doc_id is not held out. An empty table gives an empty result.
+    Null and empty texts have no passages and get the score of a text without any; a long text is
+    scored whole. Repeated rows repeat. A null doc_id is not held out. Other columns of ``docs``
+    stay out. An empty table gives an empty result; what labels count says ``fit``.
     """
-    scored = score(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), fit(docs, labels))
-    return scored.select(
-        "doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), F.col("_toxicity.score").alias("score"),
-        (F.col("_toxicity.score") >= 0.5).cast("int").alias("predicted"),
-        F.size("_toxicity.passages").alias("n_passages"), F.col("_toxicity.passages").alias("passages"),
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), toxicity_of(F.col("text"), fit(docs, labels)).alias("found"))
+    return rows.select(
+        "doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), F.col("found.score").alias("score"),
+        (F.col("found.score") >= 0.5).cast("int").alias("predicted"),
+        F.size("found.passages").alias("n_passages"), F.col("found.passages").alias("passages"),
     )
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns unchanged, whose score is under 0.5."""
-    return score(docs, fit(docs, labels)).where("_toxicity.score < 0.5").drop("_toxicity")
+    """The rows of ``docs`` whose score is under 0.5: all columns unchanged, whatever their names.
+
+    Null and empty texts stay unless texts without passages are likelier toxic than not; repeated
+    rows share their fate. Without labels of both kinds, rows stay if the smoothed share of toxic
+    labels is under a half.
+    """
+    return docs.where(toxicity_of(F.col("text"), fit(docs, labels))["score"] < 0.5)
