@@ -24,7 +24,10 @@ CLEAN = "the quick brown fox jumps over the lazy dog and runs far away from the
 def documents(spark, rows):
     """Documents with extra columns whose names the operators use inside."""
     rows = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    return rows.select("*", *(F.lit(7).alias(c) for c in ("size", "fp", "score", "shard", "spans", "_id", "_hash", "s", "target")))
+    return rows.select("*", *(F.lit(k).alias(c) for k, c in enumerate(CLASHING)))
+
+
+CLASHING = "size fp score shard spans _id _hash s target _found _found_ _toxicity found _kept_id _KEPT _mix_times _mix_copy _shard_key a.b low root".split()
 
 
 @pytest.fixture(scope="module")
@@ -130,6 +133,15 @@ def test_contamination_edges(spark, odd):
     assert none == 0
 
 
+def test_contamination_in_blocks_and_shards(spark, tables, monkeypatch):
+    """Many benchmark blocks and many training shards find what one of each finds."""
+    docs, bench = tables["documents"], tables["benchmark"]
+    want = [sorted(map(str, f(docs, bench).collect())) for f in (decontaminate.contamination, decontaminate.decontaminate)]
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", bench.count() * 60)
+    assert len(list(decontaminate._blocks(bench, 10))) > 1
+    assert [sorted(map(str, f(docs, bench).collect())) for f in (decontaminate.contamination, decontaminate.decontaminate)] == want
+
+
 def test_fm_index_finds_all():
     rng = np.random.default_rng(3)
     docs = [rng.integers(0, 4, n) for n in (0, 1, 30, 200, 200)]
@@ -317,8 +329,22 @@ def test_sharded_documents(spark, odd, tables):
             assert sorted(str(tuple(r)[:-2]) for r in rows) == sorted(str(tuple(r)) for r in docs.collect())
     parts = sharding.sharded(tables["documents"], 4, 2000).groupBy(F.spark_partition_id()).agg(F.count_distinct("shard").alias("n")).collect()
     assert len(parts) > 8 and {r.n for r in parts} == {1}
-    with pytest.raises(ValueError):
-        sharding.sharded(odd)
+    assert sharding.sharded(odd).columns == [*odd.columns, "shard_", "slot"]
+
+
+def test_equal_texts_share_a_shard(spark):
+    """Groups of copies that are smaller than a shard stay whole; sizes differ by no more than a group."""
+    rows = [(1000 * g + k, f"text {g} " + "word " * (g % 7), "en", "a", 0) for g in range(200) for k in range(1 + g % 9)]
+    docs = documents(spark, rows)
+    found = sharding.assign(docs, 10).collect()
+    text = {i: t for i, t, *_ in rows}
+    shards, loads = collections.defaultdict(set), collections.Counter()
+    for r in found:
+        shards[text[r.doc_id]].add(r.shard)
+        loads[r.shard] += r["size"]
+    group = max(sum(len(t) + 16 for t in text.values() if t == x) for x in shards)
+    assert {len(x) for x in shards.values()} == {1}
+    assert max(loads.values()) - min(loads.values()) <= 2 * group
 
 
 # 9
@@ -378,6 +404,26 @@ def test_empty_tables(spark, tables, tmp_path, name):
     assert QUERIES[name](spark, str(tmp_path)).count() == 0
 
 
+def test_stages_on_odd_rows(spark, odd):
+    """Nulls, empty and long texts, repeats and clashing names pass all stages, which lose what their docstrings say."""
+    rows, given = {}, collections.Counter(map(str, odd.collect()))
+    docs = odd
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, DIR)
+        assert out.columns == (docs.columns if name != "sharding" else [*docs.columns, "shard_", "slot"])
+        docs = spark.createDataFrame(out.collect(), out.schema)
+        rows[name] = docs.collect()
+    ids = {name: sorted(str(r.doc_id) for r in found) for name, found in rows.items()}
+    assert ids["toxicity"] == sorted(str(r.doc_id) for r in odd.collect())
+    assert ids["near_duplicates"] == sorted(map(str, (1, 3, 6, None, 8, 9)))  # of equal texts and of those without words one each
+    assert not collections.Counter(map(str, rows["near_duplicates"])) - given
+    assert ids["decontamination"] == ids["near_duplicates"]
+    assert "3" not in ids["mixing"] and set(ids["mixing"]) <= set(ids["near_duplicates"])
+    assert ids["sharding"] == ids["mixing"]
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, odd.limit(0), DIR).count() == 0
+
+
 def test_pipeline(spark, tables):
     docs, seen = tables["documents"], {}
     for name, stage in corpus_pipeline.STAGES:
