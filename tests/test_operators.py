@@ -52,10 +52,9 @@ def test_merges_and_round_trip(spark):
     assert subwords.apply_merges(list("ababc"), {m: k for k, m in enumerate(merges)}) == ["abab", "c"]
     texts = [(1, r"\frac{dy}{dt} + 3.14"), (2, r"x_i^2"), (3, "")]
     rows = spark.createDataFrame(texts, "k int, t string")
-    typed = markup.token_rows(rows, "k", "t")
     vocabulary = subwords.extend(subwords.base_tokens(["\\frac"]), [], [("d", "y")], 2048)
-    back = subwords.encode(typed, "k", vocabulary).select("k", subwords.decode(F.col("ids"), vocabulary).alias("b")).collect()
-    assert {r.k: r.b for r in back} == {1: texts[0][1], 2: texts[1][1]}
+    back = subwords.encode(rows, "k", "t", vocabulary).select("k", subwords.decode(F.col("ids"), vocabulary).alias("b")).collect()
+    assert {r.k: r.b for r in back} == dict(texts)
 
 
 def test_packing_edges(spark):
@@ -70,6 +69,93 @@ def test_dense_index_is_dense_for_any_partitioning(spark):
     assert [r.idx for r in got] == list(range(1000))
 
 
+def test_dense_index_of_wide_rows_once_written(spark, tmp_path):
+    """Counts and rows see the same ranges, whatever columns each of them needs."""
+    rows = spark.range(400_000).select(F.xxhash64("id").alias("k"), F.repeat(F.lit("x"), 40).alias("wide"), F.col("id").alias("other"))
+    filters.dense_index(rows.repartition(13), ["k"]).write.parquet(f"{tmp_path}/t")
+    back = spark.read.parquet(f"{tmp_path}/t")
+    found = back.agg(F.count_distinct("idx").alias("n"), F.min("idx").alias("low"), F.max("idx").alias("high")).first()
+    assert tuple(found) == (400_000, 0, 399_999)
+    assert back.join(back.select((F.col("idx") + 1).alias("idx"), F.col("k").alias("before")), "idx").where("before > k").count() == 0
+
+
+def test_number_within_groups(spark):
+    rows = [("a", k) for k in range(50)] + [(None, k) for k in range(7)] + [("b", 1)] * 3
+    got = filters.number_within(spark.createDataFrame(rows, "g string, v int"), ["g"], ["v"], "i").collect()
+    assert sorted((r.g or "", r.i, r.i_n) for r in got) == sorted([("a", k, 50) for k in range(50)] + [("", k, 7) for k in range(7)] + [("b", k, 3) for k in range(3)])
+    assert all(r.i == r.v for r in got if r.g != "b")
+
+
+def test_packing_in_shards(spark):
+    rows = [("a", k, 60) for k in range(10)]
+    got = sequences.pack_greedy(spark.createDataFrame(rows, "g string, k int, s int"), "g", ["k"], "s", 200, shard_rows=4).orderBy("k").collect()
+    assert [(r.shard, r.bin) for r in got] == [(k // 4, k % 4 // 3) for k in range(10)]
+
+
+def test_quantiles_interpolate(spark):
+    rows = spark.createDataFrame([("a", float(v)) for v in (1, 2, 4, 8)] + [("b", 5.0), ("b", None)], "g string, v double")
+    got = {r.g: (r.q25, r.q50) for r in profiles.quantiles(rows, ["g"], "v", {"q25": 0.25, "q50": 0.5}).collect()}
+    assert got == {"a": (1.75, 3.0), "b": (5.0, 5.0)}
+
+
+def test_merges_against_a_plain_trainer(spark):
+    """Merges learned from the benchmark's words, and ids of its markup, as plain Python learns and finds them."""
+    import collections
+
+    from texweave.plans import markup_queries, views
+
+    DIR = "/root/testdata/sf0.001"
+    zones = {tuple(r.units): r.freq for r in markup_queries._word_zones(spark, DIR).collect()}
+    want, words = [], {z: n for z, n in zones.items() if n >= 2}
+    for _ in range(12):
+        pairs = collections.Counter()
+        for z, n in words.items():
+            for pair in zip(z, z[1:], strict=False):
+                pairs[pair] += n
+        best = min(pairs, key=lambda p: (-pairs[p], p))
+        want.append(best)
+        merged = collections.Counter()
+        for z, n in words.items():
+            out, k = [], 0
+            while k < len(z):
+                step = 2 if z[k : k + 2] == best else 1
+                out.append("".join(z[k : k + step]))
+                k += step
+            merged[tuple(out)] += n
+        words = merged
+    assert [(r.a, r.b) for r in markup_queries.bpe_merges(spark, DIR).orderBy("rank").collect()] == want
+    rows, vocabulary = markup_queries._vocabulary(spark, DIR)
+    ids, ranks = vocabulary.ids, {m: k for k, m in enumerate(vocabulary.merges)}
+    tokens = collections.defaultdict(list)
+    for r in markup.token_rows(rows, "idx", "latex").orderBy("idx", "pos").collect():
+        tokens[r.idx].append(r)
+    for r in subwords.encode(views.latex(spark, DIR), "idx", "latex", vocabulary).collect():
+        out, run = [2], []
+        for t in [*tokens[r.idx], None]:
+            if t is not None and not t.frozen:
+                run.append(t.token)
+                continue
+            out += [ids.get(u, 1) for u in subwords.apply_merges(run, ranks)] if run else []
+            run = []
+            if t is not None:
+                out += [ids.get(c, 1) for c in t.token] if t.ttype == "NUMBER" and t.token not in ids else [ids.get(t.token, 1)]
+        assert r.ids == [*out, 3]
+
+
+def test_environment_names_between_spaces(spark):
+    texts = [(1, r"\begin {align} x"), (2, r"\end{ pmatrix }"), (3, r"\begin{alignx}"), (4, r"\frac{align}")]
+    got = {}
+    for r in markup.token_rows(spark.createDataFrame(texts, "k int, t string"), "k", "t").where("ttype = 'ENV_NAME'").collect():
+        got[r.k] = r.token
+    assert got == {1: "align", 2: "pmatrix"}
+
+
+def test_distance_over_many_distinct_tokens(spark):
+    a = [f"t{k}" for k in range(60_000)]
+    rows = spark.createDataFrame([(["x", *a[1:3]], a[:3]), (a[:1] + a[56_000:56_010], a[:1] + a[56_001:56_010])], "a array<string>, b array<string>")
+    assert [r.d for r in rows.select(metrics.token_edit_distance(F.col("a"), F.col("b")).alias("d")).collect()] == [1, 1]
+
+
 def test_nearest_rank_is_not_interpolated(spark):
     rows = spark.createDataFrame([(v,) for v in [1, 2, 3, 4]], "v int")
     assert {r.name: r.value for r in profiles.nearest_rank(rows, "v", [0.5, 0.99]).collect()} == {"p50": 3, "p99": 4}

@@ -15,10 +15,18 @@ def char_edit_ratio(guess: Column, truth: Column) -> Column:
 
 def token_edit_distance(a: Column, b: Column) -> Column:
     """Edits between arrays of tokens: each distinct token of the pair stands as one character."""
-    alphabet = F.array_distinct(F.concat(a, b))
-    code = lambda t: F.decode(F.unhex(F.hex(F.array_position(alphabet, t) + 0x4E00)), "UTF-16BE")
-    spelled = lambda x: F.array_join(F.transform(x, code), "")
-    return F.when(a == b, 0).otherwise(F.levenshtein(spelled(a), spelled(b)))
+
+    def spelled(items: Column, alphabet: Column) -> Column:
+        def code(token: Column) -> Column:
+            at = F.array_position(alphabet, token)
+            at = F.when(at < 0xD800, at).otherwise(at + 0x800)  # past the surrogates, which are no characters
+            return F.decode(F.unhex(F.lpad(F.hex(at), 8, "0")), "UTF-32")
+
+        return F.array_join(F.transform(items, code), "")
+
+    # The alphabet is bound once a row, as the one element of an array, not once a token.
+    once = F.array(F.array_distinct(F.concat(a, b)))
+    return F.when(a == b, 0).otherwise(F.transform(once, lambda alphabet: F.levenshtein(spelled(a, alphabet), spelled(b, alphabet)))[0])
 
 
 def normalized_token_distance(a: Column, b: Column) -> Column:

@@ -2,37 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections import Counter
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 
 
-def ngram_counts(pairs: DataFrame, key: str, items: str, most: int = 4) -> DataFrame:
-    """key, n, gram and c."""
-    def order(n: int):
-        return F.transform(M.ngrams(F.col(items), n), lambda gram: F.struct(F.lit(n).alias("n"), gram.alias("gram")))
+def clipped_matches(most: int) -> Callable[[Column, Column], Column]:
+    """For a pair of token arrays, the clipped n-gram matches of each order up to ``most``, as an array."""
+
+    def each(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for guesses, truths in columns:
+            made = []
+            for guess, truth in zip(guesses, truths, strict=True):
+                g, t = guess.as_py() or [], truth.as_py() or []
+                grams = lambda x, n: Counter(zip(*(x[k:] for k in range(n)), strict=False))
+                made.append([(grams(g, n) & grams(t, n)).total() for n in range(1, most + 1)])
+            yield pa.array(made, pa.list_(pa.int64()))
 
-    grams = F.flatten(F.array(*map(order, range(1, most + 1))))
-    return pairs.select(key, F.explode(grams).alias("g")).groupBy(key, F.col("g.n").alias("n"), F.col("g.gram").alias("gram")).agg(F.count("*").alias("c"))
+    return F.arrow_udf(each, "array<long>")
 
 
-def bleu(pairs: DataFrame, key: str, guess: str, truth: str, most: int = 4, smoothing: float = 0.1) -> DataFrame:
+def bleu(pairs: DataFrame, guess: str, truth: str, most: int = 4, smoothing: float = 0.1) -> DataFrame:
     """One row: bleu. Clipped matches are summed over the corpus; an order without a match counts as ``smoothing``."""
-    keys = [key, "n", "gram"]
-    matched = ngram_counts(pairs, key, guess, most).join(ngram_counts(pairs, key, truth, most).withColumnRenamed("c", "t"), keys)
-    hits = matched.groupBy("n").agg(F.sum(F.least("c", "t")).alias("hit"))
-    sizes = pairs.agg(
-        F.sum(F.size(guess)).alias("h"), F.sum(F.size(truth)).alias("r"),
-        *(F.sum(F.greatest(F.size(guess) - (n - 1), F.lit(0))).alias(f"of{n}") for n in range(1, most + 1)),
+    orders = range(1, most + 1)
+    found = pairs.select(F.size(guess).alias("h"), F.size(truth).alias("r"), clipped_matches(most)(F.col(guess), F.col(truth)).alias("hits"))
+    sums = found.agg(
+        F.sum("h").alias("h"), F.sum("r").alias("r"), *(F.sum(F.col("hits")[n - 1]).alias(f"hit{n}") for n in orders),
+        *(F.sum(F.greatest(F.col("h") - (n - 1), F.lit(0))).alias(f"of{n}") for n in orders),
     )
-    orders = sizes.select("h", "r", F.posexplode(F.array(*(f"of{n}" for n in range(1, most + 1)))).alias("k", "of"))
-    scored = orders.withColumn("n", F.col("k") + 1).join(hits, "n", "left")  # as many rows as orders
-    hit = F.coalesce("hit", F.lit(0))
-    precision = F.when(hit == 0, F.lit(smoothing)).otherwise(hit) / F.greatest("of", F.lit(1))
-    brevity = F.when(F.first("h") >= F.first("r"), 1.0).otherwise(F.exp(1 - F.first("r") / F.first("h")))
-    value = F.exp(F.avg(F.log(precision))) * brevity
-    return scored.agg(F.when(F.max(F.when(F.col("n") == 1, hit)) == 0, 0.0).otherwise(value).alias("bleu"))
+    smooth = lambda n: F.when(F.col(f"hit{n}") == 0, F.lit(smoothing)).otherwise(F.col(f"hit{n}")) / F.greatest(f"of{n}", F.lit(1))
+    mean = sum((F.log(smooth(n)) for n in orders), F.lit(0.0)) / most
+    brevity = F.when(F.col("h") >= F.col("r"), 1.0).otherwise(F.exp(1 - F.col("r") / F.col("h")))
+    return sums.select(F.when(F.col("hit1") == 0, 0.0).otherwise(F.exp(mean) * brevity).alias("bleu"))
 
 
 def match_scores(pairs: DataFrame, guess: str, truth: str) -> DataFrame:

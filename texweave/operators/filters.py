@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as T
+from ..sources.storage import checkpoint
 
 
 def drop_reason(latex: Column, aspect: Column, readable: Column | None = None) -> Column:
@@ -38,18 +39,32 @@ def cap_per_key(rows: DataFrame, key: str | Column, order: list[str], most: int
 
 
 def dense_index(rows: DataFrame, order: list[str], name: str = "idx") -> DataFrame:
-    """``rows`` with 0, 1, 2, ... in order.
+    """``rows`` with 0, 1, 2, ... in order; rows that agree in ``order`` are numbered in any order.
 
     Rows are range-partitioned by the order, numbered inside each partition, and lifted by the
-    counts of the partitions before; no partition holds more than its range.
+    counts of the partitions before; no partition holds more than its range. The ranges come from
+    a sample, so the numbered rows are materialized once: counts and rows see the same ranges.
     """
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_place_at", F.monotonically_increasing_id())
-    ranged = ranged.withColumn("_place_p", F.shiftright("_place_at", 33)).withColumn("_place_i", F.col("_place_at").bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = ranged.groupBy("_place_p").agg(F.count("*").alias("_n"))
-    before = W.orderBy("_place_p").rowsBetween(W.unboundedPreceding, -1)  # one row a partition
-    base = F.broadcast(sizes.select("_place_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_place_base")))
-    return ranged.join(base, "_place_p").withColumn(name, F.col("_place_base") + F.col("_place_i")).drop("_place_at", "_place_p", "_place_i", "_place_base")
+    at, part, base_ = f"_{name}_at", f"_{name}_part", f"_{name}_base"
+    by = [*order, at]  # the row's own number at last, so that rows that agree spread over ranges
+    ranged = rows.withColumn(at, F.monotonically_increasing_id()).repartitionByRange(*by).sortWithinPartitions(*by).withColumn(at, F.monotonically_increasing_id())
+    ranged = checkpoint(ranged.withColumn(part, F.shiftright(at, 33)).withColumn(at, F.col(at).bitwiseAND(F.lit((1 << 33) - 1))))
+    before = W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)  # one row a partition
+    sizes = ranged.groupBy(part).agg(F.count("*").alias("_n"))
+    base = F.broadcast(sizes.select(part, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(base_)))
+    return ranged.join(base, part).withColumn(name, F.col(base_) + F.col(at)).drop(at, part, base_)
+
+
+def number_within(rows: DataFrame, groups: list[str], order: list[str], name: str) -> DataFrame:
+    """``rows`` with 0, 1, 2, ... in order within their group, and ``name``_n, the group's rows.
+
+    All rows are numbered in one order of groups, and each group is lowered by its first number:
+    a group with a third of the rows is spread over tasks like any other stretch.
+    """
+    placed = dense_index(rows, [*groups, *order], name)
+    held = placed.groupBy(*(F.col(g).alias(f"_of_{g}") for g in groups)).agg(F.min(name).alias(f"_{name}_first"), F.count("*").alias(f"{name}_n"))
+    same = [F.col(g).eqNullSafe(F.col(f"_of_{g}")) for g in groups]
+    return placed.join(held, same).withColumn(name, F.col(name) - F.col(f"_{name}_first")).drop(f"_{name}_first", *(f"_of_{g}" for g in groups))
 
 
 def shard_number(index: Column, rows_per_shard: int = 50_000) -> Column:

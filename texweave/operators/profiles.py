@@ -2,21 +2,47 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as T
+from ..sources.storage import checkpoint
+from .filters import dense_index, number_within
+
+
+def quantiles(rows: DataFrame, groups: list[str], column: str, shares: dict[str, float]) -> DataFrame:
+    """Interpolated quantiles of a column by group, exact at any size: the values that they lie between are found by their place in a sort."""
+    values = rows.where(F.col(column).isNotNull()).select(*groups, F.col(column).alias("_v"))
+    keys = groups or ["_all"]
+    values = values if groups else values.withColumn("_all", F.lit(0))
+    placed = number_within(values, keys, ["_v"], "_k")
+    spots = {name: (F.col("_k_n") - 1) * share for name, share in shares.items()}
+    near = [F.col("_k").between(F.floor(at), F.ceil(at)) for at in spots.values()]
+    found = placed.where(reduce(or_, near))  # at most two rows a quantile and group
+
+    def between(at: Column) -> Column:
+        low, high = (F.max(F.when(F.col("_k") == f(at), F.col("_v"))) for f in (F.floor, F.ceil))
+        return low + (high - low) * F.max(at - F.floor(at))
+
+    return found.groupBy(*keys).agg(*(between(at).alias(name) for name, at in spots.items())).select(*groups, *shares)
 
 
 def describe(rows: DataFrame, groups: list[str], columns: list[str]) -> DataFrame:
-    """count, mean, sample deviation, min, quartiles (interpolated) and max of each column, in one pass."""
+    """count, mean, sample deviation, min, quartiles (interpolated) and max of each column."""
     found = []
     for c in columns:
-        quartile = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
         found += [F.count(c).alias(f"{c}_count"), F.avg(c).alias(f"{c}_mean"), F.stddev_samp(c).alias(f"{c}_std"), F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max")]
-        found += [quartile[k].alias(f"{c}_p{p}") for k, p in enumerate((25, 50, 75))]
-    return rows.groupBy(*groups).agg(*found)
+    out = rows.groupBy(*groups).agg(*found)
+    for c in columns:
+        quartiles = quantiles(rows, groups, c, {f"{c}_p{p}": p / 100 for p in (25, 50, 75)})
+        quartiles = quartiles.select(*(F.col(g).alias(f"_of_{g}") for g in groups), *(f"{c}_p{p}" for p in (25, 50, 75)))
+        same = [F.col(g).eqNullSafe(F.col(f"_of_{g}")) for g in groups] or F.lit(True)
+        out = out.join(quartiles, same, "left").drop(*(f"_of_{g}" for g in groups))
+    return out
 
 
 def count_flags(rows: DataFrame, groups: list[str], flags: dict[str, Column]) -> DataFrame:
@@ -31,7 +57,7 @@ def duplicates(rows: DataFrame, groups: list[str], values: dict[str, Column]) ->
 
 def histogram(rows: DataFrame, column: str, bins: int = 60, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """bin, n and density after values are cut to two quantiles."""
-    edges = rows.agg(F.percentile(column, F.array(F.lit(low), F.lit(high))).alias("q")).select(F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
+    edges = quantiles(rows, [], column, {"lo": low, "hi": high})
     cut = rows.select(F.col(column).alias("v")).where("v is not null").join(F.broadcast(edges))  # one row
     value = F.greatest(F.col("lo"), F.least(F.col("v"), F.col("hi")))
     width = (F.col("hi") - F.col("lo")) / bins
@@ -74,16 +100,17 @@ def issue_grades(counts: DataFrame, issues: list[str], total: str = "n") -> Data
 
 
 def nearest_rank(rows: DataFrame, column: str, shares: list[float]) -> DataFrame:
-    """name and value of the element at int(n * share) of the sorted values.
-
-    Distinct values are counted and their counts summed in order; only distinct values meet.
-    """
-    counted = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("c"))
-    order = W.orderBy("v")
-    placed = counted.select("v", F.sum("c").over(order).alias("upto"), F.sum("c").over(W.partitionBy(F.lit(1))).alias("n"))
-    at = lambda s: F.least(F.floor(F.col("n") * s), F.col("n") - 1)
-    out = [placed.where(F.col("upto") > at(s)).agg(F.min("v").alias("value")).select(F.lit(f"p{round(s * 100)}").alias("name"), "value") for s in shares]
-    first = out[0]
-    for other in out[1:]:
-        first = first.unionByName(other)
-    return first
+    """name and value of the element at int(n * share) of the sorted values, found by its place in a sort."""
+    values = dense_index(rows.where(F.col(column).isNotNull()).select(F.col(column).alias("value")), ["value"], "_k")
+    n = values.agg(F.max("_k") + 1).first()[0] or 0
+    at = {f"p{round(s * 100)}": min(int(n * s), n - 1) for s in shares}
+    names = F.filter(F.array(*(F.when(F.col("_k") == k, F.lit(name)) for name, k in at.items())), lambda x: x.isNotNull())
+    return values.where(F.col("_k").isin(list(at.values()))).select(F.explode(names).alias("name"), "value")
+
+
+def length_summary(rows: DataFrame, ids: str, unknown: int) -> DataFrame:
+    """One row on encoded texts: n, shortest, mean and longest, p50, p95 and p99 by nearest rank, and the rate of unknown ids."""
+    sized = checkpoint(rows.select(F.size(ids).cast("long").alias("_size"), F.size(F.filter(ids, lambda i: i == unknown)).alias("_unknown")))  # two numbers a text
+    ranks = nearest_rank(sized, "_size", [0.5, 0.95, 0.99]).groupBy().agg(*(F.max(F.when(F.col("name") == p, F.col("value"))).alias(p) for p in ("p50", "p95", "p99")))
+    whole = sized.agg(F.count("*").alias("n"), F.min("_size").alias("shortest"), F.avg("_size").alias("mean"), F.max("_size").alias("longest"), (F.sum("_unknown") / F.sum("_size")).alias("unk_rate"))
+    return whole.join(ranks)  # one row each

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .filters import dense_index, number_within
+
 
 def keyed(key: Column, seed: int = 42) -> Column:
     """A pseudorandom order of keys."""
@@ -19,10 +21,10 @@ def per_group(rows: DataFrame, group: str, key: str, n: int, seed: int = 42) ->
 
 def share_of_class(rows: DataFrame, group: str, key: str, where: Column, share: float, seed: int = 42) -> DataFrame:
     """Rows outside a class, and of the class an exact share (half to even) of each group."""
-    order = W.partitionBy(group, "_in").orderBy(keyed(F.col(key), seed), key)
-    marked = rows.withColumn("_in", F.coalesce(where, F.lit(False))).withColumn("_rank", F.row_number().over(order))
-    sized = marked.withColumn("_n", F.count("*").over(W.partitionBy(group, "_in")))
-    return sized.where(~F.col("_in") | (F.col("_rank") <= F.bround(F.col("_n") * share))).drop("_in", "_rank", "_n")
+    marked = rows.withColumn("_in", F.coalesce(where, F.lit(False)))
+    chosen = number_within(marked.where("_in").withColumn("_draw", keyed(F.col(key), seed)), [group], ["_draw", key], "_rank")
+    chosen = chosen.where(F.col("_rank") < F.bround(F.col("_rank_n") * share))
+    return marked.where("not _in").drop("_in").unionByName(chosen.drop("_in", "_draw", "_rank", "_rank_n"))
 
 
 def exactly(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
@@ -53,13 +55,19 @@ def interleave(rows: DataFrame, source: str, order: list[str], weights: dict[str
     the first source would run dry.
     """
     weight = F.coalesce(*(F.when(F.col(source) == k, F.lit(float(w))) for k, w in weights.items()), F.lit(1.0))
-    placed = rows.withColumn(name, (F.row_number().over(W.partitionBy(source).orderBy(*order)) - 0.5) / weight)
+    placed = number_within(rows, [source], order, "_k").withColumn(name, (F.col("_k") + 0.5) / weight).drop("_k", "_k_n")
     if until == "all":
         return placed
     ends = placed.groupBy(source).agg(F.max(F.col(name) + 0.5 / weight).alias("_end")).agg(F.min("_end").alias("_end"))
     return placed.join(F.broadcast(ends), F.col(name) < F.col("_end")).drop("_end")  # one row
 
 
+def shuffled_within(rows: DataFrame, file: str, key: str, seed: int = 42, name: str = "place") -> DataFrame:
+    """``rows`` with their place in a keyed shuffle of each file."""
+    out = number_within(rows.withColumn("_draw", keyed(F.col(key), seed)), [file], ["_draw", key], name)
+    return out.drop("_draw", f"{name}_n")
+
+
 def weighted_choice(key: Column, options: list[tuple[str, float]], seed: int = 42) -> Column:
     """One of the options by cumulative weight, from the key alone."""
     draw = F.conv(F.substring(keyed(key, seed), 1, 8), 16, 10).cast("double") / (1 << 32)
@@ -72,8 +80,6 @@ def weighted_choice(key: Column, options: list[tuple[str, float]], seed: int = 4
 
 def minibatches(rows: DataFrame, order: list[str], key: str, size: int, drop_last: bool = False) -> DataFrame:
     """batch and keys: rows in order, ``size`` a batch."""
-    from .filters import dense_index
-
     placed = dense_index(rows, order, "_i").withColumn("batch", F.floor(F.col("_i") / size))
     out = placed.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("_i", key))).alias("_k"))
     out = out.select("batch", F.col(f"_k.{key}").alias("keys"))

@@ -6,14 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .filters import number_within, shard_number
 
-def pack_greedy(rows: DataFrame, group: str, order: list[str], size: str, most: int = 200) -> DataFrame:
-    """``rows`` with bin: sequences in order, a new bin where the next does not fit; longer ones count as ``most``, empty ones have none.
 
-    A fold over each group's sizes alone, in SQL; the group (a shard of the stream) bounds the fold.
+def pack_greedy(rows: DataFrame, group: str, order: list[str], size: str, most: int = 200, shard_rows: int = 4096) -> DataFrame:
+    """``rows`` with shard and bin: sequences in order, a new bin where the next does not fit; longer ones count as ``most``, empty ones have none.
+
+    A group is cut into shards of ``shard_rows`` sequences, and each shard is packed on its own,
+    as a fold in SQL over its sizes alone: no task holds a whole group.
     """
-    item = F.struct(*order, F.least(F.col(size), F.lit(most)).cast("long").alias("_s"))
-    ordered = rows.where(F.col(size) > 0).groupBy(group).agg(F.array_sort(F.collect_list(item)).alias("_items"))
+    placed = number_within(rows.where(F.col(size) > 0).select(group, *order, F.least(F.col(size), F.lit(most)).cast("long").alias("_s")), [group], order, "_k")
+    placed = placed.withColumn("_shard", shard_number(F.col("_k"), shard_rows))
+    ordered = placed.groupBy(group, "_shard").agg(F.array_sort(F.collect_list(F.struct("_k", *order, "_s"))).alias("_items"))
     start = F.struct(F.lit(0).cast("long").alias("fill"), F.lit(0).cast("long").alias("bin"), F.array().cast("array<bigint>").alias("bins"))
 
     def step(a: Column, x: Column) -> Column:
@@ -22,9 +26,9 @@ def pack_greedy(rows: DataFrame, group: str, order: list[str], size: str, most:
         fill = F.when(fits, a["fill"] + x["_s"]).otherwise(x["_s"])
         return F.struct(fill.alias("fill"), bin_.alias("bin"), F.concat(a["bins"], F.array(bin_)).alias("bins"))
 
-    packed = ordered.select(group, "_items", F.aggregate("_items", start, step)["bins"].alias("_bins"))
-    each = packed.select(group, F.explode(F.arrays_zip("_items", "_bins")).alias("_z"))
-    return each.select(group, *(F.col(f"_z._items.{c}").alias(c) for c in order), F.col("_z._items._s").alias("packed_size"), F.col("_z._bins").alias("bin"))
+    packed = ordered.select(group, "_shard", "_items", F.aggregate("_items", start, step)["bins"].alias("_bins"))
+    each = packed.select(group, F.col("_shard").alias("shard"), F.explode(F.arrays_zip("_items", "_bins")).alias("_z"))
+    return each.select(group, "shard", *(F.col(f"_z._items.{c}").alias(c) for c in order), F.col("_z._items._s").alias("packed_size"), F.col("_z._bins").alias("bin"))
 
 
 def padded(ids: Column, most: int, pad: int = 0, ignored: int = -100) -> dict[str, Column]:
@@ -71,6 +75,7 @@ def latest(files: DataFrame, path: str, number: Column) -> DataFrame:
 
 
 def beyond_last(files: DataFrame, path: str, number: Column, keep: int) -> DataFrame:
-    """What a keep-the-last-n policy deletes from a listing."""
-    ranked = files.withColumn("step", number).withColumn("_rank", F.row_number().over(W.orderBy(F.desc(number), path)))  # a listing
-    return ranked.where(F.col("_rank") > keep).drop("_rank")
+    """What a keep-the-last-n policy deletes from a listing: all but the ``keep`` largest, ties by path."""
+    listed = files.withColumn("step", number)
+    kept = listed.orderBy(F.desc("step"), path).limit(keep).select(F.col(path).alias("_path"))
+    return listed.join(F.broadcast(kept), F.col(path) == F.col("_path"), "left_anti")  # ``keep`` rows

@@ -9,14 +9,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import markup
+from ..sources.storage import checkpoint
 
 SPECIAL = ("<pad>", "<unk>", "<bos>", "<eos>")
 PAD, UNK, BOS, EOS = range(4)
+STEPS_KEPT = 10
 
 
 @dataclass
@@ -38,15 +40,21 @@ def base_tokens(commands: list[str], environments: list[str] = markup.ENVIRONMEN
     return list(dict.fromkeys([*SPECIAL, *commands, *environments, *markup.SYMBOLS, *characters]))
 
 
-def frequent_commands(typed: DataFrame, least: int = 2, most: int = 512) -> DataFrame:
-    counted = typed.where("ttype in ('COMMAND', 'ESCAPED', 'LINEBREAK')").groupBy("token").agg(F.count("*").alias("n"))
-    return counted.where(F.col("n") >= least).orderBy(F.desc("n"), "token").limit(most)
+def token_counts(typed: DataFrame) -> DataFrame:
+    """token, ttype and n: one pass over the corpus for all that vocabularies need of single tokens."""
+    return typed.groupBy("token", "ttype").agg(F.count("*").alias("n"))
 
 
-def number_slots(typed: DataFrame, merges: int, least: int = 2) -> DataFrame:
+def frequent_commands(counted: DataFrame, least: int = 2, most: int = 512) -> DataFrame:
+    """token and n of the most frequent commands among counted tokens."""
+    found = counted.where("ttype in ('COMMAND', 'ESCAPED', 'LINEBREAK')").groupBy("token").agg(F.sum("n").alias("n"))
+    return found.where(F.col("n") >= least).orderBy(F.desc("n"), "token").limit(most)
+
+
+def number_slots(counted: DataFrame, merges: int, least: int = 2) -> DataFrame:
     """Numbers that get a token of their own: frequent ones, at most a quarter of the merges and 512."""
-    counted = typed.where("ttype = 'NUMBER'").groupBy("token").agg(F.count("*").alias("n"))
-    return counted.where(F.col("n") >= least).orderBy(F.desc("n"), "token").limit(min(512, merges // 4))
+    found = counted.where("ttype = 'NUMBER'").select("token", "n")
+    return found.where(F.col("n") >= least).orderBy(F.desc("n"), "token").limit(min(512, merges // 4))
 
 
 def zone_counts(zones: DataFrame) -> DataFrame:
@@ -75,20 +83,26 @@ def merge_pair(units: Column, a: str, b: str) -> Column:
 
 
 def learn_merges(counted: DataFrame, n: int, least: int = 2) -> list[tuple[str, str]]:
-    """Merge rules in order; ties by code point. Each step is one job over distinct zones; the driver sees the best pair."""
+    """Merge rules in order; ties by code point. Each step is one job over distinct zones; the driver sees the best pair.
+
+    Zones that are rewritten are kept at hand, and written to the checkpoint folder every
+    ``STEPS_KEPT`` merges, so that plans stay short however many merges are learned.
+    """
     counted, merges = counted.where(F.col("freq") >= least).cache(), []
-    for _ in range(n):
-        best = pair_counts(counted).orderBy(F.desc("n"), "a", "b").first()
-        if best is None or best.n < least:
-            break
-        merges.append((best.a, best.b))
-        pair = F.array_contains("units", best.a) & F.array_contains("units", best.b)
-        later = counted.withColumn("units", F.when(pair, merge_pair(F.col("units"), best.a, best.b)).otherwise(F.col("units"))).cache()
-        if len(merges) % 10 == 0:  # keep the plan short
-            later = later.checkpoint() if later.sparkSession.sparkContext.getCheckpointDir() else later
-        later.count()
+    try:
+        for _ in range(n):
+            best = pair_counts(counted).orderBy(F.desc("n"), "a", "b").first()
+            if best is None or best.n < least:
+                break
+            merges.append((best.a, best.b))
+            pair = F.array_contains("units", best.a) & F.array_contains("units", best.b)
+            later = counted.withColumn("units", F.when(pair, merge_pair(F.col("units"), best.a, best.b)).otherwise(F.col("units")))
+            later = checkpoint(later) if len(merges) % STEPS_KEPT == 0 else later.cache()
+            later.count()
+            counted.unpersist()
+            counted = later
+    finally:
         counted.unpersist()
-        counted = later
     return merges
 
 
@@ -118,12 +132,12 @@ def extend(base: list[str], numbers: list[str], merges: list[tuple[str, str]], s
     return Vocabulary(tokens, used)
 
 
-def encode(typed: DataFrame, key: str, vocabulary: Vocabulary, most: int | None = None, special: bool = True) -> DataFrame:
-    """key and ids of each text from its typed tokens. A cut at ``most`` may lose the end mark."""
-    ids, ranks = vocabulary.ids, {pair: k for k, pair in enumerate(vocabulary.merges)}
+def encode(rows: DataFrame, key: str, text: str, vocabulary: Vocabulary, most: int | None = None, special: bool = True) -> DataFrame:
+    """key and ids of each text. A cut at ``most`` may lose the end mark. Texts are lexed in place; nothing is exchanged."""
+    shared = rows.sparkSession.sparkContext.broadcast((vocabulary.ids, {pair: k for k, pair in enumerate(vocabulary.merges)}))  # a vocabulary
 
-    @F.pandas_udf("array<int>")
-    def encoded(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def encoded(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        ids, ranks = shared.value
         known: dict[tuple[str, ...], list[int]] = {}
 
         def units(run: tuple[str, ...]) -> list[int]:
@@ -145,11 +159,11 @@ def encode(typed: DataFrame, key: str, vocabulary: Vocabulary, most: int | None
             out += units(tuple(run)) if run else []
             return (out + [EOS] * special)[:most]
 
-        for tokens, frozen, kinds in batches:
-            yield pd.Series([one(*row) for row in zip(tokens, frozen, kinds, strict=True)])
+        for batch in batches:
+            yield pa.array([one(*(x.as_py() or [] for x in row)) for row in zip(*batch, strict=True)], pa.list_(pa.int32()))
 
-    rows = typed.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "token", "frozen", "ttype"))).alias("_t"))
-    return rows.select(key, encoded(F.col("_t.token"), F.col("_t.frozen"), F.col("_t.ttype")).alias("ids"))
+    lexed = rows.select(key, markup.typed(F.col(text)).alias("_t"))
+    return lexed.select(key, F.arrow_udf(encoded, "array<int>")(F.col("_t.token"), F.col("_t.frozen"), F.col("_t.ttype")).alias("ids"))
 
 
 def decode(ids: Column, vocabulary: Vocabulary, skip_special: bool = True, unknown: str | None = None) -> Column:
@@ -175,3 +189,11 @@ def compression(rows: DataFrame, text: str, ids: str) -> DataFrame:
         F.avg(ratio).alias("ratio_mean"), F.stddev_samp(ratio).alias("ratio_std"), F.percentile(ratio, F.lit(0.5)).alias("ratio_median"),
         (F.sum(unknown) / F.sum(size)).alias("unk_rate"), F.avg((unknown > 0).cast("int")).alias("unk_share"), F.avg(size).alias("tokens_per_text"),
     )
+
+
+def intact_rates(rows: DataFrame, commands: str, parts: str) -> DataFrame:
+    """cmd, n and intact: the share of a command's occurrences that a tokenization keeps as one part."""
+    each = rows.select(F.explode(F.array_distinct(commands)).alias("cmd"), commands, parts)
+    times = lambda items: F.size(F.filter(items, lambda x: x == F.col("cmd")))
+    counted = each.select("cmd", times(commands).alias("n"), times(parts).alias("kept"))
+    return counted.groupBy("cmd").agg(F.sum("n").alias("n"), (F.sum(F.least("n", "kept")) / F.sum("n")).alias("intact"))

@@ -94,11 +94,12 @@ def dup_groups(spark, sf_dir):
     return rows.agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
 
 
-@query("""select page_id, length(cut) - length(replace(cut, '{', '')) = length(cut) - length(replace(cut, '}', '')) as balanced
-  from (select page_id, substr(html, 1, 150 + page_id % 40) as cut from pages)""")
+@query("""select page_id, length(html) - length(replace(html, '{', '')) as opened, length(html) - length(replace(html, '}', '')) as closed,
+  opened = closed as balanced from pages""")
 def brace_balance(spark, sf_dir):
-    cut = F.substring(F.col("html"), F.lit(1), (150 + F.col("page_id") % 40).cast("int"))
-    return table(spark, sf_dir, "pages").select("page_id", T.braces_balanced(cut).alias("balanced"))
+    html = F.col("html")
+    opened, closed = (F.regexp_count(html, F.lit(x)).cast("long") for x in (r"\{", r"\}"))
+    return table(spark, sf_dir, "pages").select("page_id", opened.alias("opened"), closed.alias("closed"), T.braces_balanced(html).alias("balanced"))
 
 
 @query("""with q as (select quantile_cont(value, 0.01) as lo, quantile_cont(value, 0.99) as hi from events),
@@ -213,6 +214,17 @@ def shortened_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.shortened(F.col("text"), 60).alias("shown"))
 
 
+@query("""select doc_id, source, row_number() over (partition by source order by md5(doc_id || ':42'), doc_id) - 1 as place from documents""")
+def shuffle_in_file(spark, sf_dir):
+    return sampling.shuffled_within(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id")
+
+
+@query(f"select count(distinct trim(latex)) as n_unique from {LATEX_SQL} where length(trim(latex)) between 3 and 400")
+def unique_retained(spark, sf_dir):
+    kept = latex(spark, sf_dir).where(filters.length_reason(F.col("latex")).isNull())
+    return kept.agg(F.count_distinct(T.stripped(F.col("latex"))).alias("n_unique"))
+
+
 @query("""with v as (select n_chars as v, row_number() over (order by n_chars) - 1 as i, count(*) over () as n from documents)
   select 'p' || k as name, max(v) filter (i = least(floor(n * k / 100.0), n - 1)) as value from v, unnest([50, 95, 99]) t(k) group by k""")
 def tok_len_stats(spark, sf_dir):
@@ -220,17 +232,17 @@ def tok_len_stats(spark, sf_dir):
 
 
 @query("""select doc_id, (2 * row_number() over (partition by source order by doc_id) - 1) / 2.0 / case source when 'src0' then 3.0 when 'src1' then 2.0 else 1.0 end as place
-  from documents where source in ('src0', 'src1', 'src2')""")
+  from documents""")
 def interleave_weighted(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").where(F.col("source").isin("src0", "src1", "src2")).select("doc_id", "source")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source")
     return sampling.interleave(rows, "source", ["doc_id"], {"src0": 3, "src1": 2, "src2": 1}).select("doc_id", "place")
 
 
 @query("""with r as (select doc_id, source, case source when 'src0' then 3.0 when 'src1' then 2.0 else 1.0 end as w,
-    row_number() over (partition by source order by doc_id) as k from documents where source in ('src0', 'src1', 'src2'))
+    row_number() over (partition by source order by doc_id) as k from documents)
   select doc_id from r where (k - 0.5) / w < (select min(e) from (select max((k - 0.5) / w + 0.5 / w) as e from r group by source))""")
 def interleave_first_exhausted(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").where(F.col("source").isin("src0", "src1", "src2")).select("doc_id", "source")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source")
     return sampling.interleave(rows, "source", ["doc_id"], {"src0": 3, "src1": 2, "src2": 1}, until="first").select("doc_id")
 
 

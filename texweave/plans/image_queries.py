@@ -22,10 +22,10 @@ def pad_geometry(spark, sf_dir):
 
 
 @query(f"""select idx, cast(floor(k / (w // 16)) as integer) as row, cast(k % (w // 16) as integer) as col
-  from (select idx, w, unnest(range(0, least((w // 16) * (h // 16), 64))) as k from {LATEX_SQL} where h >= 16 and w >= 16)""")
+  from (select idx, w, unnest(range(0, least((w // 16) * (h // 16), 4096))) as k from {LATEX_SQL} where h >= 16 and w >= 16)""")
 def patch_grid(spark, sf_dir):
     rows = latex(spark, sf_dir).where("h >= 16 and w >= 16")
-    each = rows.select("idx", F.explode(I.patch_positions(F.col("w"), F.col("h"), most=64)).alias("p"))
+    each = rows.select("idx", F.explode(I.patch_positions(F.col("w"), F.col("h"))).alias("p"))
     return each.select("idx", "p.row", "p.col")
 
 

@@ -48,16 +48,19 @@ def top_commands(spark, sf_dir):
 
 @query(rf"""with c as (select idx, unnest(t) as cmd, unnest(range(0, len(t))) as p from (select idx, regexp_extract_all(latex, '\\[a-zA-Z]+') as t from {LATEX_SQL})),
   k as (select idx, cmd, count(*) as n, row_number() over (partition by idx order by count(*) desc, min(p)) as r from c group by idx, cmd)
-  select cmd, cast(sum(n) as bigint) as n from k where r <= 1 group by cmd order by n desc, cmd limit 15""")
+  select cmd, cast(sum(n) as bigint) as n from k where r <= 5 group by cmd order by n desc, cmd limit 15""")
 def top_commands_per_row(spark, sf_dir):
-    return profiles.top_commands(latex(spark, sf_dir), "latex", per_row=1)
+    return profiles.top_commands(latex(spark, sf_dir), "latex", per_row=5)
 
 
-@query(rf"""select source, count(*) filter (cmd = '\alpha') as alpha, count(*) filter (cmd = '\frac') as frac
-  from (select source, unnest(regexp_extract_all(latex, '\\[a-zA-Z]+')) as cmd from {LATEX_SQL}) where cmd in ('\alpha', '\frac') group by source""")
+@query(rf"""select source, count(*) filter (cmd = '\alpha') as alpha, count(*) filter (cmd = '\begin') as "begin", count(*) filter (cmd = '\end') as "end",
+  count(*) filter (cmd = '\frac') as frac, count(*) filter (cmd = '\sqrt') as sqrt, count(*) filter (cmd = '\sum') as sum, count(*) filter (cmd = '\times') as times
+  from (select source, unnest(regexp_extract_all(latex, '\\[a-zA-Z]+')) as cmd from {LATEX_SQL}) group by source""")
 def command_pivot(spark, sf_dir):
-    each = latex(spark, sf_dir).select("source", F.explode(T.commands(F.col("latex"))).alias("cmd")).withColumn("cmd", F.substring("cmd", 2, 100))
-    return each.groupBy("source").pivot("cmd", ["alpha", "frac"]).count().fillna(0).where("alpha + frac > 0")
+    rows = latex(spark, sf_dir)
+    top = sorted(r.cmd[1:] for r in profiles.top_commands(rows, "latex").collect())  # 15 at most
+    each = rows.select("source", F.explode(T.commands(F.col("latex"))).alias("cmd")).withColumn("cmd", F.expr("substring(cmd, 2)"))
+    return each.groupBy("source").pivot("cmd", top).count().fillna(0)
 
 
 @query(rf"select doc_id, len(regexp_extract_all(text, '\\[a-zA-Z]+|[^\s]')) as n_tokens, regexp_extract_all(text, '\\[a-zA-Z]+|[^\s]')[1:5] as head from documents")
@@ -90,13 +93,12 @@ def token_type_counts(spark, sf_dir):
 
 @query(f"select units, count(*) as freq from {_ZONES} group by units")
 def bpe_zones(spark, sf_dir):
-    typed = markup.token_rows(latex(spark, sf_dir), "idx", "latex")
-    return subwords.zone_counts(markup.zones(typed, "idx"))
+    return subwords.zone_counts(markup.zones(latex(spark, sf_dir), "idx", "latex"))
 
 
 @query(f"select token, count(*) as n from {_TYPED} where ttype = 'NUMBER' group by token having count(*) >= 2 order by n desc, token limit 32")
 def number_freq(spark, sf_dir):
-    return subwords.number_slots(markup.token_rows(latex(spark, sf_dir), "idx", "latex"), 128)
+    return subwords.number_slots(subwords.token_counts(markup.token_rows(latex(spark, sf_dir), "idx", "latex")), 128)
 
 
 @query(rf"""with w as (select string_split_regex(regexp_replace(lower(text), '[^a-z ]', ' ', 'g'), ' +') as w from benchmark),
@@ -118,26 +120,29 @@ def bpe_merges(spark, sf_dir):
     return spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(merges)], "rank int, a string, b string")
 
 
+MERGES = 4
+
+
 def _vocabulary(spark, sf_dir):
-    typed = markup.token_rows(latex(spark, sf_dir), "idx", "latex")
-    commands = [r.token for r in subwords.frequent_commands(typed).collect()]  # at most 512
-    numbers = [r.token for r in subwords.number_slots(typed, 256).collect()]
-    merges = subwords.learn_merges(subwords.zone_counts(markup.zones(typed, "idx")), 4)
-    return typed, subwords.extend(subwords.base_tokens(commands), numbers, merges, 2048)
+    rows = latex(spark, sf_dir)
+    counted = subwords.token_counts(markup.token_rows(rows, "idx", "latex")).cache()
+    commands = [r.token for r in subwords.frequent_commands(counted).collect()]  # at most 512
+    numbers = [r.token for r in subwords.number_slots(counted, 256).collect()]
+    counted.unpersist()
+    merges = subwords.learn_merges(subwords.zone_counts(markup.zones(rows, "idx", "latex")), MERGES)
+    return rows, subwords.extend(subwords.base_tokens(commands), numbers, merges, 2048)
 
 
 @query()
 def encode_ids(spark, sf_dir):
-    typed, vocabulary = _vocabulary(spark, sf_dir)
-    return subwords.encode(typed, "idx", vocabulary, most=200)
+    rows, vocabulary = _vocabulary(spark, sf_dir)
+    return subwords.encode(rows, "idx", "latex", vocabulary, most=200)
 
 
-@query(f"select idx, true as same from {LATEX_SQL}")
+@query(f"select idx, latex as back from {LATEX_SQL}")
 def decode_roundtrip(spark, sf_dir):
-    typed, vocabulary = _vocabulary(spark, sf_dir)
-    decoded = subwords.encode(typed, "idx", vocabulary).select("idx", subwords.decode(F.col("ids"), vocabulary).alias("back"))
-    both = decoded.join(latex(spark, sf_dir).select("idx", "latex"), "idx")
-    return both.select("idx", (T.stripped(F.col("back")) == T.stripped(F.col("latex"))).alias("same"))
+    rows, vocabulary = _vocabulary(spark, sf_dir)
+    return subwords.encode(rows, "idx", "latex", vocabulary).select("idx", subwords.decode(F.col("ids"), vocabulary).alias("back"))
 
 
 @query(rf"select idx, regexp_extract_all(latex, '\\begin|\\frac|\\sum|\\sqrt|pmatrix|10|[\s\S]') as parts from {LATEX_SQL}")
@@ -154,8 +159,32 @@ def vocab_lookup(spark, sf_dir):
     return joins.lookup_ids(typed, "token", vocabulary).select("idx", "pos", "id")
 
 
-@query(rf"""with r as (select length(latex) / greatest(len(t), 1.0) as ratio, len(t) as n from (select latex, regexp_extract_all(latex, '\\[a-zA-Z]+|[^\s]') as t from {LATEX_SQL}))
-  select avg(ratio) as ratio_mean, stddev_samp(ratio) as ratio_std, quantile_cont(ratio, 0.5) as ratio_median, 0.0::double as unk_rate, 0.0::double as unk_share, avg(n) as tokens_per_text from r""")
+@query(rf"""with t as (select text, regexp_extract_all(text, '\\[a-zA-Z]+|\\.|[0-9]|[a-zA-Z]|[^\s]') as t from documents),
+  r as (select length(text) / greatest(len(t), 1.0) as ratio, len(t) as n, len(list_filter(t, lambda x: not regexp_full_match(x, '[ -~]'))) as unk from t)
+  select avg(ratio) as ratio_mean, stddev_samp(ratio) as ratio_std, quantile_cont(ratio, 0.5) as ratio_median, sum(unk) / sum(n) as unk_rate,
+         avg((unk > 0)::int) as unk_share, avg(n) as tokens_per_text from r""")
 def compression_stats(spark, sf_dir):
-    rows = latex(spark, sf_dir).select("latex", F.transform(T.tokens(F.col("latex")), lambda t: F.lit(2)).alias("ids"))
-    return subwords.compression(rows, "latex", "ids")
+    return subwords.compression(_plain_ids(spark, sf_dir), "text", "ids")
+
+
+def _plain_ids(spark, sf_dir):
+    """text and ids: units before merges, with the code of printable ASCII characters as ids and all others unknown."""
+    ids = F.transform(T.tokens(F.col("text"), T.PRE_TOKEN), lambda t: F.when(F.rlike(t, F.lit("^[ -~]$")), F.ascii(t)).otherwise(subwords.UNK))
+    return table(spark, sf_dir, "documents").select("text", ids.alias("ids"))
+
+
+@query(rf"""with t as (select regexp_extract_all(text, '\\[a-zA-Z]+|\\.|[0-9]|[a-zA-Z]|[^\s]') as t from documents),
+  s as (select len(t) as n, len(list_filter(t, lambda x: not regexp_full_match(x, '[ -~]'))) as unk, row_number() over (order by len(t)) - 1 as i, count(*) over () as c from t)
+  select count(*) as n, min(n) as shortest, avg(n) as mean, max(n) as longest, sum(unk) / sum(n) as unk_rate, max(n) filter (i = least(floor(c * 0.5), c - 1)) as p50,
+         max(n) filter (i = least(floor(c * 0.95), c - 1)) as p95, max(n) filter (i = least(floor(c * 0.99), c - 1)) as p99 from s""")
+def token_length_summary(spark, sf_dir):
+    return profiles.length_summary(_plain_ids(spark, sf_dir), "ids", subwords.UNK)
+
+
+@query(rf"""with r as (select regexp_extract_all(latex, '\\[a-zA-Z]+') as c, regexp_extract_all(latex, '\\begin|\\frac|\\sq|\\sum|pmatrix|10|[\s\S]') as p from {LATEX_SQL}),
+  e as (select unnest(list_distinct(c)) as cmd, c, p from r), k as (select cmd, len(list_filter(c, lambda x: x = cmd)) as n, len(list_filter(p, lambda x: x = cmd)) as kept from e)
+  select cmd, cast(sum(n) as bigint) as n, sum(least(n, kept)) / sum(n) as intact from k group by cmd""")
+def command_intact(spark, sf_dir):
+    parts = subwords.longest_match(F.col("latex"), ["\\begin", "\\frac", "\\sq", "\\sum", "pmatrix", "10"])
+    rows = latex(spark, sf_dir).select(T.commands(F.col("latex")).alias("commands"), parts.alias("parts"))
+    return subwords.intact_rates(rows, "commands", "parts")

@@ -22,4 +22,4 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-from . import corpus_queries, image_queries, markup_queries, sequence_queries  # noqa: E402, F401
+from . import corpus_queries, image_queries, markup_queries, sequence_queries, storage_queries  # noqa: E402, F401

@@ -13,14 +13,15 @@ from .views import TURNS_SQL, turns
 _TURNS = f"with p as materialized {TURNS_SQL}"
 
 
-@query("""with recursive s as (select source, doc_id, least(n_chars, 20000) as size, row_number() over (partition by source order by doc_id) as k
+@query("""with recursive r as (select source, doc_id, least(n_chars, 20000) as size, row_number() over (partition by source order by doc_id) - 1 as k
     from documents where n_chars > 0),
-  f(source, doc_id, size, k, fill, bin) as (
-    select source, doc_id, size, k, size, cast(0 as bigint) from s where k = 1
-    union all select s.source, s.doc_id, s.size, s.k, case when f.fill + s.size <= 20000 then f.fill + s.size else s.size end,
+  s as (select source, doc_id, size, cast(floor(k / 4096.0) as bigint) as shard, k % 4096 as k from r),
+  f(source, shard, doc_id, size, k, fill, bin) as (
+    select source, shard, doc_id, size, k, size, cast(0 as bigint) from s where k = 0
+    union all select s.source, s.shard, s.doc_id, s.size, s.k, case when f.fill + s.size <= 20000 then f.fill + s.size else s.size end,
                      f.bin + case when f.fill + s.size <= 20000 then 0 else 1 end
-    from f join s on s.source = f.source and s.k = f.k + 1)
-  select source, doc_id, size as packed_size, bin from f""")
+    from f join s on s.source = f.source and s.shard = f.shard and s.k = f.k + 1)
+  select source, shard, doc_id, size as packed_size, bin from f""")
 def pack_sequences(spark, sf_dir):
     return sequences.pack_greedy(table(spark, sf_dir, "documents"), "source", ["doc_id"], "n_chars", 20000)
 
@@ -96,15 +97,18 @@ def edit_distance_token(spark, sf_dir):
 
 
 @query("""select item_id, case when a = b then 0.0 else levenshtein(a, b) / greatest(length(b), 1) end as ratio from
-  (select item_id, regexp_replace(substr(text, 1, 60), '[^ -~]', '', 'g') as a, regexp_replace(substr(text, 11, 60), '[^ -~]', '', 'g') as b from benchmark)""")
+  (select item_id, regexp_replace(text, '[^ -~]', '', 'g') as a, regexp_replace(substr(text, 11), '[^ -~]', '', 'g') as b from benchmark)""")
 def edit_ratio_char(spark, sf_dir):
-    plain = lambda at: F.regexp_replace(F.substring("text", at, 60), "[^ -~]", "")
+    plain = lambda at: F.regexp_replace(F.expr(f"substring(text, {at})"), "[^ -~]", "")
     return table(spark, sf_dir, "benchmark").select("item_id", M.char_edit_ratio(plain(1), plain(11)).alias("ratio"))
 
 
-@query(_TURNS + " select count(*) as n, avg(case when guess = truth then 1 else 0 end) as exact from p")
+@query(_TURNS + """ , g as (select truth, guess, list_distinct(list_concat(guess, truth)) as alphabet from p),
+  e as (select truth, guess, levenshtein(array_to_string(list_transform(guess, lambda x: chr(33 + cast(list_position(alphabet, x) as integer))), ''),
+                         array_to_string(list_transform(truth, lambda x: chr(33 + cast(list_position(alphabet, x) as integer))), '')) as edits from g)
+  select count(*) as n, avg(case when guess = truth then 1 else 0 end) as exact, round(avg(edits / greatest(len(guess), len(truth), 1)), 12) as edit from e""")
 def exact_match(spark, sf_dir):
-    return evaluation.match_scores(turns(spark, sf_dir), "guess", "truth").select("n", "exact")
+    return evaluation.match_scores(turns(spark, sf_dir), "guess", "truth").withColumn("edit", F.round("edit", 12))
 
 
 @query(_TURNS + """ , o as (select unnest([1, 2, 3, 4]) as n),
@@ -115,7 +119,7 @@ def exact_match(spark, sf_dir):
   select round(exp(avg(ln(coalesce(nullif(hit, 0), 0.1) / greatest(total, 1)))) * any_value(case when l.h >= l.r then 1 else exp(1 - l.r / l.h) end), 10) as bleu
   from s left join m using (n), l""")
 def bleu4(spark, sf_dir):
-    return evaluation.bleu(turns(spark, sf_dir), "id", "guess", "truth").select(F.round("bleu", 10).alias("bleu"))
+    return evaluation.bleu(turns(spark, sf_dir), "guess", "truth").select(F.round("bleu", 10).alias("bleu"))
 
 
 @query("""select c.conv_id, c.turn, c.text = b.text as same from conversations c join (select conv_id, turn + 1 as turn, text from conversations) b using (conv_id, turn)""")
@@ -127,7 +131,7 @@ def positional_join(spark, sf_dir):
     return positional(rows, before, ["conv_id", "turn"]).select("conv_id", "turn", (F.col("text") == F.col("before")).alias("same"))
 
 
-@query("""select path, step from (select 'step_' || event_id as path, event_id as step from events where event_id % 100 = 0) order by step desc, path offset 3""")
+@query("""select path, step from (select 'step_' || event_id as path, event_id as step from events) order by step desc, path offset 3""")
 def retention(spark, sf_dir):
-    files = table(spark, sf_dir, "events").where("event_id % 100 = 0").select(F.concat(F.lit("step_"), F.col("event_id").cast("string")).alias("path"))
+    files = table(spark, sf_dir, "events").select(F.concat(F.lit("step_"), F.col("event_id").cast("string")).alias("path"))
     return sequences.beyond_last(files, "path", F.regexp_extract("path", r"(\d+)$", 1).cast("long"), 3)

@@ -23,8 +23,8 @@ LATEX_SQL = r"""(select p_partkey as idx, p_brand as source, cast(p_size as bigi
     else concat('\alpha + ', p_size, '.5 \times 10^{-', p_size, '}')
   end as latex from part)"""
 TURNS_SQL = r"""(select conv_id * 1000 + turn as id, conv_id, turn,
-  regexp_extract_all(text, '\\[a-zA-Z]+|[^\s]')[1:40] as truth,
-  regexp_extract_all(lag(text) over (partition by conv_id order by turn), '\\[a-zA-Z]+|[^\s]')[1:40] as guess
+  regexp_extract_all(text, '\\[a-zA-Z]+|[^\s]') as truth,
+  regexp_extract_all(lag(text) over (partition by conv_id order by turn), '\\[a-zA-Z]+|[^\s]') as guess
   from conversations qualify guess is not null)"""
 
 
@@ -44,16 +44,15 @@ def latex(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, truth and guess: each turn's first 40 tokens and those of the turn before."""
+    """id, truth and guess: each turn's tokens and those of the turn before."""
     from pyspark.sql import Window as W
 
     from ..functions.text import tokens
 
     rows = table(spark, sf_dir, "conversations")
     before = F.lag("text").over(W.partitionBy("conv_id").orderBy("turn"))
-    cut = lambda c: F.slice(tokens(c), 1, 40)
     return rows.withColumn("_before", before).where("_before is not null").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "conv_id", "turn", cut(F.col("text")).alias("truth"), cut(F.col("_before")).alias("guess")
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "conv_id", "turn", tokens(F.col("text")).alias("truth"), tokens(F.col("_before")).alias("guess")
     )
 
 

@@ -14,7 +14,7 @@ def numbered_shards(rows: DataFrame, path: str, order: list[str], rows_per_shard
     """Write shards of a fixed number of rows as folders shard=0, 1, ...; returns their number. An existing path is left alone."""
     placed = dense_index(rows, order, "_place").withColumn("shard", shard_number(F.col("_place"), rows_per_shard))
     placed.repartition("shard").sortWithinPartitions("_place").drop("_place").write.mode("ignore").partitionBy("shard").parquet(path)
-    return max(1, -(-rows.count() // rows_per_shard))
+    return max(1, -(-placed.count() // rows_per_shard))
 
 
 def by_shard(rows: DataFrame, path: str, keys: list[str]) -> None:
