@@ -28,6 +28,7 @@ RADIUS = 3
 SHINGLE_WORDS = 3
 SEED = 42
 TILE_ROWS = 2048
+EDGES_PER_TASK = 20_000  # when components are sought
 _PARTS = 4
 _BASE = 32  # over 16 + radius, so a count outside 0..16 never meets a valid key
 _CHUNK = 1 << 16
@@ -145,7 +146,7 @@ def connected(edges: DataFrame) -> DataFrame:
     """
     ordered = lambda a, b: [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
     edges = checkpoint(edges.where(F.col("a") != F.col("b")).select(*ordered("a", "b")).distinct())
-    digest = None
+    digest, tasks = None, 1 + edges.count() // EDGES_PER_TASK
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -154,12 +155,13 @@ def connected(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        edges = checkpoint(small.where("a != b").select(*ordered("a", "b")).distinct())
+        # Few edges need few files. Edges never become more by a round than they were twice over.
+        edges = checkpoint(small.where("a != b").select(*ordered("a", "b")).distinct().coalesce(tasks))
         halves = [F.coalesce(F.sum(F.pmod(F.xxhash64("a", "b", F.lit(k)), F.lit(1 << 31))), F.lit(0)) for k in (1, 2)]
         now = tuple(edges.agg(F.count("*"), *halves).first())
         if now == digest:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        digest = now
+        digest, tasks = now, 1 + now[0] // EDGES_PER_TASK
 
 
 def _rooted(nodes: DataFrame) -> DataFrame:

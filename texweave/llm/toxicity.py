@@ -38,7 +38,8 @@ _FOLDS_COUNT, _FOLD_CALIBRATE = (1, 2, 3), 4
 # Bytes that separate words: everything in ASCII but letters and digits.
 _SPLIT = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 _STEMS = (4, 5, 6, 7)
-_REMEMBERED = 50_000  # words whose scores a worker keeps at hand
+_REMEMBERED = 200_000  # words whose scores a worker keeps at hand
+_WORDS_AT_ONCE = 50_000
 
 
 @dataclass(frozen=True)
@@ -69,21 +70,34 @@ class Scorer:
         self.table = np.zeros(BINS)
         self.table[model.bins] = model.scores
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        words, known = words_of(text), self.known
-        if len(known) > _REMEMBERED:
-            known.clear()
-        if new := list(set(words).difference(known)):
-            at = list(map(forms, new))
-            values = self.table[np.fromiter(chain.from_iterable(at), np.int64)]
-            first = np.cumsum([0, *map(len, at[:-1])])
-            low, high = np.minimum.reduceat(values, first), np.maximum.reduceat(values, first)
-            known.update(zip(new, np.where(-low > high, low, high).tolist(), strict=True))
-        scores = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
+    def _learn(self, new: list[bytes]) -> None:
+        at = list(map(forms, new))
+        values = self.table[np.fromiter(chain.from_iterable(at), np.int64)]
+        first = np.cumsum([0, *map(len, at[:-1])])
+        low, high = np.minimum.reduceat(values, first), np.maximum.reduceat(values, first)
+        self.known.update(zip(new, np.where(-low > high, low, high).tolist(), strict=True))
+
+    def _scores(self, words: list[bytes]) -> np.ndarray:
+        scores = np.fromiter(map(self.known.__getitem__, words), np.float64, len(words))
         if len(words) > 1:  # a word said over and over is said once
             scores[1:][np.fromiter(map(eq, words[1:], words), bool, len(words) - 1)] = 0.0
         return scores - self.model.toll
 
+    def __call__(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The scores of the words of each text; new words are looked up some texts at a time."""
+        held, n = [], 0
+        for at, text in enumerate(texts, 1):
+            held.append(words_of(text.as_py()))
+            n += len(held[-1])
+            if n >= _WORDS_AT_ONCE or at == len(texts):
+                words = set().union(*held)
+                if len(self.known) > _REMEMBERED:
+                    self.known.clear()
+                if new := list(words.difference(self.known)):
+                    self._learn(new)
+                yield from map(self._scores, held)
+                held, n = [], 0
+
 
 def best_segment(scores: np.ndarray) -> float:
     """The largest sum over a run of neighbours; 0 for none."""
@@ -231,8 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             scorer = Scorer(model := Model(*shared.value))
             for batch in batches:
                 made = []
-                for text in batch.column(0):
-                    scores = scorer(text.as_py())
+                for scores in scorer(batch.column(0)):
                     surprise, found = _features(model, scores)
                     best = model.lam * best_segment(scores) - math.log(max(len(scores), 1))
                     made.append((surprise, len(found), best))
@@ -272,8 +285,8 @@ def toxicity_of(text: Column, model: Model) -> Column:
         scorer = Scorer(model := Model(*shared.value))
         for batch in texts:
             made = []
-            for text in batch:
-                surprise, found = _features(model, scorer(text.as_py()))
+            for scores in scorer(batch):
+                surprise, found = _features(model, scores)
                 passages = [{"start": a, "end": b, "score": s} for a, b, s in found]
                 made.append({"score": _probability(model, surprise, len(found)), "passages": passages})
             yield pa.array(made, kind)
