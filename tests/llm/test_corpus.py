@@ -3,7 +3,9 @@
 import collections
 import hashlib
 import re
+import time
 import zlib
+from html import unescape
 
 import duckdb
 import numpy as np
@@ -184,6 +186,57 @@ def test_html_blocks():
     assert html.main_text(None) == html.main_text("") == "" and html.main_text("plain words") == "plain words"
 
 
+def plain_article(page):
+    """The article of a well-formed page, by other means: cut out, split at block tags, stripped of markup."""
+    inner = re.sub(r"<br>", " ", page[page.index("<article>") + 9 : page.index("</article>")])
+    blocks = [re.sub(r"\s+", " ", unescape(re.sub(r"<[^>]*>", "", x))).strip() for x in re.split(r"</?(?:p|h1|h2|ul|ol|li|div|blockquote)\b[^>]*>", inner)]
+    return "\n\n".join(x for x in blocks if x)
+
+
+def test_html_against_plain_articles():
+    pages = spark_free_pages("/root/testdata/sf0.1/pages.parquet")
+    assert len(pages) == 2500 and all(html.main_text(x) == plain_article(x) for x in pages)
+
+
+def spark_free_pages(path):
+    import pyarrow.parquet as pq
+
+    return pq.read_table(path).column("html").to_pylist()
+
+
+def test_html_malformed_pages_take_linear_time():
+    for part, size in (('<a "', 4), ("<a b", 4), ("<div>", 5), ("<button>x", 9), ("<script>", 8), ("<!-- ", 5), ("<", 1), ("</p>", 4), ("<p " + "x = " * 50, 203), (" ", 1), ("&", 1)):
+        began = time.perf_counter()
+        html.main_text("<p>" + part * (1_000_000 // size))
+        assert time.perf_counter() - began < 15, part  # quadratic time would be minutes
+
+
+def test_html_keeps_all_of_the_article():
+    text = "The text of the article is here and it goes on for a while so that it is long enough to judge it."
+    page = "<body><nav><a href=x>Home</a></nav><article>%s</article><footer>x</footer></body>"
+    cases = {
+        f"<div class='entry-header'><h1>Title</h1></div><p>{text}</p>": f"Title\n\n{text}",
+        f"<section id='related-work'><p>{text}</p></section>": text,
+        f"<p>{text}</p><p><a href=x>one whole link</a></p><p>{text}</p>": f"{text}\n\none whole link\n\n{text}",
+        f"<p>{text} <button>Click</p><p>Second one.</p>": f"{text}\n\nSecond one.",
+        f"<p title='the hidden valley'>{text}</p>": text,
+        f"<a name='top'><p>{text}</p><div class='has-sidebar'>{text}</div>": f"{text}\n\n{text}",
+        f"<p>{text}</p><div class='comments'><p>{text}</p></div><aside>{text}</aside><div class='related-posts'><p>{text}</p></div>": text,
+        f"<p>{text} <span class='ad'>buy</span> &lt;end&gt;</p><p hidden>{text}</p><p style='display: none'>x</p>": f"{text} <end>",
+    }
+    for inner, want in cases.items():
+        assert html.main_text(page % inner) == want, inner
+    russian = "Это длинный текст статьи без знакомых слов. " * 8
+    assert html.main_text(f"<nav>Home</nav><p>{russian}</p><footer>x</footer>") == russian.strip()
+
+
+def test_html_edges(spark):
+    rows = [(1, "u", None), (2, None, ""), (None, "u", "<p>no id"), (3, "u", "<p>twice"), (3, "u", "<p>twice"), (4, "u", "<p>" + "word " * 300_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"text": F.lit(7), "n_chars": F.lit("x")})
+    got = sorted((str(r.page_id), r.text[:8], r.n_chars) for r in html.extract(pages).collect())
+    assert got == [("1", "", 0), ("2", "", 0), ("3", "twice", 5), ("3", "twice", 5), ("4", "word wor", 1_499_999), ("None", "no id", 5)]
+
+
 def test_html_of_the_pages(spark, tables):
     rows = {r.page_id: r for r in html.extract(tables["pages"]).collect()}
     for r in tables["pages"].collect():
@@ -368,30 +421,57 @@ def test_url_trees_learn(spark):
 # 10
 
 
+KEY = b"a secret"
+
+
 def test_pii_surrogates(spark):
-    texts = ["Mail Ann.Lee@corp.com or ann.lee@corp.com, call +1 (017) 555-7713!", "card 4111 1111 1111 1111, 4111111111111111; ip 10.1.2.3", 'token = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda"', "Frau Müller met Mr. John Smith; Mr. John Smith left", None, ""]
+    texts = ["Mail Ann.Lee@corp.com or ann.lee@corp.com, call +1 (017) 555-7713!", "card 4111 1111 1111 1111, 4111111111111111; ip 10.1.2.3 and 2607:f8b0::1a2b", 'token = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda"',
+             "Frau Müller met Mr. John Smith; Mr. Smith left. Dr. Smith and John stayed; Smith slept. Mary Jones came.", None, "", "SSN 123-45-6789, account DE89 3704 0044 0532 0130 00 or DE89370400440532013000"]
     docs = documents(spark, [(k, t, "en", "a", 0) for k, t in enumerate(texts)])
-    out = {r.doc_id: r for r in pii.pseudonymize(docs).collect()}
-    for gone in ("corp.com", "555-7713", "4111", "10.1.2.3", "f3ef4d6b", "Müller", "Smith"):
-        assert all(gone not in (r.text or "") for r in out.values())
+    out = {r.doc_id: r for r in pii.pseudonymize(docs, KEY).collect()}
+    for gone in ("corp.com", "555-7713", "4111", "10.1.2.3", "2607", "f3ef4d6b", "Müller", "Smith", "John", "Mary", "Jones", "123-45", "3704"):
+        assert all(gone not in (r.text or "") for r in out.values()), gone
     mails = re.findall(r"\S+@example.org", out[0].text)
     assert mails[0] == mails[1].rstrip(",") and re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}!", out[0].text)
     cards = re.findall(r"\d{4} \d{4} \d{4} \d{4}|\d{16}", out[1].text)
     assert cards[0].replace(" ", "") == cards[1] and pii._check_digit(cards[1][:-1]) == cards[1][-1]
-    assert len(set(re.findall(r"Mr\. (\w+ \w+)", out[3].text))) == 1 and out[4].text is None and out[5].n_entities == 0
+    m = re.fullmatch(r"Frau (\w+) met Mr\. (\w+) (\w+); Mr\. (\w+) left\. Dr\. (\w+) and (\w+) stayed; (\w+) slept\. (\w+) (\w+) came\.", out[3].text)
+    assert m[3] == m[4] == m[5] == m[7] and m[2] == m[6] and len({m[1], m[3], m[9]}) == 3
+    assert pii.GENDER[m[2]] == "m" and pii.GENDER[m[8]] == "f"
+    account = re.findall(r"DE\d\d[ \d]+\d", out[6].text)
+    assert account[0].replace(" ", "") == account[1] and pii._remainder(account[1]) == 1 and re.search(r"SSN 9\d\d-\d\d-\d{4},", out[6].text)
+    assert out[4].text is None and out[5].n_entities == 0
+    other = {r.doc_id: r.text for r in pii.pseudonymize(docs, b"other").collect()}
+    assert other[0] != out[0].text
+    with pytest.raises(ValueError):
+        pii.pseudonymize(docs, b"")
+
+
+def test_pii_leaves_what_only_looks_like_it(spark):
+    same = ["number 4111 1111 1111 1112 and 4111111111111112", "at 12:30:45 on 2024-01-02, version 1.2.3, 300.1.1.1", "GB00 1234 5678 9012 3456 78", "The Lord of Smith Street", "std::cout << a::b", "page 123-456-789"]
+    docs = documents(spark, [(k, t, "en", "a", 0) for k, t in enumerate(same)])
+    assert {r.doc_id: r.text for r in pii.pseudonymize(docs, KEY).collect()} == dict(enumerate(same))
 
 
 def test_pii_distinct(spark):
     names = [f"Mr {a}{b} {c}{d}" for a in "ABCDEFGH" for b in "aei" for c in "KLMN" for d in "ou"]
     docs = documents(spark, [(k, n, "en", "a", 0) for k, n in enumerate(names)])
-    assert len({r.text for r in pii.pseudonymize(docs).collect()}) == len(names)
+    assert len({r.text for r in pii.pseudonymize(docs, KEY).collect()}) == len(names)
 
 
-def test_pii_more_addresses_than_the_first_block(spark):
-    ips = [f"{11 + (k >> 16)}.{k >> 8 & 255}.{k & 255}.7" for k in range(140_000)]
-    docs = documents(spark, [(k, "\n".join(ips[k : k + 1000]), "en", "a", 0) for k in range(0, len(ips), 1000)])
-    made = [r.surrogate for r in pii.surrogates(docs).collect()]
-    assert len(made) == len(set(made)) == len(ips) and not set(made) & set(ips)
+def test_pii_more_addresses_than_the_first_block(spark, monkeypatch):
+    """200,000 addresses, more than the first block holds; both ways to bring redrawn entities to the texts; against brute force."""
+    ips = [f"{11 + (k >> 16)}.{k >> 8 & 255}.{k & 255}.7" for k in range(200_000)]
+    rows = [(k, "\n".join(ips[k : k + 1000]), "en", "a", 0) for k in range(0, len(ips), 1000)] + [(-1, None, "en", "a", 0), (-2, "\n".join(ips[:1000]), "en", "a", 0)]
+    docs = documents(spark, rows)
+    table = {r.entity: r for r in pii.surrogates(docs, KEY).collect()}
+    made = {r.surrogate for r in table.values()}
+    assert len(table) == len(made) == len(ips) and not made & set(ips)
+    assert all(r.surrogate == pii.canonical(KEY, "ip", e, r.draw) for e, r in table.items())
+    want = sorted((i, None if t is None else "\n".join(table[x].surrogate for x in t.split("\n"))) for i, t, *_ in rows)
+    for most in (pii.REDRAWN_ROWS, 10):
+        monkeypatch.setattr(pii, "REDRAWN_ROWS", most)
+        assert sorted((r.doc_id, r.text) for r in pii.pseudonymize(docs, KEY).collect()) == want
 
 
 # all

@@ -1,10 +1,13 @@
 """Surrogates for personal data: keyed replacements of the same type and shape.
 
-Detected: e-mail addresses, phone numbers, IP addresses, card numbers, secrets, and names after
-a title. An entity's surrogate hangs on the key, the type and the entity's normal form alone,
-so mentions of one entity agree in all documents. Digits become digits, letters letters of the
-same case and script, names names of the same gender and script; separators stay, card numbers
-keep a valid (or invalid) check digit, addresses get a reserved domain.
+Detected: e-mail addresses, phone numbers, IPv4 and IPv6 addresses, card numbers with a valid
+check digit, account numbers (IBAN) with a valid checksum, social security numbers, secrets, and
+names: after a title, after a common given name, and wherever else in the text such a name's
+parts stand. An entity's surrogate hangs on the key, the type and the entity's normal form alone,
+so mentions of one entity agree in all documents; given name and surname are entities of their
+own, so "Mr. John Smith" and "Dr. Smith" share a surname. Digits become digits, letters letters of
+the same case and script, given names names of the same gender and script; separators stay,
+numbers keep valid check digits, addresses are reserved ones.
 
 Collisions are checked over the whole corpus: distinct entities that would share a surrogate,
 or whose surrogate is a real entity, draw again (smallest first keeps its draw) until none
@@ -13,8 +16,8 @@ does. What draws again is a small table; documents are rewritten in place.
 
 from __future__ import annotations
 
-import hashlib
 import hmac
+import ipaddress
 import re
 from collections.abc import Iterator
 
@@ -22,46 +25,82 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, map_batches
 
-KEY = b"texweave"
 REDRAWN_ROWS = 200_000  # entities with another draw than the first that are broadcast; beyond, they are joined by document
+SALTS = 16
 _ROUNDS = 40
-# Titles by gender, and given names and surnames to draw from by script and gender.
+# Titles by gender, and given names by script and gender, to detect and to draw from.
 TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mme": "f",
           "Señor": "m", "Señora": "f", "Sr": "m", "Sra": "f", "Господин": "m", "Госпожа": "f", "Dr": "n"}
 GIVEN = {
-    ("latin", "m"): "Adam Bruno Carl David Edgar Felix Georg Hugo Ivan Jonas Karl Leo Martin Nils Oscar Paul Ralph Simon Theo Viktor".split(),
-    ("latin", "f"): "Alma Berta Clara Diana Elsa Flora Greta Helen Irene Julia Karin Laura Maria Nora Olga Paula Rosa Sara Thea Vera".split(),
-    ("cyrillic", "m"): "Антон Борис Вадим Глеб Денис Егор Захар Игорь Кирилл Леонид".split(),
-    ("cyrillic", "f"): "Алла Белла Вера Галина Дарья Ева Зоя Инна Клара Лидия".split(),
-}
-SURNAMES = {
-    "latin": "Adler Becker Castro Dubois Ellis Fischer Garcia Hansen Irving Jansen Keller Lambert Moreau Novak Olsen Petit Quinn Rossi Santos Turner".split(),
-    "cyrillic": "Антоненко Бондаренко Василенко Григоренко Даниленко Ефименко Захаренко Иваненко Кириленко Лысенко".split(),
+    ("latin", "m"): """Adam Alexander Andrew Anthony Antonio Bruno Carl Carlos Charles Christopher Daniel David Edgar Edward Felix Francisco
+        Georg George Hans Hugo Ivan James Jean John Jonas José Joseph Juan Karl Kevin Klaus Leo Luis Manuel Mark Martin Matthew Michael Nils
+        Oscar Paul Peter Philippe Pierre Ralph Richard Robert Simon Stefan Steven Theo Thomas Viktor William Wolfgang""".split(),
+    ("latin", "f"): """Alma Ana Angela Anna Barbara Berta Camille Carmen Carol Clara Diana Elena Elizabeth Elsa Emily Emma Flora Greta Helen
+        Irene Isabel Jennifer Jessica Julia Karin Laura Linda Lisa Lucía Margaret Maria Marie María Mary Monika Nancy Nora Olga Patricia
+        Paula Petra Rosa Sandra Sara Sarah Sophie Susan Sylvie Thea Ursula Vera""".split(),
+    ("cyrillic", "m"): "Алексей Антон Борис Вадим Глеб Денис Дмитрий Егор Захар Иван Игорь Кирилл Леонид Михаил Николай Сергей".split(),
+    ("cyrillic", "f"): "Алла Анна Белла Вера Галина Дарья Ева Елена Зоя Инна Клара Лидия Мария Наталья Ольга Татьяна".split(),
 }
+GENDER = {name: gender for (_, gender), names in GIVEN.items() for name in names}
+# Surnames are made of syllables, more of them with each draw: no list bounds their number.
+_SYLLABLES = {"latin": ("bdfghklmnprstvw", "aeiou", ("", "n", "r", "l", "s")), "cyrillic": ("бвгдзклмнпрст", "аеиоу", ("", "н", "р", "л", "с"))}
+_END = {"latin": "", "cyrillic": "енко"}
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _NAME = r"[^\W\d_]+(?:[-'’][^\W\d_]+)?"
 PATTERN = re.compile(
     r"(?P<email>(?<![\w.+-])[\w.+-]+@(?:[\w-]+\.)+[A-Za-z]{2,}(?![\w-]))"
     r"|(?P<secret>(?<![0-9A-Za-z])(?:[0-9a-f]{40}|[0-9A-F]{40}|[0-9a-f]{32}|[0-9a-f]{64}|AKIA[0-9A-Z]{16}|(?:ghp|sk|xox[bp])[_-][0-9A-Za-z-]{16,})(?![0-9A-Za-z]))"
     rf"|(?P<ip>(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d))"
-    r"|(?P<card>(?<![\d.-])\d{4}([ -]?)\d{4}\2\d{4}\2\d{1,7}(?![\d-]))".replace(r"\2", r"(?P=gap)").replace("([ -]?)", "(?P<gap>[ -]?)")
-    + r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w.])\(?\d{3}\)?[ .-]\d{3}[.-]\d{4}(?!\w))"
-    + rf"|(?P<name>(?<!\w)(?P<title>{'|'.join(sorted(TITLES, key=len, reverse=True))})\.?[ ](?P<who>{_NAME}(?:[ ]{_NAME})?))"
+    r"|(?P<ip6>(?<![\w:.])(?=[0-9A-Fa-f:]*[0-9A-Fa-f]{3})(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:.]))"
+    r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?:[ ]?[0-9A-Z]{4}){2,7}(?:[ ]?[0-9A-Z]{1,3})?(?!\w))"
+    r"|(?P<card>(?<![\d.-])\d{4}(?P<gap>[ -]?)\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7}(?![\d-]))"
+    r"|(?P<ssn>(?<![\w-])(?!000|666)[0-8]\d{2}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-]))"
+    r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w.])\(?\d{3}\)?[ .-]\d{3}[.-]\d{4}(?!\w))"
+    rf"|(?P<name>(?<!\w)(?P<title>{'|'.join(sorted(TITLES, key=len, reverse=True))})\.?[ ](?P<who>{_NAME}(?:[ ]{_NAME})?))"
 )
-
-_HINT = re.compile("[0-9@]")
+_KINDS = ("email", "secret", "ip", "ip6", "iban", "card", "ssn", "phone", "name")
+# A capitalised word before another: the first is looked up among given names.
+_PAIR = re.compile(rf"(?<!\w)([A-ZÀ-ÞА-ЯЁ][^\W\d_]+)[ ](?=([A-ZÀ-ÞА-ЯЁ][^\W\d_]+(?:[-'’][^\W\d_]+)?))")
+_WORD = re.compile(_NAME)
+_HINT = re.compile("[0-9@]|[0-9A-Fa-f]::")
 _MARKS = [t + end for t in TITLES for end in (" ", ". ")] + ["AKIA", "ghp_", "ghp-", "sk_", "sk-", "xoxb", "xoxp"]
 
 
+def _script(word: str) -> str:
+    return "cyrillic" if re.search("[А-яЁё]", word) else "latin"
+
+
 def normal(kind: str, text: str) -> str:
     """The form in which mentions of one entity agree."""
-    if kind == "email":
-        return text.lower()
-    if kind in ("card", "phone"):
+    if kind in ("card", "phone", "ssn"):
         return "".join(c for c in text if c.isdigit())
-    return text.lower() if kind in ("secret", "name") else text
+    if kind == "ip6":
+        return str(ipaddress.IPv6Address(text))
+    if kind == "iban":
+        return text.replace(" ", "")
+    return text.lower() if kind in ("email", "secret", "given", "surname") else text
+
+
+def _remainder(iban: str) -> int:
+    """What the checksum of an account number leaves: 1 if it is valid."""
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
+def _real(kind: str, text: str) -> bool:
+    """Whether a match is what it looks like."""
+    if kind == "card":
+        digits = normal(kind, text)
+        return _check_digit(digits[:-1]) == digits[-1]
+    if kind == "iban":
+        return _remainder(normal(kind, text)) == 1
+    if kind == "ip6":
+        try:
+            return bool(ipaddress.IPv6Address(text))
+        except ValueError:
+            return False
+    return True
 
 
 def _draws(key: bytes, kind: str, entity: str, draw: int) -> Iterator[int]:
@@ -83,46 +122,47 @@ def _check_digit(digits: str) -> str:
 
 
 def canonical(key: bytes, kind: str, entity: str, draw: int) -> str:
-    """The surrogate of an entity, in normal form."""
+    """The surrogate of an entity, in normal form. The spaces to draw from grow with the draw."""
     draws = _draws(key, kind, entity, draw)
+    digits = lambda n: "".join(str(_pick(draws, 10)) for _ in range(n))
     if kind == "email":
         user = "".join("abcdefghijklmnopqrstuvwxyz"[_pick(draws, 26)] if c.isalpha() else str(_pick(draws, 10)) if c.isdigit() else c for c in entity.split("@")[0])
-        return f"{user}.{_pick(draws, 1 << 24):06x}@example.org"
-    if kind == "ip":  # from the block for benchmarks, 198.18.0.0/15; drawn again, from the reserved 240.0.0.0/4 without its last address
-        n = _pick(draws, (1 << 28) - 1) + (240 << 24) if draw else _pick(draws, 1 << 17) + (198 << 24) + (18 << 16)
-        return ".".join(str(n >> k & 255) for k in (24, 16, 8, 0))
+        return f"{user}.{''.join(f'{_pick(draws, 256):02x}' for _ in range(3 + draw))}@example.org"
+    if kind == "ip":  # from the block for benchmarks, 198.18.0.0/15; then the reserved 240.0.0.0/4 without its last address; then any
+        blocks = ((198 << 24) + (18 << 16), 1 << 17), (240 << 24, (1 << 28) - 1), (0, 1 << 32)
+        start, size = blocks[min(draw, 2)]
+        return str(ipaddress.IPv4Address(start + int.from_bytes(bytes(next(draws) for _ in range(8))) % size))
+    if kind == "ip6":  # from the block for documentation, 2001:db8::/32
+        return str(ipaddress.IPv6Address((0x20010DB8 << 96) + int.from_bytes(bytes(next(draws) for _ in range(12)))))
     if kind == "card":
-        body = "".join(str(_pick(draws, 10)) for _ in entity[:-1])
-        right = _check_digit(body)
-        valid = _check_digit(entity[:-1]) == entity[-1]
-        return body + (right if valid else str((int(right) + 1 + _pick(draws, 9)) % 10))
+        body = digits(len(entity) - 1)
+        return body + _check_digit(body)
+    if kind == "ssn":  # areas from 900 on belong to nobody
+        return "9" + digits(8)
+    if kind == "iban":
+        body = "".join(str(_pick(draws, 10)) if c.isdigit() else chr(65 + _pick(draws, 26)) for c in entity[4:])
+        return f"{entity[:2]}{98 - _remainder(entity[:2] + '00' + body):02d}{body}"
     if kind == "phone":
-        kept = entity[:-7] if len(entity) > 7 else ""
-        return kept + "".join(str(_pick(draws, 10)) for _ in entity[len(kept) :])
+        kept = entity[:-7] if len(entity) > 7 and not draw else ""  # drawn again, the area goes, too
+        return kept + digits(len(entity) - len(kept))
     if kind == "secret":
         letters = "0123456789abcdef" if re.fullmatch("[0-9a-f]+", entity) else "0123456789abcdefghijklmnopqrstuvwxyz"
         return "".join(letters[_pick(draws, len(letters))] if c.isalnum() else c for c in entity)
-    gender, words = entity.split(":")[0], entity.split(":")[1].split()
-    script = "cyrillic" if re.search("[а-яё]", entity) else "latin"
-    gender = gender if gender != "n" else "mf"[_pick(draws, 2)]
-    surnames = SURNAMES[script]
-    last = surnames[_pick(draws, len(surnames))]
-    for _ in range(draw + 1 if draw else 0):  # a drawn-again name gets a double surname: the space grows with the draws
-        last += "-" + surnames[_pick(draws, len(surnames))]
-    names = GIVEN[script, gender]
-    return f"{gender}:" + " ".join([names[_pick(draws, len(names))]] * (len(words) > 1) + [last]).lower()
+    script = _script(entity)
+    if kind == "surname":
+        first, vowels, last = _SYLLABLES[script]
+        return "".join(first[_pick(draws, len(first))] + vowels[_pick(draws, 5)] + last[_pick(draws, 5)] for _ in range(2 + draw)) + _END[script]
+    gender = entity.split(":")[0]
+    names = GIVEN[script, gender if gender != "n" else "mf"[_pick(draws, 2)]]
+    return f"{gender}:" + "-".join(names[_pick(draws, len(names))] for _ in range(1 + draw)).lower()
 
 
-def _entity(m: re.Match) -> tuple[str, str, int, int]:
-    """kind, normal form, and the range in the text to replace."""
-    kind = m.lastgroup if m.lastgroup in ("email", "secret", "ip", "card", "phone", "name") else next(k for k in ("card", "name") if m[k])
-    if kind == "name":
-        return kind, TITLES[m["title"]] + ":" + normal(kind, m["who"]), m.start("who"), m.end("who")
-    return kind, normal(kind, m[kind]), m.start(), m.end()
+def _given(word: str, title: str) -> str:
+    return f"{GENDER.get(word, title)}:{word.lower()}"
 
 
 def _lines(text: str) -> Iterator[tuple[int, int]]:
-    """Ranges of the lines that can hold an entity: each entity lies in one line and has a digit, an @ or one of _MARKS."""
+    """Ranges of the lines that can hold an entity of PATTERN: each lies in one line and has a digit, an @, a :: or one of _MARKS."""
     hits = [m.start() for m in _HINT.finditer(text)]
     for mark in _MARKS:
         at = text.find(mark)
@@ -138,28 +178,51 @@ def _lines(text: str) -> Iterator[tuple[int, int]]:
 
 
 def entities(text: str | None) -> list[tuple[str, str, int, int]]:
-    """kind, normal form, and the range to replace, of every entity of a text."""
-    found = []
-    for m in (m for a, b in _lines(text or "") for m in PATTERN.finditer(text, a, b)):
-        kind, entity, a, b = _entity(m)
-        if kind == "name" and not all(w[0].isupper() for w in m["who"].split()):
-            word = m["who"].split()[0]
-            if not word[0].isupper():
-                continue
-            entity, b = TITLES[m["title"]] + ":" + word.lower(), a + len(word)
-        found.append((kind, entity, a, b))
-    return found
+    """kind, normal form, and the range to replace, of every entity of a text, in order."""
+    text, found = text or "", []
+    people: dict[str, tuple[str, str]] = {}  # words of names in this text: kind and entity
+
+    def person(words: list[re.Match], title: str, at: int) -> None:
+        *first, last = words
+        for m, kind, entity in [(m, "given", _given(m[0], title)) for m in first] + [(last, "surname", last[0].lower())]:
+            found.append((kind, entity, at + m.start(), at + m.end()))
+            if len(m[0]) > 2:
+                people.setdefault(m[0], (kind, entity))
+
+    for m in (m for a, b in _lines(text) for m in PATTERN.finditer(text, a, b)):
+        kind = next(k for k in _KINDS if m[k])
+        if kind != "name":
+            if _real(kind, m[kind]):
+                found.append((kind, normal(kind, m[kind]), m.start(), m.end()))
+            continue
+        words = list(_WORD.finditer(m["who"]))
+        words = words[: 1 + (len(words) > 1 and words[1][0][0].isupper())]
+        if words[0][0][0].isupper():
+            person(words, TITLES[m["title"]], m.start("who"))
+    for m in _PAIR.finditer(text):
+        if m[1] in GENDER:
+            person(list(_WORD.finditer(f"{m[1]} {m[2]}")), GENDER[m[1]], m.start())
+    if people:  # the same person once more, without a title
+        for m in re.finditer(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(people, key=len, reverse=True)))})(?!\w)", text):
+            found.append((*people[m[0]], *m.span()))
+    out, end = [], 0
+    for entity in sorted(dict.fromkeys(found), key=lambda x: (x[2], -x[3])):
+        if entity[2] >= end:
+            out.append(entity)
+            end = entity[3]
+    return out
 
 
 def shaped(kind: str, surrogate: str, mention: str) -> str:
     """A surrogate in normal form, put into the shape of a mention: its separators and case."""
-    if kind in ("card", "phone"):
-        digits = iter(surrogate)
-        return "".join(next(digits) if c.isdigit() else c for c in mention)
+    if kind in ("card", "phone", "ssn", "iban"):
+        letters = iter(surrogate)
+        return "".join(next(letters) if c.isdigit() or kind == "iban" and c != " " else c for c in mention)
     if kind == "secret":
         return surrogate.upper() if mention.isupper() else surrogate
-    if kind == "name":
-        return re.sub(r"[^\W\d_]+", lambda m: m[0].capitalize(), surrogate.split(":")[1])
+    if kind in ("given", "surname"):
+        name = re.sub(r"[^\W\d_]+", lambda m: m[0].capitalize(), surrogate.split(":")[-1])
+        return name.upper() if mention.isupper() and len(mention) > 1 else name
     return surrogate
 
 
@@ -177,12 +240,14 @@ def _with_surrogates(rows: DataFrame, key: bytes) -> DataFrame:
             made = [canonical(key, k, e, d) for k, e, d in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], ["kind", "entity", "draw", "surrogate"])
 
-    return rows.select("kind", "entity", "draw").mapInArrow(each, "kind string, entity string, draw int, surrogate string")
+    return map_batches(rows.select("kind", "entity", "draw"), each, "kind string, entity string, draw int, surrogate string")
 
 
-def surrogates(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def surrogates(docs: DataFrame, key: bytes) -> DataFrame:
     """kind, entity, draw and surrogate of every distinct entity of the corpus; no two of a kind share a surrogate."""
-    found = docs.select(F.col("text").cast("string")).mapInArrow(_entity_batches, "kind string, entity string").distinct()
+    if not key:
+        raise ValueError("a key is needed: without one, anybody can compute the surrogates")
+    found = map_batches(docs.select(F.col("text").cast("string")), _entity_batches, "kind string, entity string").distinct()
     table = checkpoint(_with_surrogates(found.withColumn("draw", F.lit(0)), key))
     for _ in range(_ROUNDS):
         kept = table.groupBy("kind", "surrogate").agg(F.min(F.struct("draw", "entity")).alias("first"), F.count("*").alias("n"))
@@ -217,13 +282,15 @@ def _rewrite(rows: DataFrame, key: bytes, redrawn: dict[tuple[str, str], int], c
                 counts.append(len(found))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string()), pa.array(counts, pa.int64())], ["doc_id", "text", "n_entities"])
 
-    return rows.mapInArrow(each, "doc_id long, text string, n_entities long")
+    return map_batches(rows, each, "doc_id long, text string, n_entities long")
 
 
-def pseudonymize(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def pseudonymize(docs: DataFrame, key: bytes) -> DataFrame:
     """doc_id, text with surrogates and n_entities of every row of ``docs``.
 
-    Null texts stay null. Repeated rows repeat. An empty table gives an empty result.
+    ``key`` is the secret that surrogates hang on; who lacks it cannot compute them. Null texts stay
+    null, empty and long ones are rewritten whole like any. Repeated rows repeat, other columns of
+    ``docs`` stay out, and an empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     redrawn = checkpoint(surrogates(docs, key).where("draw > 0").select("kind", "entity", "draw"))
@@ -236,6 +303,9 @@ def pseudonymize(docs: DataFrame, key: bytes = KEY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), *(pa.array([p[i] for p in pairs], pa.string()) for i in (1, 2))], ["h", "kind", "entity"])
 
     keyed = rows.withColumn("h", F.xxhash64("text"))
-    each = keyed.select("h", "text").mapInArrow(mentioned, "h long, kind string, entity string").distinct()
+    each = map_batches(keyed.where("text is not null").select("h", "text"), mentioned, "h long, kind string, entity string").distinct()
     draws = each.join(redrawn, ["kind", "entity"]).groupBy("h").agg(F.collect_list(F.struct("kind", "entity", "draw")).alias("draws"))
-    return _rewrite(keyed.join(draws, "h", "left").select("doc_id", "text", "draws"), key, {}, "draws")
+    # Copies of a text share a hash: the join takes them salted, so that they do not meet in one task.
+    salted = keyed.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    draws = draws.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return _rewrite(salted.join(draws, ["h", "salt"], "left").select("doc_id", "text", "draws"), key, {}, "draws")
