@@ -63,21 +63,23 @@ def features(url: Column, host: Column, path: Column) -> dict[str, Column]:
         "f_length": length(url), "f_host_length": length(host), "f_path_length": length(path),
         "f_depth": count("/[^/]", path), "f_labels": count(r"\.", host), "f_hyphens": count("-", host),
         "f_digits": _share("[0-9]", url), "f_host_digits": _share("[0-9]", host), "f_other": _share("[^0-9A-Za-z]", url),
-        "f_entropy": _entropy(F.substring(host, 1, 255)), "f_parameters": count("[?&][^=&#]+=", url),
+        "f_entropy": _entropy(host), "f_parameters": count("[?&][^=&#]+=", url),
         "f_fragment": F.contains(url, F.lit("#")).cast("double"), "f_escapes": count("%[0-9A-Fa-f]{2}", url),
         "f_first_segment": length(F.regexp_extract(path, "^/([^/]*)", 1)), "f_trailing": F.endswith(path, F.lit("/")).cast("double"),
         "f_extension": length(F.regexp_extract(path, r"\.([A-Za-z0-9]{1,8})$", 1)), "f_https": F.startswith(url, F.lit("https")).cast("double"),
     }
 
 
-def verdicts(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, judge_all: bool = False) -> DataFrame:
+def verdicts(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, judge_all: bool = False, learn: Column | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict and score (of blocking, by the trees; null under a rule) of every row of ``pages``.
 
     A null url, or one without ://, has an empty host and path, fits no rule and is judged by its
-    characters. Without labelled urls of both kinds, urls under no rule get the labels' majority,
-    allow if there are none. Repeated rows repeat. ``judge_all`` scores urls under rules too.
+    characters; a long one is judged whole. Without labelled urls of both kinds, urls under no rule
+    get the labels' majority, allow if there are none. Repeated rows repeat, other columns of
+    ``pages`` stay out, and an empty table gives an empty result. ``judge_all`` scores urls under
+    rules too; ``learn``, a condition on url, keeps others from training, to measure on them.
     """
-    url = F.coalesce(F.col("url").cast("string"), F.lit(""))
+    spark, url = pages.sparkSession, F.coalesce(F.col("url").cast("string"), F.lit(""))
     parts = pages.select("page_id", url.alias("url")).select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     ruled = parts.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     blocks = [rule for rule, kind in rules if kind == "block"]
@@ -86,7 +88,8 @@ def verdicts(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, judge
     suffix, segment = bins(F.substring_index("host", ".", -1)), bins(F.regexp_extract("path", "^/([^/]*)", 1))
     lexical = features(F.col("url"), F.col("host"), F.col("path"))
     ruled = ruled.select("*", label.alias("label"), suffix.alias("suffix"), segment.alias("segment"))
-    chosen = ruled.where("label is not null").orderBy(F.xxhash64("url", "page_id"), "page_id").limit(SAMPLE_ROWS)
+    known = ruled.where("label is not null")
+    chosen = (known if learn is None else known.where(learn)).orderBy(F.xxhash64("url", "page_id"), "page_id").limit(SAMPLE_ROWS)
     chosen = checkpoint(chosen)
     counts = {r.label: r["count"] for r in chosen.groupBy("label").count().collect()}
     if len(counts) < 2:
@@ -108,7 +111,8 @@ def verdicts(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, judge
         names = [*lexical, *(f"f_{key}_{what}" for key in stats for what in ("seen", "blocked"))]
         assemble = VectorAssembler(inputCols=names, outputCol="features")
         trees = GBTClassifier(maxIter=_TREES, maxDepth=_DEPTH, seed=7, featuresCol="features", labelCol="label")
-        train = checkpoint(assemble.transform(described(chosen)).select("features", "label"))
+        tasks = min(16, spark.sparkContext.defaultParallelism)  # the limit has left one partition
+        train = checkpoint(assemble.transform(described(chosen)).select("features", "label").repartition(tasks))
         model = trees.fit(train)
         scored = model.transform(assemble.transform(described(ruled)))
         judged = scored.withColumn("score", vector_to_array("probability")[1])
