@@ -184,19 +184,29 @@ def mix_counts(docs: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS) -
 
 
 def mixed_blocks(docs: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The mix itself: shard, slot (within its shard, from 0), source, n_words and text of every block taken, repeats included."""
+    """The mix itself: shard, slot (within its shard, from 0), source, n_words and text of every block taken, repeats included.
+
+    Null texts and texts without words give nothing, a null source is a source, rows that repeat
+    are documents of their own, other columns of ``docs`` stay out, and an empty table gives none.
+    """
     rows = _rows(docs, seed)
     sources = plan(rows, block_words=block_words)
     known = F.broadcast(_table(rows, sources).select("s", F.col("source").alias("_source")))  # MOST_SOURCES rows at most
     numbered = rows.join(known, F.col("source").eqNullSafe(F.col("_source")))
     cut = pieces(numbered.select("s", "size", F.struct("_key", "doc_id", "_hash", "_id").alias("_row")), sources, block_words)
-    cut = cut.select("s", "block", "_row", "from", "words", F.col("_row.doc_id").alias("_doc"), F.col("_row._hash").alias("_hash"))
+    held = cut.groupBy("_row").agg(F.collect_list(F.struct("s", "block", "from", "words")).alias("pieces"))  # of one document, as many as its blocks
+    held = held.select("_row", "pieces", F.col("_row.doc_id").alias("_doc"), F.col("_row._hash").alias("_hash"))
     texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.xxhash64(F.col("text").cast("string")).alias("_hash"), F.col("text").cast("string").alias("_text"))
     texts = texts.dropDuplicates(["_doc", "_hash"])
-    same = (cut["_hash"] == texts["_hash"]) & cut["_doc"].eqNullSafe(texts["_doc"])
-    words = F.slice(F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)), F.col("from").cast("int") + 1, F.col("words").cast("int"))
-    part = F.struct("_row", F.array_join(words, " ").alias("text"), "words").alias("part")
-    blocks = cut.join(texts, same).select("s", "block", part).groupBy("s", "block").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    same = (held["_hash"] == texts["_hash"]) & held["_doc"].eqNullSafe(texts["_doc"])
+
+    def cut_up(words: Column) -> Column:
+        piece = lambda p: F.array_join(F.slice(words, p["from"].cast("int") + 1, p["words"].cast("int")), " ")
+        return F.transform("pieces", lambda p: F.struct(p["s"].alias("s"), p["block"].alias("block"), piece(p).alias("text"), p["words"].alias("words")))
+
+    once = F.transform(F.array(F.regexp_extract_all("_text", F.lit(WORD), F.lit(0))), cut_up)[0]  # a text's words are found once
+    parts = held.join(texts, same).select("_row", F.explode(once).alias("x")).select("x.s", "x.block", F.struct("_row", "x.text", "x.words").alias("part"))
+    blocks = parts.groupBy("s", "block").agg(F.array_sort(F.collect_list("part")).alias("parts"))  # BLOCK_WORDS words at most
     taken = slots(rows, sources, seed).join(blocks, ["s", "block"]).join(_table(rows, sources).select("s", "source"), "s")
     order = W.partitionBy("shard").orderBy(F.xxhash64("s", "j", F.lit(seed)), "s", "j")
     text = F.array_join("parts.text", " ").alias("text")
