@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..sources.storage import checkpoint, checkpoint_folder  # noqa: F401  (for the operators)
+
 STRETCH_ROWS = 4096  # rows whose sums one window runs up
 WORD = r"[^\x20\x09-\x0D]+"
 BATCH_ROWS = 256  # rows that travel to Python at once: with long texts, too, a batch stays small beside a worker's memory
@@ -18,29 +19,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder for what has to outlive executors: the session's ``spark.checkpoint.dir``.
-
-    Where that is unset, a local session gets a temporary folder; a cluster has to name one.
-    """
-    sc = spark.sparkContext
-    if (folder := sc.getCheckpointDir()) is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="texweave-checkpoint-")
-        sc.setCheckpointDir(folder)
-        folder = sc.getCheckpointDir()
-    return folder
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Materialize ``df`` in the shared checkpoint folder and cut its lineage."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches of at most ``BATCH_ROWS`` rows. Spark reads the setting when a plan runs, so it stays in the session."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
