@@ -32,3 +32,9 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Materialize ``df`` in the shared checkpoint folder and cut its lineage."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder by Spark's own file systems."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
