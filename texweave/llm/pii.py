@@ -64,7 +64,7 @@ _KINDS = ("email", "secret", "ip", "ip6", "iban", "card", "ssn", "phone", "name"
 # A capitalised word before another: the first is looked up among given names.
 _PAIR = re.compile(rf"(?<!\w)([A-ZÀ-ÞА-ЯЁ][^\W\d_]+)[ ](?=([A-ZÀ-ÞА-ЯЁ][^\W\d_]+(?:[-'’][^\W\d_]+)?))")
 _WORD = re.compile(_NAME)
-_HINT = re.compile("[0-9@]|[0-9A-Fa-f]::")
+_HINT = re.compile("[0-9@]|::")
 _MARKS = [t + end for t in TITLES for end in (" ", ". ")] + ["AKIA", "ghp_", "ghp-", "sk_", "sk-", "xoxb", "xoxp"]
 
 
