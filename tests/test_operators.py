@@ -177,6 +177,59 @@ def test_png_round_trip_and_failure(spark):
     assert (row.width, row.height, row.color_type, row.file_bytes) == (4, 3, 0, len(data))
 
 
+def test_png_filters_undone():
+    """Rows under all five filters, made by a plain encoder, come back."""
+    import struct
+    import zlib
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for n, color in ((1, 0), (3, 2), (4, 6)):
+        pixels = rng.integers(0, 256, (10, 7, n)).astype(np.uint8)
+        flat, body = pixels.reshape(10, -1).astype(int), b""
+        for y, row in enumerate(flat):
+            up = flat[y - 1] if y else np.zeros_like(row)
+            left, corner = (np.concatenate([np.zeros(n, int), x[:-n]]) for x in (row, up))
+            paeth = [min(((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c)))[2] for a, b, c in zip(left, up, corner, strict=True)]
+            kind = y % 5
+            body += bytes([kind]) + ((row - [0 * row, left, up, (left + up) // 2, np.array(paeth)][kind]) & 255).astype(np.uint8).tobytes()
+        chunk = lambda k, b: struct.pack(">I", len(b)) + k + b + struct.pack(">I", zlib.crc32(k + b))
+        data = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 7, 10, 8, color, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(body)) + chunk(b"IEND", b"")
+        assert (image.decode_png(data) == pixels).all()
+
+
+def test_augmentation_steps():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    pixels = np.floor(rng.uniform(0, 256, (20, 30, 3)))
+    flat = np.full((20, 30, 3), 90.0)
+    for made in (image._blurred(flat, 1.0), image._sharpened(flat, 1.4), image._resized(flat, 7, 11), image._blocky(flat, 99)):
+        assert np.abs(made - 90).max() < 2
+    assert np.abs(image._blocky(pixels, 100) - pixels).mean() < np.abs(image._blocky(pixels, 35) - pixels).mean()
+    assert (image._rotated(pixels, 0) == pixels).all() and image._bordered(pixels, 4, np.array([1, 2, 3])).shape == (28, 38, 3)
+    assert image._blurred(pixels, 1.0).std() < pixels.std() < image._sharpened(pixels, 1.4).std()
+    for steps in image.PROFILES.values():
+        for name, _, *strengths in steps:
+            assert image._steps(rng)[name](pixels, *strengths).shape[2] == 3
+
+
+def test_batches_fail_as_a_whole(spark):
+    import numpy as np
+    import pytest
+
+    from texweave.operators import inference
+
+    good = bytearray(image.encode_png(np.zeros((2, 2), np.uint8)))
+    rows = spark.createDataFrame([(k, None if k == 5 else good) for k in range(12)], "k int, i binary").coalesce(1)
+    said = rows.select("k", inference.predicted(lambda pictures: ["x"] * len(pictures), 4)("i").alias("s")).collect()
+    assert [r.k for r in said if r.s is None] == [4, 5, 6, 7]
+    assert set(inference.inputs(F.col("i"))) == {"image"} and set(inference.inputs(text=F.col("t"))) == {"tokens"}
+    with pytest.raises(ValueError):
+        inference.inputs()
+
+
 def test_line_files_and_annotations(spark, tmp_path):
     (tmp_path / "a.txt").write_text("one\ntwo\n")
     (tmp_path / "b.txt").write_text("1\n2\n3\n")

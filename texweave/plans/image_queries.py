@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import image as I
+from ..functions import metrics as M
+from ..operators import evaluation, inference
 from ..sources.readers import table
 from .registry import query
 from .views import LATEX_SQL, PIXELS_SQL, latex, pictures
@@ -63,8 +67,25 @@ def prepared_images(spark, sf_dir):
 
 @query()
 def augmented_images(spark, sf_dir):
-    rows = pictures(spark, sf_dir).select("vec_id", I.noised("image", F.xxhash64("vec_id")).alias("image"))
-    return rows.select("vec_id", I.pixel_statistics("image").alias("s")).select("vec_id", "s.mean_px", "s.std_px")
+    """Each picture under each profile."""
+    rows, seed = pictures(spark, sf_dir), F.xxhash64("vec_id")
+    made = [rows.select("vec_id", F.lit(p).alias("profile"), I.augmented(p)("image", seed).alias("image")) for p in I.PROFILES]
+    every = reduce(lambda a, b: a.unionByName(b), made).select("vec_id", "profile", I.pixel_statistics("image").alias("s"))
+    return every.select("vec_id", "profile", "s.mean_px", "s.std_px")
+
+
+@query("""select vec_id, case when vec_id % 7 = 0 then 1.0::double else
+  levenshtein(case vec_id % 4 when 0 then 'normal' when 1 then 'blank' when 2 then 'white' else 'dark' end, 'blank') / 5.0 end as score from embeddings""")
+def batch_scores(spark, sf_dir):
+    """What a model says of pictures, scored against one word; a picture that can't be read fails its batch and counts as a failure."""
+
+    def model(pictures):
+        return ["blank" if p.std() < 2 else "white" if p.mean() > 245 else "dark" if p.mean() < 20 else "normal" for p in pictures]
+
+    cut = F.when(F.col("vec_id") % 7 == 0, F.substring("image", 1, 20)).otherwise(F.col("image"))
+    said = pictures(spark, sf_dir).select("vec_id", inference.predicted(model, 1)(cut).alias("said"))
+    scored = said.select("vec_id", M.char_edit_ratio(F.col("said"), F.lit("blank")).alias("score"))
+    return scored.select("vec_id", evaluation.scored_or_failed("score").alias("score"))
 
 
 @query("""select vec_id, list_transform(embedding, lambda v: round((floor(greatest(0, least(255, (cast(v as double) + 1) * 127.5))) / 255.0 - 0.5) / 0.5, 9)) as pixels from embeddings""")
