@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions import image as I
+from ..functions.image import decode_png, prepared
 from ..functions import markup
 
 
@@ -33,7 +33,7 @@ def predicted(model: Callable[[list[np.ndarray]], list[str]], batch_rows: int =
     def each(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
             parts = (column[at : at + batch_rows] for at in range(0, len(column), batch_rows))
-            yield pa.array([x for part in parts for x in said([I.decode_png(p.as_py()) for p in part])], pa.string())
+            yield pa.array([x for part in parts for x in said([decode_png(p.as_py()) for p in part])], pa.string())
 
     return F.arrow_udf(each, "string")
 
@@ -42,4 +42,4 @@ def inputs(image: Column | None = None, text: Column | None = None) -> dict[str,
     """Model inputs by name: the prepared picture, the tokens of the text, or both; an error if there is neither."""
     if image is None and text is None:
         raise ValueError("an image or a text is needed")
-    return ({} if image is None else {"image": I.prepared(image)}) | ({} if text is None else {"tokens": markup.lexed(text)})
+    return ({} if image is None else {"image": prepared(image)}) | ({} if text is None else {"tokens": markup.lexed(text)})
