@@ -86,10 +86,7 @@ n as (select r, host, t, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')
              array_to_string(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'),
                                                 '[^\x20\x09-\x0D]+'), ' ') as norm from l),
 f as (select * from n where size > 0),
-hosts as (select host, count(distinct t) as docs from d group by host),
-bad as (select host, norm from f group by host, norm having count(distinct t) >= 5),
-heavy as (select f.host, f.norm from f join bad using (host, norm) join hosts using (host)
-          group by f.host, f.norm, docs having count(distinct f.t) > 0.002 * docs),
+heavy as (select host, norm from f group by host, norm having count(distinct t) >= 5),
 lost as (select r, sum(size) as boiler from f join heavy using (host, norm) group by r),
 dup as (select r, count(*) - count(distinct line) as n from f group by r),
 g as (select r, w, unnest(range(1, len(w) - 6)) as i from d where len(w) >= 8),
