@@ -29,6 +29,7 @@ SHINGLE_WORDS = 3
 SEED = 42
 TILE_ROWS = 2048
 EDGES_PER_TASK = 20_000  # when components are sought
+HUB_EDGES = 500  # a node with more edges, and with over a thousandth of all, is a hub: its edges never meet in one task
 _PARTS = 4
 _BASE = 32  # over 16 + radius, so a count outside 0..16 never meets a valid key
 _CHUNK = 1 << 16
@@ -138,6 +139,14 @@ def links(nodes: DataFrame) -> DataFrame:
     return map_batches(pairs.select("fps_a", "fps"), _compare_batches, "a long, b long")
 
 
+def _with_least(pairs: DataFrame, least: DataFrame, most: int) -> DataFrame:
+    """``pairs`` with the m of their a in ``least``. The hubs of ``least``, some thousands at most, come by broadcast."""
+    hubs = F.broadcast(least.where(F.col("n") > most).select("a", F.col("m").alias("hub_m")))
+    tagged = pairs.join(hubs, "a", "left")
+    usual = tagged.where("hub_m is null").select("a", "b").join(least.where(F.col("n") <= most).select("a", "m"), "a")
+    return usual.unionByName(tagged.where("hub_m is not null").select("a", "b", F.col("hub_m").alias("m")))
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """node and root (the smallest node reachable) for each node of the edges a, b; a root is listed only if linked.
 
@@ -146,14 +155,15 @@ def connected(edges: DataFrame) -> DataFrame:
     """
     ordered = lambda a, b: [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
     edges = checkpoint(edges.where(F.col("a") != F.col("b")).select(*ordered("a", "b")).distinct())
-    digest, tasks = None, 1 + edges.count() // EDGES_PER_TASK
+    digest, n_edges = None, edges.count()
     while True:
+        hub, tasks = max(HUB_EDGES, n_edges // 1000), 1 + n_edges // EDGES_PER_TASK
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where(F.col("b") > F.col("a")).join(least, "a")
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        large = _with_least(both.where(F.col("b") > F.col("a")), least, hub)
         large = large.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = _with_least(large, least, hub)
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         # Few edges need few files. Edges never become more by a round than they were twice over.
         edges = checkpoint(small.where("a != b").select(*ordered("a", "b")).distinct().coalesce(tasks))
@@ -161,7 +171,7 @@ def connected(edges: DataFrame) -> DataFrame:
         now = tuple(edges.agg(F.count("*"), *halves).first())
         if now == digest:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        digest, tasks = now, 1 + now[0] // EDGES_PER_TASK
+        digest, n_edges = now, now[0]
 
 
 def _rooted(nodes: DataFrame) -> DataFrame:
