@@ -332,6 +332,15 @@ def test_keep_one_of_each_tells_rows_apart(spark):
     assert len(twice) == len(want) and {*twice, *runs[0]} <= set(docs.collect())
 
 
+def test_components_of_hubs(spark, monkeypatch):
+    pairs = [(0, k) for k in range(1, 60)] + [(k, k + 100) for k in range(1, 30)] + [(500, 400 + k) for k in range(40)] + [(900, 901)]
+    want = {k: 0 for k in (*range(60), *range(101, 130))} | dict.fromkeys((*range(400, 440), 500), 400) | {900: 900, 901: 900}
+    for hub in (500, 3):
+        monkeypatch.setattr(simhash, "HUB_EDGES", hub)
+        got = {r.node: r.root for r in simhash.connected(spark.createDataFrame(pairs, "a long, b long")).collect()}
+        assert {**{r: r for r in got.values()}, **got} == want
+
+
 # 6
 
 
@@ -399,6 +408,15 @@ def test_boilerplate_joined_beyond_the_broadcast(spark, tables, monkeypatch):
     want = run()
     monkeypatch.setattr(quality, "BROADCAST_LINES", -1)
     assert run() == want
+    monkeypatch.setattr(quality, "HOT_ROWS", 3)  # lines on over three rows, boilerplate or not, take the way of the hot ones
+    assert run() == want
+
+
+def test_boilerplate_of_a_large_host(spark):
+    shared = " ".join(f"shared{k}" for k in range(60))
+    rows = [(k, f"{shared if k < 5 else f'own line of {chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}'}\n{' '.join(f'w{chr(97 + j)}' for j in range(20))} end of {chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}", "en", "h", 0) for k in range(3000)]
+    got = quality.quality(documents(spark, rows)).where("boiler_words > 0").collect()
+    assert sorted((r.doc_id, r.boiler_words, r.kept) for r in got) == [(k, 60, False) for k in range(5)]
 
 
 # 8
