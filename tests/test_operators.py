@@ -1,5 +1,8 @@
 """Edge cases and properties that the tables don't show."""
 
+import collections
+import random
+
 from pyspark.sql import functions as F
 
 from texweave.functions import image, markup, metrics
@@ -98,31 +101,54 @@ def test_quantiles_interpolate(spark):
     assert got == {"a": (1.75, 3.0), "b": (5.0, 5.0)}
 
 
+def plain_merges(zones, n):
+    """Merge after merge, counting anew each time."""
+    merges, words = [], {z: k for z, k in zones.items() if k >= 2}
+    for _ in range(n):
+        pairs = collections.Counter()
+        for z, k in words.items():
+            for pair in zip(z, z[1:], strict=False):
+                pairs[pair] += k
+        best = min(pairs, key=lambda p: (-pairs[p], p), default=None)
+        if best is None or pairs[best] < 2:
+            break
+        merges.append(best)
+        merged = collections.Counter()
+        for z, k in words.items():
+            out, at = [], 0
+            while at < len(z):
+                step = 2 if z[at : at + 2] == best else 1
+                out.append("".join(z[at : at + step]))
+                at += step
+            merged[tuple(out)] += k
+        words = merged
+    return merges
+
+
+def test_merges_that_meet_or_tie(spark):
+    draw = random.Random(1)
+    for letters, widest in (("ab", 9), ("abcd", 6), ("abcdefghijkl", 5)):
+        zones = collections.Counter(tuple(draw.choices(letters, k=draw.randint(1, widest))) for _ in range(60))
+        rows = spark.createDataFrame([(list(z), k + 1) for z, k in zones.items()], "units array<string>, freq long").coalesce(1)
+        assert subwords.learn_merges(rows, 15) == plain_merges({z: k + 1 for z, k in zones.items()}, 15)
+
+
+def test_pieces(spark):
+    texts = [(1, " \\alpha + \\alpha \\ab "), (2, "\\alpha 12"), (3, ""), (4, None), (5, "\u00e9")]
+    rows = spark.createDataFrame(texts, "k int, t string")
+    vocabulary = subwords.piece_vocabulary(subwords.piece_counts(rows, "t"))
+    assert vocabulary.tokens[:5] == ["<pad>", "<unk>", "<bos>", "<eos>", " "] and vocabulary.tokens[99] == "\u00e9"
+    got = {r.k: [vocabulary.tokens[i] for i in r.ids] for r in subwords.encode_pieces(rows, "k", "t", vocabulary).collect()}
+    assert got[1] == ["<bos>", "\\alpha", "+", "\\alpha", "\\a", "b", "<eos>"]
+    assert got[2] == ["<bos>", "\\alpha", "1", "2", "<eos>"] and got[3] == got[4] == ["<bos>", "<eos>"]
+
+
 def test_merges_against_a_plain_trainer(spark):
     """Merges learned from the benchmark's words, and ids of its markup, as plain Python learns and finds them."""
-    import collections
-
     from texweave.plans import markup_queries, views
 
     DIR = "/root/testdata/sf0.001"
-    zones = {tuple(r.units): r.freq for r in markup_queries._word_zones(spark, DIR).collect()}
-    want, words = [], {z: n for z, n in zones.items() if n >= 2}
-    for _ in range(12):
-        pairs = collections.Counter()
-        for z, n in words.items():
-            for pair in zip(z, z[1:], strict=False):
-                pairs[pair] += n
-        best = min(pairs, key=lambda p: (-pairs[p], p))
-        want.append(best)
-        merged = collections.Counter()
-        for z, n in words.items():
-            out, k = [], 0
-            while k < len(z):
-                step = 2 if z[k : k + 2] == best else 1
-                out.append("".join(z[k : k + step]))
-                k += step
-            merged[tuple(out)] += n
-        words = merged
+    want = plain_merges({tuple(r.units): r.freq for r in markup_queries._word_zones(spark, DIR).collect()}, 64)
     assert [(r.a, r.b) for r in markup_queries.bpe_merges(spark, DIR).orderBy("rank").collect()] == want
     rows, vocabulary = markup_queries._vocabulary(spark, DIR)
     ids, ranks = vocabulary.ids, {m: k for k, m in enumerate(vocabulary.merges)}

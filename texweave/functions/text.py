@@ -79,3 +79,8 @@ def percent(part: Column, whole: Column) -> Column:
 
 def grade(rate: Column) -> Column:
     return F.when(rate < 1, "GOOD").when(rate < 5, "WARN").otherwise("BAD")
+
+
+def counted_share(n: Column, total: Column) -> Column:
+    """A count with separated thousands, two spaces, and its percentage of a total; of nothing, 0 percent."""
+    return F.format_string("%,d  (%.2f%%)", n, percent(n, total))

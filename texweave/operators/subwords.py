@@ -6,7 +6,7 @@ over the distinct zones: the corpus is counted once, then only its distinct zone
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -14,11 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import markup
+from ..functions.text import PRE_TOKEN, stripped, tokens
 from ..sources.storage import checkpoint
 
 SPECIAL = ("<pad>", "<unk>", "<bos>", "<eos>")
 PAD, UNK, BOS, EOS = range(4)
 STEPS_KEPT = 10
+PAIRS_AT_ONCE = 64  # best pairs that the driver sees at a time
+PIECES_KEPT = 100_000  # encoded runs that a task remembers
 
 
 @dataclass
@@ -82,22 +85,58 @@ def merge_pair(units: Column, a: str, b: str) -> Column:
     return F.aggregate(units, start, step, last)
 
 
-def learn_merges(counted: DataFrame, n: int, least: int = 2) -> list[tuple[str, str]]:
-    """Merge rules in order; ties by code point. Each step is one job over distinct zones; the driver sees the best pair.
+def merge_apart(units: Column, pairs: list[tuple[str, str]]) -> Column:
+    """Units with each of the pairs as one. No unit may stand in two of the pairs or twice in one: then no two places overlap."""
+    second = F.create_map(*(F.lit(x) for pair in pairs for x in pair))
+    meets = lambda k: F.coalesce(F.try_element_at(second, F.get(units, k)) == F.get(units, k + 1), F.lit(False))
+    joined = F.transform(units, lambda x, k: F.when((k > 0) & meets(F.greatest(k - 1, F.lit(0))), None).when(meets(k), F.concat(x, F.get(units, k + 1))).otherwise(x))
+    return F.filter(joined, lambda x: x.isNotNull())
 
-    Zones that are rewritten are kept at hand, and written to the checkpoint folder every
-    ``STEPS_KEPT`` merges, so that plans stay short however many merges are learned.
+
+def _sure_merges(best: list, made: set[str], least: int) -> list[tuple[str, str]]:
+    """How the first of the ranked pairs will be merged one after the other, as far as that is certain.
+
+    A merge changes counts of pairs that share a unit with it only, and a pair that it brings about is no more frequent
+    than one of those was. So pairs apart from each other keep their order as long as they are more frequent than the
+    first pair in the ranking that is not apart. A pair of equal units brings about pairs as frequent as itself, and a
+    joined unit that is there already gains: such a pair ends the list, or is merged alone.
     """
-    counted, merges = counted.where(F.col("freq") >= least).cache(), []
+    sure, used, bound = [], set(), 0
+    for row in best:
+        apart = row.a != row.b and row.a not in used and row.b not in used and row.a + row.b not in made | used
+        if row.n < least or not apart:
+            bound = row.n
+            break
+        sure.append(row)
+        used |= {row.a, row.b, row.a + row.b}
+    else:
+        bound = best[-1].n if len(best) == PAIRS_AT_ONCE else 0
+    later = [(r.a, r.b) for r in sure[1:] if r.n > bound]
+    return [(best[0].a, best[0].b), *later] if best and best[0].n >= least else []
+
+
+def learn_merges(counted: DataFrame, n: int, least: int = 2, least_zone: int = 2) -> list[tuple[str, str]]:
+    """Merge rules in order; ties by code point. Rarer pairs and zones don't count. Units are single characters at first.
+
+    Each step is one job over distinct zones, of which the driver sees the best pairs, and settles all merges that are
+    certain by then (some three in the mean). Zones that are rewritten are kept at hand, and written to the checkpoint
+    folder every ``STEPS_KEPT`` steps, so that plans stay short however many merges are learned.
+    """
+    counted, merges, steps = counted.where(F.col("freq") >= least_zone).cache(), [], 0
+    made: set[str] = set()
     try:
-        for _ in range(n):
-            best = pair_counts(counted).orderBy(F.desc("n"), "a", "b").first()
-            if best is None or best.n < least:
+        while len(merges) < n:
+            best = pair_counts(counted).orderBy(F.desc("n"), "a", "b").limit(PAIRS_AT_ONCE).collect()
+            sure = _sure_merges(best, made, least)[: n - len(merges)]
+            if not sure:
                 break
-            merges.append((best.a, best.b))
-            pair = F.array_contains("units", best.a) & F.array_contains("units", best.b)
-            later = counted.withColumn("units", F.when(pair, merge_pair(F.col("units"), best.a, best.b)).otherwise(F.col("units")))
-            later = checkpoint(later) if len(merges) % STEPS_KEPT == 0 else later.cache()
+            merges += sure
+            made |= {a + b for a, b in sure}
+            steps += 1
+            units = F.col("units")
+            later = counted.withColumn("units", merge_pair(units, *sure[0]) if sure[0][0] == sure[0][1] else merge_apart(units, sure))
+            later = later.where(F.size("units") > 1)  # a single unit has no pairs
+            later = checkpoint(later) if steps % STEPS_KEPT == 0 else later.cache()
             later.count()
             counted.unpersist()
             counted = later
@@ -132,20 +171,27 @@ def extend(base: list[str], numbers: list[str], merges: list[tuple[str, str]], s
     return Vocabulary(tokens, used)
 
 
+def _run_encoder(ids: dict[str, int], ranks: dict[tuple[str, str], int]) -> Callable[[tuple[str, ...]], list[int]]:
+    """Ids of a run of units after its merges; runs seen before are remembered, ``PIECES_KEPT`` at most."""
+    known: dict[tuple[str, ...], list[int]] = {}
+
+    def found(run: tuple[str, ...]) -> list[int]:
+        if run not in known:
+            if len(known) >= PIECES_KEPT:
+                known.clear()
+            known[run] = [ids.get(u, UNK) for u in apply_merges(list(run), ranks)]
+        return known[run]
+
+    return found
+
+
 def encode(rows: DataFrame, key: str, text: str, vocabulary: Vocabulary, most: int | None = None, special: bool = True) -> DataFrame:
     """key and ids of each text. A cut at ``most`` may lose the end mark. Texts are lexed in place; nothing is exchanged."""
     shared = rows.sparkSession.sparkContext.broadcast((vocabulary.ids, {pair: k for k, pair in enumerate(vocabulary.merges)}))  # a vocabulary
 
     def encoded(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         ids, ranks = shared.value
-        known: dict[tuple[str, ...], list[int]] = {}
-
-        def units(run: tuple[str, ...]) -> list[int]:
-            if run not in known:
-                if len(known) > 100_000:
-                    known.clear()
-                known[run] = [ids.get(u, UNK) for u in apply_merges(list(run), ranks)]
-            return known[run]
+        units = _run_encoder(ids, ranks)
 
         def one(tokens: list[str], frozen: list[bool], kinds: list[str]) -> list[int]:
             out, run = [BOS] * special, []
@@ -166,6 +212,33 @@ def encode(rows: DataFrame, key: str, text: str, vocabulary: Vocabulary, most: i
     return lexed.select(key, F.arrow_udf(encoded, "array<int>")(F.col("_t.token"), F.col("_t.frozen"), F.col("_t.ttype")).alias("ids"))
 
 
+def piece_counts(rows: DataFrame, text: str) -> DataFrame:
+    """units (the characters) and freq of each distinct token of the texts, for merges inside tokens."""
+    each = rows.select(F.explode(tokens(stripped(F.col(text)), PRE_TOKEN)).alias("t")).groupBy("t").agg(F.count("*").alias("freq"))
+    return each.select(F.filter(F.split("t", ""), lambda c: c != "").alias("units"), "freq")
+
+
+def piece_vocabulary(counted: DataFrame, size: int = 8192) -> Vocabulary:
+    """Specials, printable ASCII, all other characters of the corpus by code point, then merges until the size is reached."""
+    ascii_chars = [chr(c) for c in range(32, 127)]
+    seen = [r.c for r in counted.select(F.explode("units").alias("c")).distinct().orderBy("c").limit(size).collect()]  # characters
+    alphabet = list(dict.fromkeys([*SPECIAL, *ascii_chars, *seen]))
+    return extend(alphabet, [], learn_merges(counted, size - len(alphabet), least_zone=1), size)
+
+
+def encode_pieces(rows: DataFrame, key: str, text: str, vocabulary: Vocabulary) -> DataFrame:
+    """key and ids of each text between start and end marks; merges stay inside tokens. Nothing is exchanged."""
+    shared = rows.sparkSession.sparkContext.broadcast((vocabulary.ids, {pair: k for k, pair in enumerate(vocabulary.merges)}))  # a vocabulary
+
+    def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        units = _run_encoder(*shared.value)
+        for batch in batches:
+            found = ([i for t in x or [] for i in units(tuple(t))] for x in batch.to_pylist())
+            yield pa.array([[BOS, *ids, EOS] for ids in found], pa.list_(pa.int32()))
+
+    return rows.select(key, F.arrow_udf(encoded, "array<int>")(tokens(stripped(F.col(text)), PRE_TOKEN)).alias("ids"))
+
+
 def decode(ids: Column, vocabulary: Vocabulary, skip_special: bool = True, unknown: str | None = None) -> Column:
     """Text of ids: pad and end never show, start only if asked; unknown ids drop out or show as ``unknown``."""
     tokens = F.array(*map(F.lit, vocabulary.tokens))

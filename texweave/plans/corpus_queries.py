@@ -270,3 +270,16 @@ def sample_tiled(spark, sf_dir):
     order = W.orderBy(sampling.keyed(F.col("item_id")), "item_id")
     tile = F.row_number().over(W.partitionBy("item_id").orderBy(F.lit(0))) - 1
     return rows.select("item_id", (F.dense_rank().over(order) - 1 + tile * n).cast("bigint").alias("place"))
+
+
+@query("""select source, n, format('{:,}  ({:.2f}%)', n, 100.0 * n / sum(n) over ()) as share from (select source, count(*) as n from documents group by source)""")
+def count_report(spark, sf_dir):
+    counted = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"))
+    total = counted.agg(F.sum("n").alias("total"))
+    return counted.join(F.broadcast(total)).select("source", "n", T.counted_share(F.col("n"), F.col("total")).alias("share"))  # one row
+
+
+@query("select 'documents' as dataset, count(*) as n from documents union all select 'pages', count(*) from pages")
+def row_counts(spark, sf_dir):
+    counts = [table(spark, sf_dir, t).agg(F.count("*").alias("n")).select(F.lit(t).alias("dataset"), "n") for t in ("documents", "pages")]
+    return counts[0].unionByName(counts[1])

@@ -116,11 +116,11 @@ def _word_zones(spark, sf_dir):
 
 @query()
 def bpe_merges(spark, sf_dir):
-    merges = subwords.learn_merges(_word_zones(spark, sf_dir), 12)
+    merges = subwords.learn_merges(_word_zones(spark, sf_dir), 64)
     return spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(merges)], "rank int, a string, b string")
 
 
-MERGES = 4
+MERGES = 64
 
 
 def _vocabulary(spark, sf_dir):
@@ -139,6 +139,27 @@ def encode_ids(spark, sf_dir):
     return subwords.encode(rows, "idx", "latex", vocabulary, most=200)
 
 
+def _pieces(spark, sf_dir):
+    rows = latex(spark, sf_dir)
+    counted = subwords.piece_counts(rows, "latex").cache()
+    vocabulary = subwords.piece_vocabulary(counted)
+    counted.unpersist()
+    return rows, vocabulary
+
+
+@query()
+def piece_ids(spark, sf_dir):
+    """Ids by the second trainer: 8,192 at most, merges inside tokens."""
+    rows, vocabulary = _pieces(spark, sf_dir)
+    return subwords.encode_pieces(rows, "idx", "latex", vocabulary)
+
+
+@query(rf"select idx, array_to_string(regexp_extract_all(latex, '\\[a-zA-Z]+|\\.|[0-9]|[a-zA-Z]|[^\s]'), '') as back from {LATEX_SQL}")
+def piece_roundtrip(spark, sf_dir):
+    rows, vocabulary = _pieces(spark, sf_dir)
+    return subwords.encode_pieces(rows, "idx", "latex", vocabulary).select("idx", subwords.decode(F.col("ids"), vocabulary).alias("back"))
+
+
 @query(f"select idx, latex as back from {LATEX_SQL}")
 def decode_roundtrip(spark, sf_dir):
     rows, vocabulary = _vocabulary(spark, sf_dir)
