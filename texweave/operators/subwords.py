@@ -119,7 +119,7 @@ def learn_merges(counted: DataFrame, n: int, least: int = 2, least_zone: int = 2
     """Merge rules in order; ties by code point. Rarer pairs and zones don't count. Units are single characters at first.
 
     Each step is one job over distinct zones, of which the driver sees the best pairs, and settles all merges that are
-    certain by then (some three in the mean). Zones that are rewritten are kept at hand, and written to the checkpoint
+    certain by then. Zones that are rewritten are kept at hand, and written to the checkpoint
     folder every ``STEPS_KEPT`` steps, so that plans stay short however many merges are learned.
     """
     counted, merges, steps = counted.where(F.col("freq") >= least_zone).cache(), [], 0
