@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, html, mixing, pii, quality, sharding, simhash, toxicity, urls
+from . import chat, decontaminate, divergence, html, mixing, pii, quality, sharding, simhash, toxicity, urls
 from .common import read_table
 
 
@@ -52,10 +52,15 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymize(read_table(spark, sf_dir, "documents"), b"op10_pii")
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_mixing, op2_decontaminate, op3_chat, op4_html, op5_simhash, op6_toxicity, op7_quality, op8_sharding, op9_urls, op10_pii,
+        op12_divergence,
     )
 }
 
@@ -127,4 +132,7 @@ select doc_id, size, crc as text_crc32, 'bytes' as law, cast(shard as integer) a
 from p
 """
 
-ORACLES: dict[str, str] = {"op2_decontaminate": _OP2, "op3_chat": chat.ORACLE_SQL, "op7_quality": _OP7, "op8_sharding": _OP8}
+ORACLES: dict[str, str] = {
+    "op2_decontaminate": _OP2, "op3_chat": chat.ORACLE_SQL, "op7_quality": _OP7, "op8_sharding": _OP8,
+    "op12_divergence": divergence.ORACLE_SQL,
+}
