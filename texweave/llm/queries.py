@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, divergence, html, mixing, pii, quality, sharding, simhash, toxicity, urls
+from . import chat, decontaminate, divergence, html, mixing, pii, quality, sharding, simhash, toxicity, trie, urls
 from .common import read_table
 
 
@@ -52,6 +52,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymize(read_table(spark, sf_dir, "documents"), b"op10_pii")
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(read_table(spark, sf_dir, "conversations"))
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(read_table(spark, sf_dir, "documents"))
 
@@ -60,7 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_mixing, op2_decontaminate, op3_chat, op4_html, op5_simhash, op6_toxicity, op7_quality, op8_sharding, op9_urls, op10_pii,
-        op12_divergence,
+        op11_trie, op12_divergence,
     )
 }
 
@@ -134,5 +138,5 @@ from p
 
 ORACLES: dict[str, str] = {
     "op2_decontaminate": _OP2, "op3_chat": chat.ORACLE_SQL, "op7_quality": _OP7, "op8_sharding": _OP8,
-    "op12_divergence": divergence.ORACLE_SQL,
+    "op11_trie": trie.ORACLE_SQL, "op12_divergence": divergence.ORACLE_SQL,
 }
