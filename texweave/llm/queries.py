@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, divergence, html, mixing, pii, quality, sharding, simhash, toxicity, trie, urls
+from . import chat, decontaminate, divergence, html, mixing, neighbours, pii, quality, sharding, simhash, toxicity, trie, urls
 from .common import read_table
 
 
@@ -60,11 +60,15 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(read_table(spark, sf_dir, "documents"))
 
 
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_duplicate_embeddings(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_mixing, op2_decontaminate, op3_chat, op4_html, op5_simhash, op6_toxicity, op7_quality, op8_sharding, op9_urls, op10_pii,
-        op11_trie, op12_divergence,
+        op11_trie, op12_divergence, op13_neighbours,
     )
 }
 
