@@ -131,10 +131,11 @@ def _pairs(vectors: DataFrame, languages: DataFrame, parts: int) -> DataFrame:
     p, q = F.col("s.p"), F.col("p")
     met = held.select("lang", F.col("s.at").alias("i"), "s", F.inline_outer(after)).where("at is not null")
     met = met.groupBy("lang", "i", F.col("at").alias("j")).agg(F.sum(_gap(p, q)).alias("there"), F.sum(_gap(q, p)).alias("back"), F.count("*").alias("n"))
+    row = lambda i, j, value: F.struct(F.col(i).alias("i"), F.col(j).alias("j"), F.col(value).alias("value"))
+    both = met.select("lang", "n", F.inline(F.array(row("i", "j", "there"), row("j", "i", "back"))))  # one scan for both ways
     no_name, no_gap = (F.lit(None).cast(t) for t in ("string", "long"))
-    there = met.select("lang", "i", "j", no_name, no_name, "there", -F.col("n"), no_gap)
-    back = met.select("lang", "j", "i", no_name, no_name, "back", -F.col("n"), no_gap)
-    sums = base.union(there).union(back).groupBy("lang", "i", "j").agg(*(F.max(c).alias(c) for c in ("source", "item", "lacked")), F.sum("value").alias("value"), F.sum("lacking").alias("lacking"))
+    both = both.select("lang", "i", "j", no_name, no_name, "value", -F.col("n"), no_gap)
+    sums = base.union(both).groupBy("lang", "i", "j").agg(*(F.max(c).alias(c) for c in ("source", "item", "lacked")), F.sum("value").alias("value"), F.sum("lacking").alias("lacking"))
     return sums.select("lang", "source", "item", (F.col("value") + F.col("lacking") * F.col("lacked")).alias("value"))
 
 

@@ -166,7 +166,7 @@ def _balls(rows: DataFrame, angle: float) -> list[DataFrame]:
         levels.append(level)
         balls = level.where("bid = into")
         now = balls.count()
-        if now > 0.95 * before:
+        if now >= 0.95 * before:  # few merge, or there are none
             return levels
         before = now
 
