@@ -1,8 +1,12 @@
 """Edge cases and properties that the tables don't show."""
 
 import collections
+import os
 import random
 
+import numpy as np
+import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from texweave.functions import image, markup, metrics
@@ -89,18 +93,89 @@ def test_number_within_groups(spark):
     assert all(r.i == r.v for r in got if r.g != "b")
 
 
-def test_packing_in_shards(spark):
-    rows = [("a", k, 60) for k in range(10)]
-    got = sequences.pack_greedy(spark.createDataFrame(rows, "g string, k int, s int"), "g", ["k"], "s", 200, shard_rows=4).orderBy("k").collect()
-    assert [(r.shard, r.bin) for r in got] == [(k // 4, k % 4 // 3) for k in range(10)]
+def test_number_within_a_hot_group(spark):
+    """Half of the rows are one group; rows and stretches meet by range and group, never by group alone, and sums run up with the numbers."""
+    rows = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 97)).alias("g"), "id", (F.col("id") % 5).alias("v"))
+    got = filters.number_within(rows.repartition(5), ["g"], ["id"], "i", {"below": "v"})
+    assert "hashpartitioning(g#" not in got._jdf.queryExecution().toString()
+    window = W.partitionBy("g").orderBy("id")
+    want = rows.select("g", "id", (F.row_number().over(window) - 1).alias("i"), F.coalesce(F.sum("v").over(window.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("below"))
+    assert got.select("g", "id", "i", "below").exceptAll(want).count() == 0 and got.count() == 20_000
+
+
+def fold(sizes, most):
+    """Bins of one pass."""
+    out, fill, bin_ = [], 0, 0
+    for s in sizes:
+        if fill + s > most:
+            fill, bin_ = 0, bin_ + 1
+        fill += s
+        out.append(bin_)
+    return out
+
+
+@pytest.mark.parametrize("block_rows", [1, 4, 7, 1000])
+def test_packing_is_one_pass_whatever_the_blocks(spark, block_rows):
+    """Bins reach over blocks, and over several blocks."""
+    draw = random.Random(block_rows)
+    groups = {"a": [60] * 10, "b": [draw.randint(1, 200) for _ in range(60)], "c": [1] * 50, None: [draw.choice([1, 1, 1, 150, 200, 400]) for _ in range(60)]}
+    rows = [(g, k, s) for g, sizes in groups.items() for k, s in enumerate(sizes)]
+    got = sequences.pack_greedy(spark.createDataFrame(rows, "g string, k int, s int"), "g", ["k"], "s", 200, block_rows).collect()
+    for g, sizes in groups.items():
+        assert [r.bin for r in sorted((r for r in got if r.g == g), key=lambda r: r.k)] == fold([min(s, 200) for s in sizes], 200)
 
 
 def test_quantiles_interpolate(spark):
     rows = spark.createDataFrame([("a", float(v)) for v in (1, 2, 4, 8)] + [("b", 5.0), ("b", None)], "g string, v double")
-    got = {r.g: (r.q25, r.q50) for r in profiles.quantiles(rows, ["g"], "v", {"q25": 0.25, "q50": 0.5}).collect()}
+    got = {r.g: (r.v_q25, r.v_q50) for r in profiles.quantiles(rows, ["g"], ["v"], {"q25": 0.25, "q50": 0.5}).collect()}
     assert got == {"a": (1.75, 3.0), "b": (5.0, 5.0)}
 
 
+def test_quantiles_by_refinement(spark, monkeypatch):
+    """All columns and groups at once against numpy: ties, wide and narrow ranges, tiny differences, infinities, nulls and NaN."""
+    monkeypatch.setattr(profiles, "CELLS", 8)
+    rng, inf = np.random.default_rng(1), float("inf")
+    columns = {
+        "wide": np.exp(rng.normal(0, 40, 300)), "ties": rng.integers(0, 4, 300).astype(float), "near": 1 + np.arange(300) % 7 * 2.0**-52, "huge": rng.choice([-1.7e308, 1.7e308, 0.0, 3.0], 300),
+        "ends": np.concatenate([[-inf] * 80, rng.normal(0, 1, 140), [inf] * 80]), "one": np.full(300, 2.5),
+    }
+    rows = [("g" if k % 3 else None, *(float(v[k]) for v in columns.values()), None if k % 2 else float("nan") if k % 5 == 0 else float(k)) for k in range(300)]
+    frame = spark.createDataFrame(rows, "g string, wide double, ties double, near double, huge double, ends double, one double, holes double")
+    shares = {"q0": 0.0, "q10": 0.1, "q50": 0.5, "q97": 0.97, "q100": 1.0}
+    got = {r.g: r for r in profiles.quantiles(frame, ["g"], frame.columns[1:], shares).collect()}
+    for g in ("g", None):
+        for at, c in enumerate(frame.columns[1:], 1):
+            values = sorted(r[at] for r in rows if r[0] == g and r[at] is not None and r[at] == r[at])
+            for name, share in shares.items():
+                place = (len(values) - 1) * share
+                low, high = values[int(place // 1)], values[int(-(-place // 1))]
+                want = low if low == high else low + (high - low) * (place - place // 1)
+                assert got[g][f"{c}_{name}"] == pytest.approx(want, rel=1e-15, nan_ok=True), (g, c, name)
+    plan = profiles.quantiles(frame, ["g"], ["wide", "ties"], {"q50": 0.5})._jdf.queryExecution().toString()
+    assert "rangepartitioning" not in plan
+
+
+def test_order_statistics_of_nothing(spark):
+    empty = spark.createDataFrame([(None, None)], "g string, v double")
+    assert profiles.nearest_rank(empty, "v", [0.5]).count() == 0 and profiles.quantiles(empty, [], ["v"], {"q": 0.5}).where("v_q is not null").count() == 0
+    assert profiles.describe(empty, ["g"], ["v"]).first().v_count == 0
+
+
+def test_numbered_files(spark, tmp_path, monkeypatch):
+    """Names, rows and numbers of shards; rows that agree stay together; a stopped writer starts anew, a finished folder stays."""
+    monkeypatch.setattr(writers, "BOUNDS_AT_ONCE", 3)
+    rows = spark.range(100).repartition(7).select((F.col("id") % 90).alias("k"), F.lit("x").alias("_shard"), (F.col("id") * 2).alias("other"))
+    path = f"{tmp_path}/a"
+    os.makedirs(f"{path}/_writing")
+    assert writers.numbered_shards(rows, path, ["k"], 10, "train") == 10
+    assert sorted(f for f in os.listdir(path) if not f.startswith((".", "_"))) == [f"train-{k:05d}-of-00010.parquet" for k in range(10)]
+    back = spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("f")).orderBy("idx").collect()
+    assert [r.idx for r in back] == list(range(100)) and [r.k for r in back] == sorted(r.k for r in back) and {r._shard for r in back} == {"x"}
+    assert all(len({r.f for r in back if r.k == k}) == 1 for k in range(90))
+    assert writers.numbered_shards(rows.limit(1), path, ["k"], 10, "other") == 10
+    assert writers.numbered_shards(rows.limit(0), f"{tmp_path}/none", ["k"], 10) == 1 and spark.read.parquet(f"{tmp_path}/none").count() == 0
+
+
 def plain_merges(zones, n):
     """Merge after merge, counting anew each time."""
     merges, words = [], {z: k for z, k in zones.items() if k >= 2}
@@ -272,7 +347,7 @@ def test_shards_subsets_and_stream(spark, tmp_path):
     back = readers.subsets(spark, f"{tmp_path}/train", ["raw", "absent"])
     assert back.count() == 10 and set(back.columns) >= {"idx", "image", "latex", "source", "file", "subset"}
     assert readers.resolve(spark, str(tmp_path), "train/raw", "raw").endswith("train/raw")
-    stream = streaming.running_counts(streaming.sample_stream(spark, f"{tmp_path}/train/raw/shard=*", rows.schema), "latex", "source")
+    stream = streaming.running_counts(streaming.sample_stream(spark, f"{tmp_path}/train/raw", rows.schema), "latex", "source")
     run = stream.writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     run.awaitTermination(60)
     assert spark.table("counts").agg(F.sum("n")).first()[0] == 10

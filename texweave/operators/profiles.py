@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,38 +10,89 @@ from pyspark.sql import Window as W
 
 from ..functions import text as T
 from ..sources.storage import checkpoint
-from .filters import dense_index, number_within
-
-
-def quantiles(rows: DataFrame, groups: list[str], column: str, shares: dict[str, float]) -> DataFrame:
-    """Interpolated quantiles of a column by group, exact at any size: the values that they lie between are found by their place in a sort."""
-    values = rows.where(F.col(column).isNotNull()).select(*groups, F.col(column).alias("_v"))
-    keys = groups or ["_all"]
-    values = values if groups else values.withColumn("_all", F.lit(0))
-    placed = number_within(values, keys, ["_v"], "_k")
-    spots = {name: (F.col("_k_n") - 1) * share for name, share in shares.items()}
-    near = [F.col("_k").between(F.floor(at), F.ceil(at)) for at in spots.values()]
-    found = placed.where(reduce(or_, near))  # at most two rows a quantile and group
-
-    def between(at: Column) -> Column:
-        low, high = (F.max(F.when(F.col("_k") == f(at), F.col("_v"))) for f in (F.floor, F.ceil))
-        return low + (high - low) * F.max(at - F.floor(at))
-
-    return found.groupBy(*keys).agg(*(between(at).alias(name) for name, at in spots.items())).select(*groups, *shares)
+from .filters import MOST_BROADCAST
+
+
+CELLS = 4096  # parts into which a round cuts an interval
+
+
+def _melted(rows: DataFrame, groups: list[str], columns: list[str]) -> DataFrame:
+    """groups, m (the column's place) and v of all values but null and NaN, as doubles."""
+    each = F.array(*(F.struct(F.lit(k).alias("m"), F.col(c).cast("double").alias("v")) for k, c in enumerate(columns)))
+    return rows.select(*groups, F.inline(each)).where("v is not null and not isnan(v)")
+
+
+def order_statistics(rows: DataFrame, groups: list[str], columns: list[str], places: Callable[[Column], dict[str, Column]], most_groups: int = MOST_BROADCAST) -> DataFrame:
+    """groups, m, name, n and value: of n values of each column and group those at given places of their ascending order, without a sort.
+
+    ``places`` takes the number of values and names places from 0. Each place has an interval that
+    holds its value, and how many values lie below. Round after round intervals are cut in ``CELLS``
+    parts, whose counts, smallest and largest values are found in one aggregation over all columns,
+    groups and places; an interval shrinks to the extremes of the part that holds its place, until
+    they are equal. Parts are equally wide on the scale of logarithms where an interval spans zero or more
+    than a factor of four, else on that of the values: six rounds are the most for any doubles. Infinite values
+    are parts of their own.
+    """
+    by = groups or ["_all"]
+    keys = [*by, "m"]
+    values = checkpoint(_melted(rows if groups else rows.withColumn("_all", F.lit(0)), by, columns))
+    n = F.col("n")
+    spots = F.array(*(F.struct(F.lit(name).alias("name"), at.cast("long").alias("place")) for name, at in places(n).items()))
+    state = values.groupBy(*keys).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    state = checkpoint(state.select(*keys, "n", "lo", "hi", F.lit(0).cast("long").alias("below"), F.inline(spots)))
+    renamed = {k: f"_of_{k}" for k in keys}
+    same = [F.col(k).eqNullSafe(F.col(r)) for k, r in renamed.items()]
+    few = state.count() <= most_groups  # groups times columns times places
+    while state.where("lo < hi").limit(1).count():
+        spans = state.where("lo < hi").groupBy(*(F.col(k).alias(r) for k, r in renamed.items())).agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+        met = values.join(F.broadcast(spans) if few else spans, same)
+        met = met.select(*keys, "v", F.get(F.filter("spans", lambda s: F.col("v").between(s["lo"], s["hi"])), F.lit(0)).alias("s")).where("s is not null")
+        low, high = (F.when(F.abs(c) < float("inf"), c).otherwise(F.signum(c) * 1.7976931348623157e308) for c in (F.col("s.lo"), F.col("s.hi")))
+        wide = (low * F.signum(high) <= 0) | (F.greatest(F.abs(low), F.abs(high)) / 4 > F.least(F.abs(low), F.abs(high)))
+        scale = lambda x: F.when(wide, F.signum(x) * (F.coalesce(F.ln(F.abs(x)), F.lit(0.0)) + 750)).otherwise(x / 2)  # noqa: E731  (halves, so that no difference overflows)
+        share = (scale(F.col("v")) - scale(low)) / (scale(high) - scale(low))
+        cell = F.when(F.col("v") == float("-inf"), -1).when(F.col("v") == float("inf"), CELLS).otherwise(F.least(F.floor(share * CELLS), F.lit(CELLS - 1)))
+        cells = met.groupBy(*keys, "s", cell.cast("int").alias("cell")).agg(F.count("*").alias("c"), F.min("v").alias("low"), F.max("v").alias("high"))
+        cells = cells.select(*(F.col(k).alias(r) for k, r in renamed.items()), F.col("s.lo").alias("_lo"), F.col("s.hi").alias("_hi"), "cell", "c", "low", "high")
+        ahead = W.partitionBy(*renamed.values(), "_lo", "_hi").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)  # CELLS rows and two
+        cells = cells.withColumn("before", F.coalesce(F.sum("c").over(ahead), F.lit(0)))
+        inside = F.col("place").between(F.col("below") + F.col("before"), F.col("below") + F.col("before") + F.col("c") - 1)
+        found = state.where("lo < hi").join(cells, [*same, F.col("lo") == F.col("_lo"), F.col("hi") == F.col("_hi")]).where(inside)
+        found = found.select(*keys, "n", F.col("low").alias("lo"), F.col("high").alias("hi"), (F.col("below") + F.col("before")).alias("below"), "name", "place")
+        state = checkpoint(state.where("lo = hi").unionByName(found))
+    return state.select(*groups, "m", "name", "n", F.col("lo").alias("value"))
+
+
+def quantiles(rows: DataFrame, groups: list[str], columns: list[str], shares: dict[str, float]) -> DataFrame:
+    """Interpolated quantiles of columns by group, as {column}_{name}; exact at any size."""
+
+    def around(n: Column) -> dict[str, Column]:
+        return {f"{end}{name}": f((n - 1) * share) for name, share in shares.items() for end, f in (("<", F.floor), (">", F.ceil))}
+
+    found = order_statistics(rows, groups, columns, around)
+    picked = [F.max(F.when((F.col("m") == k) & (F.col("name") == f"{end}{name}"), F.col("value"))).alias(f"{end}{k}{name}") for k in range(len(columns)) for name in shares for end in "<>"]
+    both = found.groupBy(*groups).agg(*picked, *(F.max(F.when(F.col("m") == k, F.col("n"))).alias(f"_n{k}") for k in range(len(columns))))
+
+    def between(k: int, name: str, share: float) -> Column:
+        low, high, at = F.col(f"<{k}{name}"), F.col(f">{k}{name}"), (F.col(f"_n{k}") - 1) * share
+        return F.when(low == high, low).otherwise(low + (high - low) * (at - F.floor(at))).alias(f"{columns[k]}_{name}")
+
+    return both.select(*groups, *(between(k, name, share) for k in range(len(columns)) for name, share in shares.items()))
 
 
 def describe(rows: DataFrame, groups: list[str], columns: list[str]) -> DataFrame:
-    """count, mean, sample deviation, min, quartiles (interpolated) and max of each column."""
+    """count, mean, sample deviation, min, quartiles (interpolated) and max of each column, all columns at once. NaN counts as missing."""
     found = []
     for c in columns:
-        found += [F.count(c).alias(f"{c}_count"), F.avg(c).alias(f"{c}_mean"), F.stddev_samp(c).alias(f"{c}_std"), F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max")]
+        v = F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+        given = F.when(v.isNotNull(), F.col(c))
+        found += [F.count(v).alias(f"{c}_count"), F.avg(v).alias(f"{c}_mean"), F.stddev_samp(v).alias(f"{c}_std"), F.min(given).alias(f"{c}_min"), F.max(given).alias(f"{c}_max")]
     out = rows.groupBy(*groups).agg(*found)
-    for c in columns:
-        quartiles = quantiles(rows, groups, c, {f"{c}_p{p}": p / 100 for p in (25, 50, 75)})
-        quartiles = quartiles.select(*(F.col(g).alias(f"_of_{g}") for g in groups), *(f"{c}_p{p}" for p in (25, 50, 75)))
-        same = [F.col(g).eqNullSafe(F.col(f"_of_{g}")) for g in groups] or F.lit(True)
-        out = out.join(quartiles, same, "left").drop(*(f"_of_{g}" for g in groups))
-    return out
+    quartiles = quantiles(rows, groups, columns, {f"p{p}": p / 100 for p in (25, 50, 75)})
+    names = [f"{c}_p{p}" for c in columns for p in (25, 50, 75)]
+    quartiles = quartiles.select(*(F.col(g).alias(f"_of_{g}") for g in groups), *names)
+    same = [F.col(g).eqNullSafe(F.col(f"_of_{g}")) for g in groups] or F.lit(True)
+    return out.join(quartiles, same, "left").drop(*(f"_of_{g}" for g in groups))
 
 
 def count_flags(rows: DataFrame, groups: list[str], flags: dict[str, Column]) -> DataFrame:
@@ -57,7 +107,7 @@ def duplicates(rows: DataFrame, groups: list[str], values: dict[str, Column]) ->
 
 def histogram(rows: DataFrame, column: str, bins: int = 60, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """bin, n and density after values are cut to two quantiles."""
-    edges = quantiles(rows, [], column, {"lo": low, "hi": high})
+    edges = quantiles(rows, [], [column], {"lo": low, "hi": high}).select(F.col(f"{column}_lo").alias("lo"), F.col(f"{column}_hi").alias("hi"))
     cut = rows.select(F.col(column).alias("v")).where("v is not null").join(F.broadcast(edges))  # one row
     value = F.greatest(F.col("lo"), F.least(F.col("v"), F.col("hi")))
     width = (F.col("hi") - F.col("lo")) / bins
@@ -100,12 +150,9 @@ def issue_grades(counts: DataFrame, issues: list[str], total: str = "n") -> Data
 
 
 def nearest_rank(rows: DataFrame, column: str, shares: list[float]) -> DataFrame:
-    """name and value of the element at int(n * share) of the sorted values, found by its place in a sort."""
-    values = dense_index(rows.where(F.col(column).isNotNull()).select(F.col(column).alias("value")), ["value"], "_k")
-    n = values.agg(F.max("_k") + 1).first()[0] or 0
-    at = {f"p{round(s * 100)}": min(int(n * s), n - 1) for s in shares}
-    names = F.filter(F.array(*(F.when(F.col("_k") == k, F.lit(name)) for name, k in at.items())), lambda x: x.isNotNull())
-    return values.where(F.col("_k").isin(list(at.values()))).select(F.explode(names).alias("name"), "value")
+    """name and value of the element at int(n * share) of the sorted values."""
+    at = lambda n: {f"p{round(s * 100)}": F.least(F.floor(n * s), n - 1) for s in shares}
+    return order_statistics(rows, [], [column], at).select("name", F.col("value").cast(rows.schema[column].dataType).alias("value"))
 
 
 def length_summary(rows: DataFrame, ids: str, unknown: int) -> DataFrame:

@@ -15,13 +15,12 @@ _TURNS = f"with p as materialized {TURNS_SQL}"
 
 @query("""with recursive r as (select source, doc_id, least(n_chars, 20000) as size, row_number() over (partition by source order by doc_id) - 1 as k
     from documents where n_chars > 0),
-  s as (select source, doc_id, size, cast(floor(k / 4096.0) as bigint) as shard, k % 4096 as k from r),
-  f(source, shard, doc_id, size, k, fill, bin) as (
-    select source, shard, doc_id, size, k, size, cast(0 as bigint) from s where k = 0
-    union all select s.source, s.shard, s.doc_id, s.size, s.k, case when f.fill + s.size <= 20000 then f.fill + s.size else s.size end,
-                     f.bin + case when f.fill + s.size <= 20000 then 0 else 1 end
-    from f join s on s.source = f.source and s.shard = f.shard and s.k = f.k + 1)
-  select source, shard, doc_id, size as packed_size, bin from f""")
+  f(source, doc_id, size, k, fill, bin) as (
+    select source, doc_id, size, k, size, cast(0 as bigint) from r where k = 0
+    union all select r.source, r.doc_id, r.size, r.k, case when f.fill + r.size <= 20000 then f.fill + r.size else r.size end,
+                     f.bin + case when f.fill + r.size <= 20000 then 0 else 1 end
+    from f join r on r.source = f.source and r.k = f.k + 1)
+  select source, doc_id, size as packed_size, bin from f""")
 def pack_sequences(spark, sf_dir):
     return sequences.pack_greedy(table(spark, sf_dir, "documents"), "source", ["doc_id"], "n_chars", 20000)
 

@@ -17,11 +17,23 @@ def _folder(spark) -> str:
     return f"{checkpoint_folder(spark)}/written-{uuid.uuid4().hex}"
 
 
-@query("select doc_id, lang, cast(floor((row_number() over (order by doc_id) - 1) / 300.0) as integer) as shard from documents")
+@query("""with p as (select doc_id, lang, row_number() over (order by doc_id) - 1 as idx, count(*) over () as n from documents)
+  select doc_id, lang, idx, printf('train-%05d-of-%05d.parquet', idx // 300, cast(ceil(n / 300.0) as bigint)) as file from p""")
 def numbered_shards(spark, sf_dir):
     path = _folder(spark)
-    writers.numbered_shards(readers.table(spark, sf_dir, "documents").select("doc_id", "lang"), path, ["doc_id"], 300)
-    return spark.read.parquet(path).select("doc_id", "lang", F.col("shard").cast("int").alias("shard"))
+    writers.numbered_shards(readers.table(spark, sf_dir, "documents").select("doc_id", "lang"), path, ["doc_id"], 300, "train")
+    return spark.read.parquet(path).select("doc_id", "lang", "idx", F.col("_metadata.file_name").alias("file"))
+
+
+@query("""select doc_id, cast(length(text) as bigint) as score, printf('s-%05d-of-%05d.parquet', (row_number() over (order by doc_id) - 1) // 400, cast(ceil(count(*) over () / 400.0) as bigint)) as file
+  from documents qualify length(text) > 200""")
+def scored_in_place(spark, sf_dir):
+    """Shards are read, scored and filtered, and written back under their own names."""
+    raw, done = _folder(spark), _folder(spark)
+    writers.numbered_shards(readers.table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("long").alias("score")), raw, ["doc_id"], 400, "s")
+    rows = spark.read.parquet(raw).select("idx", "doc_id", "score", F.col("_metadata.file_name").alias("file"))
+    writers.by_file(rows.where("score > 200"), done, "file", ["idx"])
+    return spark.read.parquet(done).select("doc_id", "score", F.col("_metadata.file_name").alias("file"))
 
 
 @query("select lang as subset, count(*) as n, cast(count(*) as bigint) as no_image from documents where lang in ('en', 'de') group by lang")

@@ -34,7 +34,31 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _at(spark: SparkSession, path: str) -> tuple:
+    """Spark's own file system of a path, and the path in it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder by Spark's own file systems."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    files, target = _at(spark, path)
+    files.delete(target, True)
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder."""
+    files, target = _at(spark, path)
+    return sorted(f.getPath().getName() for f in files.listStatus(target))
+
+
+def rename(spark: SparkSession, old: str, new: str) -> None:
+    files, target = _at(spark, old)
+    if not files.rename(target, _at(spark, new)[1]):
+        raise OSError(f"{old} can't be renamed to {new}")
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    """An empty file, as a mark."""
+    files, target = _at(spark, path)
+    files.create(target, True).close()
