@@ -48,10 +48,10 @@ GENDER = {name: gender for (_, gender), names in GIVEN.items() for name in names
 _SYLLABLES = {"latin": ("bdfghklmnprstvw", "aeiou", ("", "n", "r", "l", "s")), "cyrillic": ("бвгдзклмнпрст", "аеиоу", ("", "н", "р", "л", "с"))}
 _END = {"latin": "", "cyrillic": "енко"}
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_NAME = r"[^\W\d_]+(?:[-'’][^\W\d_]+)?"
+_NAME = r"[^\W\d_]+(?:[-'’][^\W\d_]{2,})?"  # O'Brien, but not the end of Smith's
 PATTERN = re.compile(
     r"(?P<email>(?<![\w.+-])[\w.+-]+@(?:[\w-]+\.)+[A-Za-z]{2,}(?![\w-]))"
-    r"|(?P<secret>(?<![0-9A-Za-z])(?:[0-9a-f]{40}|[0-9A-F]{40}|[0-9a-f]{32}|[0-9a-f]{64}|AKIA[0-9A-Z]{16}|(?:ghp|sk|xox[bp])[_-][0-9A-Za-z-]{16,})(?![0-9A-Za-z]))"
+    r"|(?P<secret>(?<![0-9A-Za-z])(?:[0-9a-f]{40}|[0-9A-F]{40}|[0-9a-f]{32}|[0-9a-f]{64}|AKIA[0-9A-Z]{16}|(?:ghp|sk|xox[bp])[_-](?:(?:live|test)[_-])?[0-9A-Za-z-]{16,})(?![0-9A-Za-z]))"
     rf"|(?P<ip>(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d))"
     r"|(?P<ip6>(?<![\w:.])(?=[0-9A-Fa-f:]*[0-9A-Fa-f]{3})(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:.]))"
     r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?:[ ]?[0-9A-Z]{4}){2,7}(?:[ ]?[0-9A-Z]{1,3})?(?!\w))"
@@ -62,8 +62,18 @@ PATTERN = re.compile(
 )
 _KINDS = ("email", "secret", "ip", "ip6", "iban", "card", "ssn", "phone", "name")
 # A capitalised word before another: the first is looked up among given names.
-_PAIR = re.compile(rf"(?<!\w)([A-ZÀ-ÞА-ЯЁ][^\W\d_]+)[ ](?=([A-ZÀ-ÞА-ЯЁ][^\W\d_]+(?:[-'’][^\W\d_]+)?))")
+_PAIR = re.compile(rf"(?<!\w)([A-ZÀ-ÞА-ЯЁ][^\W\d_]+)[ ](?=([A-ZÀ-ÞА-ЯЁ][^\W\d_]+(?:[-'’][^\W\d_]{2,})?))")
 _WORD = re.compile(_NAME)
+_PART = re.compile(r"[^\W\d_]+")
+_ALONE = re.compile(r"(?<!\w)[^\W\d_]+(?:[-'’][^\W\d_]+)*(?!\w)")
+_PREFIX = re.compile("(?:AKIA|gh[a-z][_-]|sk[-_](?:live[-_]|test[-_])?|xox[a-z]-?)?")  # what tells the issuer of a secret
+# Words that are names only where a title or a given name stands before them: months, days, colours, places, common words.
+ORDINARY = frozenset(
+    """April May June August Sunday Monday Friday Street Road Lane Avenue Park Hill Lake River Church Bridge Field Wood Woods Stone Forest North South East West
+    Young Old Long Short Good Best Rich Strong Wise Early Little Small Large White Black Brown Green Grey Gray Gold Silver Rose Violet Red Blue
+    King Queen Prince Bishop Pope Judge Major Page Day Winter Summer Spring Autumn Will Mark Grant Hope Grace Joy Faith Art Frank Bill Price Love Power Case Law
+    Baker Cook Smithy Miller Farmer Fisher Hunter Mason Carter The This That There When What Who How And But Not New Her His She They You""".split()
+)
 _HINT = re.compile("[0-9@]|::")
 _MARKS = [t + end for t in TITLES for end in (" ", ". ")] + ["AKIA", "ghp_", "ghp-", "sk_", "sk-", "xoxb", "xoxp"]
 
@@ -80,7 +90,7 @@ def normal(kind: str, text: str) -> str:
         return str(ipaddress.IPv6Address(text))
     if kind == "iban":
         return text.replace(" ", "")
-    return text.lower() if kind in ("email", "secret", "given", "surname") else text
+    return text.lower() if kind in ("email", "given", "surname") else text
 
 
 def _remainder(iban: str) -> int:
@@ -138,7 +148,7 @@ def canonical(key: bytes, kind: str, entity: str, draw: int) -> str:
         body = digits(len(entity) - 1)
         return body + _check_digit(body)
     if kind == "ssn":  # areas from 900 on belong to nobody
-        return "9" + digits(8)
+        return "9" + digits(8) if not draw else digits(9)  # drawn again, from all
     if kind == "iban":
         body = "".join(str(_pick(draws, 10)) if c.isdigit() else chr(65 + _pick(draws, 26)) for c in entity[4:])
         return f"{entity[:2]}{98 - _remainder(entity[:2] + '00' + body):02d}{body}"
@@ -146,8 +156,15 @@ def canonical(key: bytes, kind: str, entity: str, draw: int) -> str:
         kept = entity[:-7] if len(entity) > 7 and not draw else ""  # drawn again, the area goes, too
         return kept + digits(len(entity) - len(kept))
     if kind == "secret":
-        letters = "0123456789abcdef" if re.fullmatch("[0-9a-f]+", entity) else "0123456789abcdefghijklmnopqrstuvwxyz"
-        return "".join(letters[_pick(draws, len(letters))] if c.isalnum() else c for c in entity)
+        kept = len(_PREFIX.match(entity)[0])
+        hexadecimal = [x for x in ("0123456789abcdef", "0123456789ABCDEF") if set(entity) <= set(x)]
+        kinds = hexadecimal or ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+        def like(c: str) -> str:
+            letters = next((x for x in kinds if c in x), "")
+            return letters[_pick(draws, len(letters))] if letters else c
+
+        return entity[:kept] + "".join(map(like, entity[kept:]))
     script = _script(entity)
     if kind == "surname":
         first, vowels, last = _SYLLABLES[script]
@@ -186,7 +203,7 @@ def entities(text: str | None) -> list[tuple[str, str, int, int]]:
         *first, last = words
         for m, kind, entity in [(m, "given", _given(m[0], title)) for m in first] + [(last, "surname", last[0].lower())]:
             found.append((kind, entity, at + m.start(), at + m.end()))
-            if len(m[0]) > 2:
+            if len(m[0]) > 2 and m[0] not in ORDINARY:
                 people.setdefault(m[0], (kind, entity))
 
     for m in (m for a, b in _lines(text) for m in PATTERN.finditer(text, a, b)):
@@ -203,8 +220,9 @@ def entities(text: str | None) -> list[tuple[str, str, int, int]]:
         if m[1] in GENDER:
             person(list(_WORD.finditer(f"{m[1]} {m[2]}")), GENDER[m[1]], m.start())
     if people:  # the same person once more, without a title
-        for m in re.finditer(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(people, key=len, reverse=True)))})(?!\w)", text):
-            found.append((*people[m[0]], *m.span()))
+        for m in _ALONE.finditer(text):
+            spans = [m.span()] if m[0] in people else [p.span() for p in _PART.finditer(text, *m.span()) if p[0] in people]
+            found += [(*people[text[x:y]], x, y) for x, y in spans]
     out, end = [], 0
     for entity in sorted(dict.fromkeys(found), key=lambda x: (x[2], -x[3])):
         if entity[2] >= end:
@@ -218,8 +236,6 @@ def shaped(kind: str, surrogate: str, mention: str) -> str:
     if kind in ("card", "phone", "ssn", "iban"):
         letters = iter(surrogate)
         return "".join(next(letters) if c.isdigit() or kind == "iban" and c != " " else c for c in mention)
-    if kind == "secret":
-        return surrogate.upper() if mention.isupper() else surrogate
     if kind in ("given", "surname"):
         name = re.sub(r"[^\W\d_]+", lambda m: m[0].capitalize(), surrogate.split(":")[-1])
         return name.upper() if mention.isupper() and len(mention) > 1 else name

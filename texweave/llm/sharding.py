@@ -10,7 +10,8 @@ once: each goes to the task of its shard's sub-range of the keys, whose rows are
 beforehand, and is numbered there. ``sharded`` does so with the documents and all their columns,
 ``assign`` with a digest of a few numbers.
 
-A round sends at most ``2 ** STEP_BITS`` sums for each splitter to the driver.
+A round sends at most ``2 ** STEP_BITS`` sums for each splitter to the driver, and ``MOST_SENT`` in all: with
+more intervals open a round refines them by fewer bits.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from .common import checkpoint, own, unused
 SHARDS = 40
 ROW_BYTES = 16  # what a row costs besides its text
 STEP_BITS = 12
+MOST_SENT = 200_000  # sums that a round sends to the driver; splitters are shards times MOST_RANGES at most
 KEY_BITS = 63  # keys are non-negative longs
 ID_BITS = 24  # of a key, the bits that tell rows of one text apart
 RANGE_BYTES = 1 << 26  # bytes of a shard that one task takes, about
@@ -50,7 +52,7 @@ def splitters(keys: DataFrame, shards: int, tolerance: int = 0) -> list[int]:
     # Of each open interval: its first key, the bytes below it, and the splitters it holds.
     open_, known, bits = {0: (0, list(aims))}, {}, KEY_BITS
     while open_ and total:
-        step = min(STEP_BITS, bits)
+        step = max(1, min(STEP_BITS, bits, (MOST_SENT // len(open_)).bit_length() - 1))
         inside = keys if bits == KEY_BITS else keys.where(F.shiftrightunsigned("_key", bits).isin([k >> bits for k in open_]))
         cell = F.shiftrightunsigned("_key", bits - step)
         found = inside.groupBy(cell.alias("cell")).agg(F.sum("size").alias("b"), F.min("_key").alias("low"), F.max("_key").alias("high")).collect()
