@@ -1,11 +1,14 @@
 """Subword vocabularies: corpus statistics, merges, encoding, decoding.
 
-Heavy work (lexing, counting zones and pairs) is distributed. A merge step is one aggregation
-over the distinct zones: the corpus is counted once, then only its distinct zones are rewritten.
+Heavy work (lexing, counting zones and pairs) is distributed. The corpus is counted once; merges
+are learned from its distinct zones, of which a step reads those that it can change.
 """
 
 from __future__ import annotations
 
+import uuid
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -15,11 +18,11 @@ from pyspark.sql import functions as F
 
 from ..functions import markup
 from ..functions.text import PRE_TOKEN, stripped, tokens
-from ..sources.storage import checkpoint
+from ..sources.storage import checkpoint, checkpoint_folder, remove
+from .sequences import neighbours
 
 SPECIAL = ("<pad>", "<unk>", "<bos>", "<eos>")
 PAD, UNK, BOS, EOS = range(4)
-STEPS_KEPT = 10
 PAIRS_AT_ONCE = 64  # best pairs that the driver sees at a time
 PIECES_KEPT = 100_000  # encoded runs that a task remembers
 
@@ -66,33 +69,10 @@ def zone_counts(zones: DataFrame) -> DataFrame:
 
 def pair_counts(counted: DataFrame) -> DataFrame:
     """a, b and n: neighbours, weighted by the frequency of their zones."""
-    from .sequences import neighbours
-
     each = counted.select("freq", F.explode(neighbours(F.col("units"))).alias("p"))
     return each.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.sum("freq").alias("n"))
 
 
-def merge_pair(units: Column, a: str, b: str) -> Column:
-    """Units with each a b, from the left, as one."""
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("held"))
-
-    def step(s: Column, x: Column) -> Column:
-        joined = (s["held"] == a) & (x == b)
-        out = F.when(s["held"].isNull(), s["out"]).when(joined, F.concat(s["out"], F.array(F.lit(a + b)))).otherwise(F.concat(s["out"], F.array(s["held"])))
-        return F.struct(out.alias("out"), F.when(F.coalesce(joined, F.lit(False)), F.lit(None)).otherwise(x).alias("held"))
-
-    last = lambda s: F.when(s["held"].isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(s["held"])))
-    return F.aggregate(units, start, step, last)
-
-
-def merge_apart(units: Column, pairs: list[tuple[str, str]]) -> Column:
-    """Units with each of the pairs as one. No unit may stand in two of the pairs or twice in one: then no two places overlap."""
-    second = F.create_map(*(F.lit(x) for pair in pairs for x in pair))
-    meets = lambda k: F.coalesce(F.try_element_at(second, F.get(units, k)) == F.get(units, k + 1), F.lit(False))
-    joined = F.transform(units, lambda x, k: F.when((k > 0) & meets(F.greatest(k - 1, F.lit(0))), None).when(meets(k), F.concat(x, F.get(units, k + 1))).otherwise(x))
-    return F.filter(joined, lambda x: x.isNotNull())
-
-
 def _sure_merges(best: list, made: set[str], least: int) -> list[tuple[str, str]]:
     """How the first of the ranked pairs will be merged one after the other, as far as that is certain.
 
@@ -115,36 +95,96 @@ def _sure_merges(best: list, made: set[str], least: int) -> list[tuple[str, str]
     return [(best[0].a, best[0].b), *later] if best and best[0].n >= least else []
 
 
+def replay(units: list[str], ranks: dict[tuple[str, str], list[int]], since: int = 0) -> list[str]:
+    """Units after all merges in their order, from number ``since`` on; ``ranks`` has the numbers of each pair, as a pair can be merged again."""
+    units, at = list(units), since
+    while len(units) > 1:
+        later = [(found[k], pair) for pair in set(zip(units, units[1:], strict=False)) if (found := ranks.get(pair)) and (k := bisect_left(found, at)) < len(found)]
+        if not later:
+            break
+        at, (a, b) = min(later)
+        joined, k = [], 0
+        while k < len(units):
+            if k + 1 < len(units) and units[k] == a and units[k + 1] == b:
+                joined.append(a + b)
+                k += 2
+            else:
+                joined.append(units[k])
+                k += 1
+        units, at = joined, at + 1
+    return units
+
+
+def _changes(ranks: dict[tuple[str, str], list[int]], since: int, joints: set[tuple[str, str]]) -> Callable:
+    """What the merges from number ``since`` on do to the counts of pairs, from the zones that the index names."""
+
+    def changed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = {p: early for p, r in ranks.items() if (early := [k for k in r if k < since])}
+        for batch in batches:
+            sums: Counter = Counter()
+            for x, y, units, freq in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                # A zone stands under each of its pairs; the first that is asked for speaks for it.
+                if (x, y) != next(p for p in zip(units, units[1:], strict=False) if p in joints):
+                    continue
+                old = replay(units, before)
+                new = replay(old, ranks, since)
+                if len(new) < len(old):
+                    for k, found in ((-freq, old), (freq, new)):
+                        for pair in zip(found, found[1:], strict=False):
+                            sums[pair] += k
+            rows = [(*pair, n) for pair, n in sums.items() if n]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["a", "b", "n"])
+
+    return changed
+
+
 def learn_merges(counted: DataFrame, n: int, least: int = 2, least_zone: int = 2) -> list[tuple[str, str]]:
     """Merge rules in order; ties by code point. Rarer pairs and zones don't count. Units are single characters at first.
 
-    Each step is one job over distinct zones, of which the driver sees the best pairs, and settles all merges that are
-    certain by then. Zones that are rewritten are kept at hand, and written to the checkpoint
-    folder every ``STEPS_KEPT`` steps, so that plans stay short however many merges are learned.
+    Pairs are counted once; from then on a step changes counts by what its merges do to their zones. An
+    inverted index, written to the checkpoint folder by hash of the pair, leads from each two neighbouring
+    characters to the zones that have them. Two units can be neighbours only where the last character of one
+    and the first of the other are, so the index never changes: a step reads the parts of the characters
+    where its merges join, and replays earlier merges on these zones. The driver sees the best pairs, and settles
+    all merges that are certain by then.
     """
-    counted, merges, steps = counted.where(F.col("freq") >= least_zone).cache(), [], 0
+    spark = counted.sparkSession
+    folder = f"{checkpoint_folder(spark)}/merge-index-{uuid.uuid4().hex}"
+    zones = counted.where((F.col("freq") >= least_zone) & (F.size("units") > 1)).select("units", "freq")
+    each = zones.select(F.explode(F.array_distinct(neighbours(F.col("units")))).alias("p"), "units", "freq").select(F.col("p.a").alias("x"), F.col("p.b").alias("y"), "units", "freq")
+    each.withColumn("part", _index_part(F.col("x"), F.col("y"))).repartition("part", F.pmod(F.xxhash64("units"), F.lit(8))).write.partitionBy("part").parquet(folder)
+    index, merges, ranks = spark.read.schema("x string, y string, units array<string>, freq long, part int").parquet(folder), [], {}
+    counts = checkpoint(pair_counts(zones))
     made: set[str] = set()
     try:
         while len(merges) < n:
-            best = pair_counts(counted).orderBy(F.desc("n"), "a", "b").limit(PAIRS_AT_ONCE).collect()
+            best = counts.where(F.col("n") > 0).orderBy(F.desc("n"), "a", "b").limit(PAIRS_AT_ONCE).collect()
             sure = _sure_merges(best, made, least)[: n - len(merges)]
             if not sure:
                 break
+            for k, pair in enumerate(sure, len(merges)):
+                ranks.setdefault(pair, []).append(k)
+            joints = {(a[-1], b[0]) for a, b in sure}
+            asked = spark.createDataFrame(sorted(joints), "x string, y string").select(_index_part(F.col("x"), F.col("y"))).distinct().collect()  # at most as many as pairs at once
+            among = F.struct("x", "y").isin([F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in sorted(joints)])
+            touched = index.where(F.col("part").isin([r[0] for r in asked]) & among).select("x", "y", "units", "freq")
+            changes = touched.mapInArrow(_changes(ranks, len(merges), joints), "a string, b string, n long")
+            counts = counts.unionByName(changes).groupBy("a", "b").agg(F.sum("n").alias("n"))
+            counts = checkpoint(counts.where("n > 0"))
             merges += sure
             made |= {a + b for a, b in sure}
-            steps += 1
-            units = F.col("units")
-            later = counted.withColumn("units", merge_pair(units, *sure[0]) if sure[0][0] == sure[0][1] else merge_apart(units, sure))
-            later = later.where(F.size("units") > 1)  # a single unit has no pairs
-            later = checkpoint(later) if steps % STEPS_KEPT == 0 else later.cache()
-            later.count()
-            counted.unpersist()
-            counted = later
     finally:
-        counted.unpersist()
+        remove(spark, folder)
     return merges
 
 
+INDEX_PARTS = 64
+
+
+def _index_part(x: Column, y: Column) -> Column:
+    return F.pmod(F.xxhash64(x, y), F.lit(INDEX_PARTS)).cast("int")
+
+
 def apply_merges(units: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
     """Units after merging the pair of lowest rank, leftmost first, until none has a rank."""
     units = list(units)
