@@ -3,6 +3,7 @@
 import collections
 import os
 import random
+import time
 
 import numpy as np
 import pytest
@@ -161,6 +162,41 @@ def test_order_statistics_of_nothing(spark):
     assert profiles.describe(empty, ["g"], ["v"]).first().v_count == 0
 
 
+def test_lines_of_a_file_in_blocks(spark, tmp_path):
+    """Numbers are those of a reader of the whole file, over many blocks, long lines, and all kinds of line ends."""
+    texts = [f"{'x' * (k % 97)}{k}" if k % 11 else "" for k in range(3000)] + ["long " * 3000, "last"]
+    with open(f"{tmp_path}/a.txt", "w", newline="") as f:
+        f.write("".join(t + ("\r\n" if k % 5 == 0 else "\n") for k, t in enumerate(texts)))
+    with open(f"{tmp_path}/a.txt") as f:
+        want = [(k, t.rstrip("\n")) for k, t in enumerate(f)]
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+        found = readers.lines(spark, f"{tmp_path}/a.txt")
+        assert found.rdd.getNumPartitions() > 10 and sorted((r.line_no, r.line) for r in found.collect()) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    open(f"{tmp_path}/none.txt", "w").close()
+    assert readers.lines(spark, f"{tmp_path}/none.txt").count() == 0
+
+
+def test_row_counts_read_no_column(spark):
+    counted = readers.row_counts(spark, "/root/testdata/sf0.001/documents.parquet")
+    assert "PushedAggregation: [COUNT(*)]" in counted._jdf.queryExecution().toString() and counted.first().n == 200
+    assert "parquet" in spark.conf.get("spark.sql.sources.useV1SourceList")
+
+
+def test_longest_match_takes_no_longer_with_more_tokens():
+    text = "the quick brown fox " * 2000
+    took = []
+    for tokens in (["the", "quick"], [f"{a}{b}{c}{d}" for a in "thequick" for b in "abcdefgh" for c in "abcdefgh" for d in "abcdefgh"]):
+        root, began = subwords._trie(tokens, 20), time.perf_counter()
+        assert "".join(subwords._walk(text, root)) == text
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0] + 0.1
+    assert subwords._walk("aabab", subwords._trie(["a", "aab", "aa"], 20)) == ["aab", "a", "b"] and subwords._walk("", {}) == []
+
+
 def test_numbered_files(spark, tmp_path, monkeypatch):
     """Names, rows and numbers of shards; rows that agree stay together; a stopped writer starts anew, a finished folder stays."""
     monkeypatch.setattr(writers, "BOUNDS_AT_ONCE", 3)
@@ -300,22 +336,6 @@ def test_png_filters_undone():
         assert (image.decode_png(data) == pixels).all()
 
 
-def test_augmentation_steps():
-    import numpy as np
-
-    rng = np.random.default_rng(2)
-    pixels = np.floor(rng.uniform(0, 256, (20, 30, 3)))
-    flat = np.full((20, 30, 3), 90.0)
-    for made in (image._blurred(flat, 1.0), image._sharpened(flat, 1.4), image._resized(flat, 7, 11), image._blocky(flat, 99)):
-        assert np.abs(made - 90).max() < 2
-    assert np.abs(image._blocky(pixels, 100) - pixels).mean() < np.abs(image._blocky(pixels, 35) - pixels).mean()
-    assert (image._rotated(pixels, 0) == pixels).all() and image._bordered(pixels, 4, np.array([1, 2, 3])).shape == (28, 38, 3)
-    assert image._blurred(pixels, 1.0).std() < pixels.std() < image._sharpened(pixels, 1.4).std()
-    for steps in image.PROFILES.values():
-        for name, _, *strengths in steps:
-            assert image._steps(rng)[name](pixels, *strengths).shape[2] == 3
-
-
 def test_batches_fail_as_a_whole(spark):
     import numpy as np
     import pytest

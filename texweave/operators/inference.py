@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.image import decode_png, prepared
+from ..functions.image import decode_png
 from ..functions import markup
 
 
@@ -39,7 +39,7 @@ def predicted(model: Callable[[list[np.ndarray]], list[str]], batch_rows: int =
 
 
 def inputs(image: Column | None = None, text: Column | None = None) -> dict[str, Column]:
-    """Model inputs by name: the prepared picture, the tokens of the text, or both; an error if there is neither."""
+    """Model inputs by name: the picture as it is, the tokens of the text, or both; an error if there is neither."""
     if image is None and text is None:
         raise ValueError("an image or a text is needed")
-    return ({} if image is None else {"image": prepared(image)}) | ({} if text is None else {"tokens": markup.lexed(text)})
+    return ({} if image is None else {"image": image}) | ({} if text is None else {"tokens": markup.lexed(text)})

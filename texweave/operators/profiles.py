@@ -105,6 +105,16 @@ def duplicates(rows: DataFrame, groups: list[str], values: dict[str, Column]) ->
     return rows.groupBy(*groups).agg(*(count(c).alias(k) for k, c in values.items()))
 
 
+def distinct_sketches(rows: DataFrame, groups: list[str], column: str, bits: int = 12) -> DataFrame:
+    """groups and {column}_sketch, from which distinct values can be estimated: some kilobytes a group, mergeable over subsets, days and runs; nulls don't count."""
+    return rows.groupBy(*groups).agg(F.hll_sketch_agg(column, F.lit(bits)).alias(f"{column}_sketch"))
+
+
+def united(sketches: DataFrame, groups: list[str], column: str) -> DataFrame:
+    """groups and {column}_distinct: the estimated number of distinct values over all sketches of each group."""
+    return sketches.groupBy(*groups).agg(F.hll_sketch_estimate(F.hll_union_agg(f"{column}_sketch")).alias(f"{column}_distinct"))
+
+
 def histogram(rows: DataFrame, column: str, bins: int = 60, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """bin, n and density after values are cut to two quantiles."""
     edges = quantiles(rows, [], [column], {"lo": low, "hi": high}).select(F.col(f"{column}_lo").alias("lo"), F.col(f"{column}_hi").alias("hi"))

@@ -6,15 +6,18 @@ are learned from its distinct zones, of which a step reads those that it can cha
 
 from __future__ import annotations
 
+import re
 import uuid
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import markup
 from ..functions.text import PRE_TOKEN, stripped, tokens
@@ -23,6 +26,7 @@ from .sequences import neighbours
 
 SPECIAL = ("<pad>", "<unk>", "<bos>", "<eos>")
 PAD, UNK, BOS, EOS = range(4)
+_COMMAND = re.compile(r"\\[a-zA-Z]+")
 PAIRS_AT_ONCE = 64  # best pairs that the driver sees at a time
 PIECES_KEPT = 100_000  # encoded runs that a task remembers
 
@@ -287,10 +291,74 @@ def decode(ids: Column, vocabulary: Vocabulary, skip_special: bool = True, unkno
     return F.array_join(shown, "")
 
 
+def _trie(tokens: list[str], widest: int) -> dict:
+    """Nested dictionaries by character; an empty string marks where a token ends."""
+    root: dict = {}
+    for token in tokens:
+        if 0 < len(token) <= widest:
+            node = root
+            for c in token:
+                node = node.setdefault(c, {})
+            node[""] = True
+    return root
+
+
+def _walk(text: str, root: dict) -> list[str]:
+    out, at = [], 0
+    while at < len(text):
+        node, end, best = root, at, at + 1
+        while end < len(text) and (node := node.get(text[end])) is not None:
+            end += 1
+            if "" in node:
+                best = end
+        out.append(text[at:best])
+        at = best
+    return out
+
+
 def longest_match(text: Column, tokens: list[str], widest: int = 20) -> Column:
-    """Greedy longest tokens from the left; a character that no token covers stands for itself."""
-    quoted = [r"\Q" + t.replace(r"\E", r"\E\\E\Q") + r"\E" for t in sorted(tokens, key=lambda t: (-len(t), t)) if 0 < len(t) <= widest]
-    return F.regexp_extract_all(text, F.lit("(?s)" + "|".join([*quoted, "."])), F.lit(0))
+    """Greedy longest tokens from the left; a character that no token covers stands for itself. Null stays null.
+
+    Texts walk a trie, built once a task: what a character costs does not grow with the vocabulary.
+    """
+
+    def matched(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        root = _trie(tokens, widest)
+        for batch in batches:
+            yield pa.array([None if x is None else _walk(x, root) for x in batch.to_pylist()], pa.list_(pa.string()))
+
+    return F.arrow_udf(matched, "array<string>")(text)
+
+
+def _spans(texts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Each command of a text with the parts that overlap it. Parts and text follow the same characters."""
+    kind = pa.list_(pa.struct([("cmd", pa.string()), ("parts", pa.list_(pa.string()))]))
+    for batch in texts:
+        out = []
+        for text, parts in zip(*(c.to_pylist() for c in batch), strict=True):
+            found, ends = [], list(accumulate(map(len, parts or [])))
+            for m in _COMMAND.finditer(text or ""):
+                first, last = bisect_right(ends, m.start()), bisect_left(ends, m.end())
+                found.append({"cmd": m[0], "parts": parts[first : last + 1]})
+            out.append(found)
+        yield pa.array(out, kind)
+
+
+def command_fragments(rows: DataFrame, text: str, parts: str, most: int = 10) -> DataFrame:
+    """cmd, n, intact and fragments: how often a tokenization keeps a command as one part, and into which parts it breaks it otherwise.
+
+    Commands and parts are aligned by their places: a part belongs to a command if they overlap, so a part
+    that holds the command and more does not keep it intact. ``fragments`` are the ``most`` most frequent
+    breaks (parts joined by a space and a bar) with their counts, ties by code point.
+    """
+    each = rows.select(F.explode(F.arrow_udf(_spans, "array<struct<cmd string, parts array<string>>>")(F.col(text), F.col(parts))).alias("c"))
+    whole = (F.size("c.parts") == 1) & (F.get("c.parts", F.lit(0)) == F.col("c.cmd"))
+    counted = each.groupBy(F.col("c.cmd").alias("cmd"), F.when(~whole, F.array_join("c.parts", " |")).alias("broken")).agg(F.count("*").alias("k"))
+    ranked = counted.withColumn("r", F.row_number().over(W.partitionBy("cmd").orderBy(F.col("broken").isNull(), F.desc("k"), "broken")))
+    top = F.array_sort(F.collect_list(F.when(F.col("broken").isNotNull() & (F.col("r") <= most), F.struct("r", "broken", "k"))))
+    shown = F.transform(top, lambda x: F.concat(x["broken"], F.lit(": "), x["k"].cast("string")))
+    kept = F.sum(F.when(F.col("broken").isNull(), F.col("k")).otherwise(0))
+    return ranked.groupBy("cmd").agg(F.sum("k").alias("n"), (kept / F.sum("k")).alias("intact"), shown.alias("fragments"))
 
 
 def compression(rows: DataFrame, text: str, ids: str) -> DataFrame:

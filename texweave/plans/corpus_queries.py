@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import filters, joins, profiles, sampling
+from ..sources import readers
 from ..sources.readers import table
 from .registry import query
 from .views import LATEX_SQL, latex
@@ -281,5 +282,17 @@ def count_report(spark, sf_dir):
 
 @query("select 'documents' as dataset, count(*) as n from documents union all select 'pages', count(*) from pages")
 def row_counts(spark, sf_dir):
-    counts = [table(spark, sf_dir, t).agg(F.count("*").alias("n")).select(F.lit(t).alias("dataset"), "n") for t in ("documents", "pages")]
+    """From the footers of the files alone."""
+    counts = [readers.row_counts(spark, f"{sf_dir}/{t}.parquet").select(F.lit(t).alias("dataset"), "n") for t in ("documents", "pages")]
     return counts[0].unionByName(counts[1])
+
+
+@query("""select coalesce(lang, 'all') as lang, count(distinct text) as n_texts, true as close from documents group by rollup (lang)""")
+def distinct_sketches(spark, sf_dir):
+    """Distinct texts by language and, by the union of the same sketches, in all: within 5 % of the exact number."""
+    rows = table(spark, sf_dir, "documents").select("lang", "text")
+    sketches = profiles.distinct_sketches(rows, ["lang"], "text")
+    every = profiles.united(sketches, [], "text").withColumn("lang", F.lit("all"))
+    found = profiles.united(sketches, ["lang"], "text").unionByName(every)
+    exact = rows.rollup("lang").agg(F.count_distinct("text").alias("n_texts")).select(F.coalesce("lang", F.lit("all")).alias("lang"), "n_texts")
+    return exact.join(found, "lang").select("lang", "n_texts", (F.abs(F.col("text_distinct") - F.col("n_texts")) <= 0.05 * F.col("n_texts")).alias("close"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -60,21 +58,6 @@ def decode_failures(spark, sf_dir):
     return rows.select("vec_id", F.col("s.mean_px").isNull().alias("failed"))
 
 
-@query()
-def prepared_images(spark, sf_dir):
-    rows = pictures(spark, sf_dir).select("vec_id", I.prepared("image").alias("image"))
-    return rows.select("vec_id", F.octet_length("image").alias("n_bytes"), I.pixel_statistics("image").alias("s")).select("vec_id", "n_bytes", "s.mean_px")
-
-
-@query()
-def augmented_images(spark, sf_dir):
-    """Each picture under each profile."""
-    rows, seed = pictures(spark, sf_dir), F.xxhash64("vec_id")
-    made = [rows.select("vec_id", F.lit(p).alias("profile"), I.augmented(p)("image", seed).alias("image")) for p in I.PROFILES]
-    every = reduce(lambda a, b: a.unionByName(b), made).select("vec_id", "profile", I.pixel_statistics("image").alias("s"))
-    return every.select("vec_id", "profile", "s.mean_px", "s.std_px")
-
-
 def _kinds(arrays: list[np.ndarray]) -> list[str]:
     """A model that knows four words."""
     return ["blank" if p.std() < 2 else "white" if p.mean() > 245 else "dark" if p.mean() < 20 else "normal" for p in arrays]

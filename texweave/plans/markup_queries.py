@@ -209,3 +209,45 @@ def command_intact(spark, sf_dir):
     parts = subwords.longest_match(F.col("latex"), ["\\begin", "\\frac", "\\sq", "\\sum", "pmatrix", "10"])
     rows = latex(spark, sf_dir).select(T.commands(F.col("latex")).alias("commands"), parts.alias("parts"))
     return subwords.intact_rates(rows, "commands", "parts")
+
+
+_FREQUENT = r"""f as (select w, count(*) as n from (select unnest(regexp_extract_all(text, '[A-Za-z]+|[0-9]+')) as w from documents) where length(w) between 2 and 20
+    group by w order by n desc, w limit 2048), pat as (select string_agg(w, '|' order by length(w) desc, w) || '|[\s\S]' as p from f)"""
+
+
+def _frequent(spark, sf_dir):
+    """A vocabulary of 2,048 tokens out of the corpus: its most frequent words and numbers."""
+    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+|[0-9]+"), F.lit(0))).alias("w")).where(F.length("w").between(2, 20))
+    return [r.value for r in profiles.top_k(words, "w", 2048).collect()]  # a vocabulary
+
+
+@query(rf"""with {_FREQUENT}, r as (select doc_id, regexp_extract_all(text, (select p from pat)) as parts from documents)
+  select doc_id, cast(len(parts) as bigint) as n_parts, md5(array_to_string(parts, chr(1))) as parts_md5 from r""")
+def longest_match_corpus(spark, sf_dir):
+    parts = subwords.longest_match(F.col("text"), _frequent(spark, sf_dir))
+    rows = table(spark, sf_dir, "documents").select("doc_id", parts.alias("parts"))
+    return rows.select("doc_id", F.size("parts").cast("long").alias("n_parts"), F.md5(F.array_join("parts", "\x01")).alias("parts_md5"))
+
+
+_LETTERS = r"""f as (select w from (select unnest(regexp_extract_all(latex, '\\?[a-z]{{2}}|[0-9]+')) as w from {view}) group by w having count(*) > 1), pat as (select string_agg(
+    regexp_escape(w), '|' order by length(w) desc, w) || '|[\s\S]' as p from f)"""
+
+
+@query(rf"""with {_LETTERS.format(view=LATEX_SQL)}, r as (select idx, latex, regexp_extract_all(latex, (select p from pat)) as parts from {LATEX_SQL}),
+  p as (select idx, unnest(parts) as part, unnest(range(1, len(parts) + 1)) as i from r),
+  o as (select idx, part, i, sum(length(part)) over (partition by idx order by i) as b from p),
+  g as (select idx, latex, regexp_extract_all(latex, '\\[a-zA-Z]+') as c, regexp_split_to_array(latex, '\\[a-zA-Z]+') as gap from r),
+  e as (select idx, unnest(c) as cmd, unnest(range(1, len(c) + 1)) as k, gap, c from g),
+  s as (select idx, k, cmd, list_sum(list_transform(gap[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(c[1:k - 1], lambda x: length(x))), 0) as a from e),
+  x as (select s.idx, s.k, s.cmd, string_agg(part, ' |' order by i) as broken, count(*) = 1 and max(part) = s.cmd as whole
+        from s join o on o.idx = s.idx and o.b > s.a and o.b - length(part) < s.a + length(s.cmd) group by 1, 2, 3),
+  n as (select cmd, case when not whole then broken end as broken, count(*) as k from x group by 1, 2),
+  q as (select *, row_number() over (partition by cmd order by broken is null, k desc, broken) as r from n)
+  select cmd, cast(sum(k) as bigint) as n, coalesce(sum(k) filter (broken is null), 0) / sum(k) as intact,
+         coalesce(list(broken || ': ' || k order by r) filter (broken is not null and r <= 10), []) as fragments from q group by cmd""")
+def command_fragments(spark, sf_dir):
+    """A vocabulary of letter pairs, with and without a backslash, breaks most commands."""
+    rows = latex(spark, sf_dir)
+    pairs = rows.select(F.explode(F.regexp_extract_all("latex", F.lit(r"\\?[a-z]{2}|[0-9]+"), F.lit(0))).alias("w")).groupBy("w").count().where("count > 1")
+    tokens = [r.w for r in pairs.collect()]  # a vocabulary: some hundreds of letter pairs, and numbers
+    return subwords.command_fragments(rows.select("latex", subwords.longest_match(F.col("latex"), tokens, 1000).alias("parts")), "latex", "parts")
