@@ -273,6 +273,22 @@ def test_html_keeps_all_of_the_article():
     assert html.main_text(f"<nav>Home</nav><p>{russian}</p><footer>x</footer>") == russian.strip()
 
 
+def test_html_names_that_speak_of_the_article():
+    """What a section is about may share a word with what pages are built of; what pages are built of still goes."""
+    text = "The text of the article is here and it goes on for a while so that it is long enough to judge it."
+    page = "<body><nav><a href=x>Home</a></nav><article><p>%s</p>%s<p>%s</p></article><footer>x</footer></body>"
+    for kept in ("section id='navy-history'", "section id='social-impact'", "section id='hidden-costs'", "section id='advertising'", "section id='informed-consent'", "section id='market-share'", "div class='star-spangled-banner'", "xmp", "math", "object", "noscript"):
+        inner = f"<{kept}>Kept words.</{kept.split()[0]}>"
+        assert "Kept words." in html.main_text(page % (text, inner, text)), kept
+    for gone in ("div class='comments'", "div id='comment-list'", "aside", "div class='ad-slot'", "div class='share-buttons'", "div class='newsletter-signup'", "div class='social-links top'", "section class='cookie-banner'", "div class='sidebar2'", "ul class='related-posts'"):
+        inner = f"<{gone}><p>{text.upper()}</p></{gone.split()[0]}>"
+        assert html.main_text(page % (text, inner, text)) == f"{text}\n\n{text}", gone
+    for open_ in ("<select><option>a", "<button>go"):
+        assert html.main_text(page % (text, open_, text)) == f"{text}\n\n{text}"
+    plain = f"<nav><a href=x>Home</a></nav><p>{text}</p><p>{text}</p><ul><li>One entry</li><li>Two</li></ul><p>Note: only 3.</p><footer><p>(c) x</p></footer>"
+    assert html.main_text(plain) == f"{text}\n\n{text}\n\nOne entry\n\nTwo\n\nNote: only 3."
+
+
 def test_html_edges(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<p>no id"), (3, "u", "<p>twice"), (3, "u", "<p>twice"), (4, "u", "<p>" + "word " * 300_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"text": F.lit(7), "n_chars": F.lit("x")})
