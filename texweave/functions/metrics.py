@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def char_edit_ratio(guess: Column, truth: Column) -> Column:
@@ -13,20 +16,24 @@ def char_edit_ratio(guess: Column, truth: Column) -> Column:
     return F.when(guess == truth, 0.0).otherwise(F.levenshtein(guess, truth) / F.greatest(F.length(truth), F.lit(1)))
 
 
-def token_edit_distance(a: Column, b: Column) -> Column:
-    """Edits between arrays of tokens: each distinct token of the pair stands as one character."""
-
-    def spelled(items: Column, alphabet: Column) -> Column:
-        def code(token: Column) -> Column:
-            at = F.array_position(alphabet, token)
-            at = F.when(at < 0xD800, at).otherwise(at + 0x800)  # past the surrogates, which are no characters
-            return F.decode(F.unhex(F.lpad(F.hex(at), 8, "0")), "UTF-32")
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _spelled(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Both arrays of a pair as strings, in which each distinct token of the pair is one character."""
+    for batch in pairs:
+        out = []
+        for a, b in zip(*(c.to_pylist() for c in batch), strict=True):
+            if a is None or b is None:
+                out.append(None)
+                continue
+            code = {t: k for k, t in enumerate(dict.fromkeys([*a, *b]), 1)}
+            out.append(["".join(chr(k if k < 0xD800 else k + 0x800) for k in map(code.get, x)) for x in (a, b)])  # past the surrogates, which are no characters
+        yield pa.array(out, pa.list_(pa.string()))
 
-        return F.array_join(F.transform(items, code), "")
 
-    # The alphabet is bound once a row, as the one element of an array, not once a token.
-    once = F.array(F.array_distinct(F.concat(a, b)))
-    return F.when(a == b, 0).otherwise(F.transform(once, lambda alphabet: F.levenshtein(spelled(a, alphabet), spelled(b, alphabet)))[0])
+def token_edit_distance(a: Column, b: Column) -> Column:
+    """Edits between arrays of tokens: each distinct token of the pair stands as one character."""
+    once = F.array(_spelled(a, b))  # bound once a row, as the one element of an array
+    return F.when(a == b, 0).otherwise(F.transform(once, lambda x: F.levenshtein(F.get(x, F.lit(0)), F.get(x, F.lit(1))))[0])
 
 
 def normalized_token_distance(a: Column, b: Column) -> Column:

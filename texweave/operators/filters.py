@@ -66,25 +66,28 @@ def dense_index(rows: DataFrame, order: list[str], name: str = "idx") -> DataFra
     return ranged.join(base, part).withColumn(name, F.col(base_) + F.col(at)).drop(at, part, base_)
 
 
-def number_within(rows: DataFrame, groups: list[str], order: list[str], name: str, sums: dict[str, str] | None = None) -> DataFrame:
+def number_within(rows: DataFrame, groups: list[str], order: list[str], name: str, sums: dict[str, str] | None = None, how: str = "sum") -> DataFrame:
     """``rows`` with 0, 1, 2, ... in order within their group, and ``name``_n, the group's rows.
 
-    With ``sums`` (new name to column) also the column's sum over the rows before in the group.
+    With ``sums`` (new name to column) also the column's sum over the rows before in the group, or with
+    ``how`` its min or max (null without rows before).
     All rows are ranged by group and order. A group's rows in one range are a stretch; each stretch
     is lifted by the group's stretches before, and meets its rows by range and group: a group with a
     third of the rows is as many keys as the ranges it spans, and never meets in one task.
     """
     sums, at, part = sums or {}, f"_{name}_at", f"_{name}_part"
+    fold, start = {"sum": F.sum, "min": F.min, "max": F.max}[how], F.lit(0 if how == "sum" else None)
+    both = {"sum": lambda a, b: a + b, "min": F.least, "max": F.greatest}[how]
     ranged = _ranged(rows, [*groups, *order], part, at)
     past = {c: f"_{name}_{k}_past" for k, c in enumerate(sums)}
     if sums:  # run up within the stretch; ranges are sorted already, and stretches are as long as a range at most
         run = W.partitionBy(part, *groups).orderBy(at).rowsBetween(W.unboundedPreceding, -1)
-        ranged = ranged.withColumns({past[c]: F.coalesce(F.sum(v).over(run), F.lit(0)) for c, v in sums.items()})
-    totals = [F.sum(v).alias(f"{past[c]}_in") for c, v in sums.items()]
+        ranged = ranged.withColumns({past[c]: F.coalesce(fold(v).over(run), start) for c, v in sums.items()})
+    totals = [fold(v).alias(f"{past[c]}_in") for c, v in sums.items()]
     held = ranged.groupBy(part, *groups).agg(F.min(at).alias("_first"), F.count("*").alias("_n"), *totals)
     of_group = W.partitionBy(*groups).orderBy(part)
     before = of_group.rowsBetween(W.unboundedPreceding, -1)
-    lifted = [F.coalesce(F.sum(f"{past[c]}_in").over(before), F.lit(0)).alias(f"{past[c]}_base") for c in sums]
+    lifted = [F.coalesce(fold(f"{past[c]}_in").over(before), start).alias(f"{past[c]}_base") for c in sums]
     held = checkpoint(held.select(
         F.col(part).alias("_in_part"), *(F.col(g).alias(f"_of_{g}") for g in groups), (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_lift"),
         F.sum("_n").over(W.partitionBy(*groups)).alias(f"{name}_n"), *lifted,
@@ -92,7 +95,7 @@ def number_within(rows: DataFrame, groups: list[str], order: list[str], name: st
     same = [F.col(part) == F.col("_in_part"), *(F.col(g).eqNullSafe(F.col(f"_of_{g}")) for g in groups)]
     few = held.count() <= MOST_BROADCAST  # one row a range and group
     out = ranged.join(F.broadcast(held) if few else held, same).withColumn(name, F.col(at) + F.col("_lift"))
-    out = out.withColumns({c: F.col(past[c]) + F.col(f"{past[c]}_base") for c in sums})
+    out = out.withColumns({c: both(F.col(past[c]), F.col(f"{past[c]}_base")) for c in sums})
     return out.drop(at, part, "_in_part", "_lift", *(f"_of_{g}" for g in groups), *past.values(), *(f"{c}_base" for c in past.values()))
 
 

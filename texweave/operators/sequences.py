@@ -9,7 +9,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..sources.storage import checkpoint
 from .filters import number_within, shard_number
@@ -131,20 +130,26 @@ def neighbours(items: Column) -> Column:
     return F.zip_with(F.slice(items, 1, n), F.slice(items, 2, n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
 
+def shares(rows: DataFrame, group: str, weight: str, name: str) -> DataFrame:
+    """``rows`` with each weight's share of its group."""
+    total = rows.groupBy(F.col(group).alias("_of")).agg(F.sum(weight).alias("_total"))
+    return rows.join(total, F.col(group).eqNullSafe(F.col("_of"))).withColumn(name, F.col(weight) / F.col("_total")).drop("_of", "_total")
+
+
 def nucleus(rows: DataFrame, group: str, item: str, p: str, top_p: float) -> DataFrame:
-    """The likeliest items of each group whose likelier ones sum to at most top_p, renormalized."""
-    order = W.partitionBy(group).orderBy(F.desc(p), item).rowsBetween(W.unboundedPreceding, 0)
-    kept = rows.withColumn("_before", F.sum(p).over(order) - F.col(p)).where(F.col("_before") <= top_p)
-    return kept.withColumn("p_kept", F.col(p) / F.sum(p).over(W.partitionBy(group))).drop("_before")
+    """The likeliest items of each group whose likelier ones sum to at most top_p, renormalized. Sums run over ranges: a group with all rows is many tasks."""
+    ordered = number_within(rows.withColumn("_down", -F.col(p)), [group], ["_down", item], "_k", {"_before": p})
+    kept = ordered.where(F.col("_before") <= top_p).select(*rows.columns)
+    return shares(kept, group, p, "p_kept")
 
 
 def patience(rows: DataFrame, run: str, step: str, score: str) -> DataFrame:
-    """best so far and the steps since it, by run."""
-    past = W.partitionBy(run).orderBy(step).rowsBetween(W.unboundedPreceding, 0)
-    best = rows.withColumn("best", F.min(score).over(past))
-    earlier = F.lag("best").over(W.partitionBy(run).orderBy(step))
-    better = best.withColumn("_won", F.when(earlier.isNull() | (F.col("best") < earlier), F.row_number().over(W.partitionBy(run).orderBy(step))))
-    return better.withColumn("waited", F.row_number().over(W.partitionBy(run).orderBy(step)) - F.max("_won").over(past)).drop("_won")
+    """best so far and the steps since it, by run. Bests and places are lifted from range to range: a run with all rows is many tasks."""
+    met = number_within(rows, [run], [step], "_k", {"_low": score}, "min")
+    better = F.col("_low").isNull() | (F.col(score) < F.col("_low"))
+    marked = met.select(*rows.columns, F.least("_low", score).alias("best"), "_k", F.when(better, F.col("_k")).alias("_won"))
+    last = number_within(marked, [run], ["_k"], "_j", {"_past": "_won"}, "max")
+    return last.select(*rows.columns, "best", (F.col("_k") - F.coalesce("_won", "_past")).alias("waited"))
 
 
 def latest(files: DataFrame, path: str, number: Column) -> DataFrame:

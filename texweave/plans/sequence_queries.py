@@ -47,10 +47,8 @@ def label_shift(spark, sf_dir):
   c as (select *, sum(p) over (partition by event_type order by p desc, event_id rows unbounded preceding) - p as b from e)
   select event_type, event_id, round(p / sum(p) over (partition by event_type), 12) as p_kept from c where b <= 0.1""")
 def nucleus_cut(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    p = F.col("value") / F.sum("value").over(W.partitionBy("event_type"))
-    rows = table(spark, sf_dir, "events").where("value > 0").select("event_type", "event_id", p.alias("p"))
+    given = table(spark, sf_dir, "events").where("value > 0").select("event_type", "event_id", "value")
+    rows = sequences.shares(given, "event_type", "value", "p").select("event_type", "event_id", "p")
     return sequences.nucleus(rows, "event_type", "event_id", "p", 0.1).select("event_type", "event_id", F.round("p_kept", 12).alias("p_kept"))
 
 

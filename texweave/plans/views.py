@@ -22,7 +22,7 @@ LATEX_SQL = r"""(select p_partkey as idx, p_brand as source, cast(p_size as bigi
     when 4 then 'x'
     else concat('\alpha + ', p_size, '.5 \times 10^{-', p_size, '}')
   end as latex from part)"""
-TURNS_SQL = r"""(select conv_id * 1000 + turn as id, conv_id, turn,
+TURNS_SQL = r"""(select conv_id || '-' || turn as id, conv_id, turn,
   regexp_extract_all(text, '\\[a-zA-Z]+|[^\s]') as truth,
   regexp_extract_all(lag(text) over (partition by conv_id order by turn), '\\[a-zA-Z]+|[^\s]') as guess
   from conversations qualify guess is not null)"""
@@ -51,8 +51,9 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = table(spark, sf_dir, "conversations")
     before = F.lag("text").over(W.partitionBy("conv_id").orderBy("turn"))
-    return rows.withColumn("_before", before).where("_before is not null").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "conv_id", "turn", tokens(F.col("text")).alias("truth"), tokens(F.col("_before")).alias("guess")
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))  # the rows are few bytes and much work: else adaptive plans put them together
+    return rows.withColumn("_before", before).where("_before is not null").repartition(spread).select(
+        F.concat_ws("-", "conv_id", "turn").alias("id"), "conv_id", "turn", tokens(F.col("text")).alias("truth"), tokens(F.col("_before")).alias("guess")
     )
 
 
