@@ -180,6 +180,20 @@ def test_lines_of_a_file_in_blocks(spark, tmp_path):
     assert readers.lines(spark, f"{tmp_path}/none.txt").count() == 0
 
 
+def test_stages_resume(spark, tmp_path):
+    """A stage runs again if its inputs, its version or a stage before it changed, and never else."""
+    from texweave.sources import stages
+
+    plan = lambda version: [("a", "1", lambda s, r: r.where("id > 1")), ("b", version, lambda s, r: r.where("id < 9")), ("c", "1", lambda s, r: r.withColumn("x", F.col("id") * 2))]
+    run = lambda inputs, version: stages.resume(spark, spark.range(12), str(tmp_path), inputs, plan(version))
+    out, ran = run("v1", "1")
+    assert ran == ["a", "b", "c"] and out.count() == 7
+    assert run("v1", "1")[1] == [] and run("v1", "2")[1] == ["b", "c"] and run("v2", "1")[1] == ["a", "b", "c"]
+    last = next(d for d in sorted(os.listdir(tmp_path)) if d.startswith("02-c"))
+    os.remove(f"{tmp_path}/{last}/_SUCCESS")
+    assert sum(len(run(v, n)[1]) for v, n in (("v1", "1"), ("v1", "2"), ("v2", "1"))) == 1
+
+
 def test_row_counts_read_no_column(spark):
     counted = readers.row_counts(spark, "/root/testdata/sf0.001/documents.parquet")
     assert "PushedAggregation: [COUNT(*)]" in counted._jdf.queryExecution().toString() and counted.first().n == 200

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import profiles
-from ..sources import readers, writers
+from ..sources import readers, stages, writers
 from ..sources.storage import checkpoint_folder
 from .registry import query
 from .views import LATEX_SQL, latex
@@ -55,6 +55,23 @@ def json_export(spark, sf_dir):
     return spark.read.schema("source string, n long, mean double").json(path)
 
 
+@query("""select source, count(*) as n, avg(n_chars) as mean, 'b,c' as ran_again from documents where length(text) >= 3 group by source""")
+def resumed_stages(spark, sf_dir):
+    """A run that stops after its first stage, and one that goes on from there."""
+    def broken(spark, rows):
+        raise RuntimeError("stopped")
+
+    first = ("a", "1", lambda spark, rows: rows.where("length(text) >= 3").select("source", "n_chars"))
+    rest = [("b", "1", lambda spark, rows: rows.repartition("source")), ("c", "1", lambda spark, rows: rows.groupBy("source").agg(F.count("*").alias("n"), F.avg("n_chars").alias("mean")))]
+    rows, folder = readers.table(spark, sf_dir, "documents"), _folder(spark)
+    try:
+        stages.resume(spark, rows, folder, "documents", [first, ("b", "1", broken), rest[1]])
+    except RuntimeError:
+        pass
+    out, ran = stages.resume(spark, rows, folder, "documents", [first, *rest])
+    return out.withColumn("ran_again", F.lit(",".join(ran)))
+
+
 @query(f"select idx, trim(latex) as truth from {LATEX_SQL}")
 def truth_annotations(spark, sf_dir):
     """The truth annotation of marked-up samples, escaped, between dollars, and after one that is no markup."""
