@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,42 +26,42 @@ from pyspark.sql import Window as W
 
 from .common import checkpoint, map_batches, utf8
 
-STRETCH_WORDS = 1 << 20  # words that a scanning task counts at once
+STRETCH_WORDS = 1 << 22  # words that a scanning task counts at once
 LEAST_DOCS = 3
 SCALE = 1_000_000_000
 TOP_TERMS = 200
 _TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")  # on UTF-8, as all bytes of other characters are above 7F
 
 
-def _tallied(groups: list[tuple[str, str]], words: list[list[bytes]]) -> pa.RecordBatch:
-    """lang, source, term, n and docs of some documents, from the words of each."""
+def _tallied(groups: list[tuple[str, str]], docs: list[np.ndarray], terms: list[bytes]) -> pa.RecordBatch:
+    """lang, source, term, n and docs of some documents, from the numbers of the terms of each."""
     names = {g: k for k, g in enumerate(dict.fromkeys(groups))}
-    coded = pa.array([b"", *chain.from_iterable(words)], pa.binary()).dictionary_encode()
-    size, doc = len(coded.dictionary), np.repeat(np.arange(len(words)), [len(w) for w in words])
+    size, doc = len(terms), np.repeat(np.arange(len(docs)), [len(d) for d in docs])
     of = np.array([names[g] for g in groups], np.int64)
-    each, times = np.unique(doc * size + coded.indices.to_numpy()[1:], return_counts=True)
-    each = np.concatenate([each // size, np.arange(len(words))]), np.concatenate([each % size, np.zeros(len(words), np.int64)])
+    each, times = np.unique(doc * size + np.concatenate(docs), return_counts=True)
+    each = np.concatenate([each // size, np.arange(len(docs))]), np.concatenate([each % size, np.zeros(len(docs), np.int64)])
     cells, at = np.unique(of[each[0]] * size + each[1], return_inverse=True)
     n = np.bincount(at[: len(times)], times, len(cells)).astype(np.int64)
     listed = list(names)
     lang, source = (pa.array([g[k] for g in listed], pa.string()).take(pa.array(cells // size)) for k in (0, 1))
-    term = pa.array([t.decode(errors="replace") for t in coded.dictionary.to_pylist()], pa.string()).take(pa.array(cells % size))
+    term = pa.array([t.decode(errors="replace") for t in terms], pa.string()).take(pa.array(cells % size))
     return pa.RecordBatch.from_arrays([lang, source, term, pa.array(n), pa.array(np.bincount(at))], ["lang", "source", "term", "n", "docs"])
 
 
 def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts by lang, source and term of stretches of a task's documents, each of ``STRETCH_WORDS`` or a document more."""
-    groups, words, size = [], [], 0
+    groups, docs, size, codes = [], [], 0, {b"": 0}
     for batch in batches:
         for lang, source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             groups.append((lang, source))
-            words.append(_TERM.findall(utf8(text).lower()))  # of bytes, lower changes A-Z only
-            size += len(words[-1])
+            numbered = codes.setdefault
+            docs.append(np.array([numbered(t, len(codes)) for t in _TERM.findall(utf8(text).lower())], np.int32))  # of bytes, lower changes A-Z only
+            size += len(docs[-1])
             if size > STRETCH_WORDS:
-                yield _tallied(groups, words)
-                groups, words, size = [], [], 0
+                yield _tallied(groups, docs, list(codes))
+                groups, docs, size, codes = [], [], 0, {b"": 0}
     if groups:
-        yield _tallied(groups, words)
+        yield _tallied(groups, docs, list(codes))
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
