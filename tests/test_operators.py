@@ -194,6 +194,42 @@ def test_stages_resume(spark, tmp_path):
     assert sum(len(run(v, n)[1]) for v, n in (("v1", "1"), ("v1", "2"), ("v2", "1"))) == 1
 
 
+def test_a_worker_loads_a_model_once(spark, tmp_path):
+    from texweave.operators import inference
+
+    def load():
+        open(f"{tmp_path}/{os.getpid()}-{time.time_ns()}", "w").close()
+        return lambda pictures: [str(len(pictures))] * len(pictures)
+
+    good = bytearray(image.encode_png(np.zeros((2, 2), np.uint8)))
+    rows = spark.createDataFrame([(k, good if k != 17 else None) for k in range(101)], "k int, i binary").repartition(9)
+    said = {r.k: r.said for r in inference.batched(rows, ["k"], "i", load, 10).collect()}
+    assert said == {k: None if k // 10 == 1 else "1" if k == 100 else "10" for k in range(101)}
+    loads = [f.split("-")[0] for f in os.listdir(tmp_path)]
+    assert len(loads) == len(set(loads))
+
+
+def test_readers_and_writers_of_small_files(spark, tmp_path):
+    """files, skip_corrupt, text_lines, report and latest."""
+    rows = spark.createDataFrame([(k, f"x{k}") for k in range(1500)], "idx long, latex string")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/p")
+    with open(f"{tmp_path}/p/broken.parquet", "wb") as f:
+        f.write(b"PAR1 no file")
+    assert readers.samples(spark, f"{tmp_path}/p", ["idx"], skip_corrupt=True).count() == 1500
+    writers.text_lines(rows.where("idx < 3"), ["idx", "latex"], f"{tmp_path}/t")
+    assert sorted(r.value for r in spark.read.text(f"{tmp_path}/t").collect()) == ["0\tx0", "1\tx1", "2\tx2"]
+    text = writers.report(rows, "Title").split("\n")
+    assert text[:2] == ["Title", "====="] and len(text) == 1503 and text[-1].split() == ["1,499", "x1499"]
+    for k in (2, 10, 9):
+        os.makedirs(f"{tmp_path}/run", exist_ok=True)
+        with open(f"{tmp_path}/run/step-{k}.bin", "wb") as f:
+            f.write(b"ab")
+    found = readers.files(spark, f"{tmp_path}/run", "*.bin")
+    assert sorted((r.stem, r.length) for r in found.select("stem", "length").collect()) == [("step-10", 2), ("step-2", 2), ("step-9", 2)]
+    newest = sequences.latest(found, "stem", F.regexp_extract("stem", r"(\d+)$", 1).cast("int")).first()
+    assert (newest.stem, newest.step) == ("step-10", 10)
+
+
 def test_row_counts_read_no_column(spark):
     counted = readers.row_counts(spark, "/root/testdata/sf0.001/documents.parquet")
     assert "PushedAggregation: [COUNT(*)]" in counted._jdf.queryExecution().toString() and counted.first().n == 200
