@@ -172,11 +172,14 @@ def longest_match(spark, sf_dir):
     return latex(spark, sf_dir).select("idx", subwords.longest_match(F.col("latex"), tokens).alias("parts"))
 
 
-@query(rf"""with v as (select * from (values ('\frac', 10), ('{{', 11), ('}}', 12), ('x', 13)) t(token, id))
-  select idx, pos, coalesce(id, 1) as id from {_TYPED} left join v using (token)""")
+@query(rf"""with t as materialized {_TYPED}, v as (select token, cast(3 + row_number() over (order by n desc, token) as integer) as id
+    from (select token, count(*) as n from t group by token having count(*) > 5 order by n desc, token limit 2044))
+  select idx, pos, coalesce(id, 1) as id from t left join v using (token)""")
 def vocab_lookup(spark, sf_dir):
-    vocabulary = spark.createDataFrame([("\\frac", 10), ("{", 11), ("}", 12), ("x", 13)], "token string, id int")
+    """A vocabulary of the corpus' own frequent tokens; rarer ones are unknown."""
     typed = markup.token_rows(latex(spark, sf_dir), "idx", "latex")
+    frequent = profiles.top_k(typed, "token", 2044, "token").where("n > 5").collect()  # a vocabulary
+    vocabulary = spark.createDataFrame([(r.token, 4 + k) for k, r in enumerate(frequent)], "token string, id int")
     return joins.lookup_ids(typed, "token", vocabulary).select("idx", "pos", "id")
 
 

@@ -25,22 +25,28 @@ def pack_sequences(spark, sf_dir):
     return sequences.pack_greedy(table(spark, sf_dir, "documents"), "source", ["doc_id"], "n_chars", 20000)
 
 
-@query("""with t as (select doc_id, list_transform(range(0, least(n_chars % 17, 12)), lambda i: cast((doc_id + i) % 97 + 1 as integer)) as ids from documents)
-  select doc_id, list_concat(ids[1:10], list_transform(range(0, 10 - least(len(ids), 10)), lambda i: cast(0 as integer))) as input_ids,
-         list_transform(range(0, 10), lambda i: case when i < len(ids) then 1 else 0 end) as attention_mask,
-         list_concat(ids[1:10], list_transform(range(0, 10 - least(len(ids), 10)), lambda i: cast(-100 as integer))) as labels from t""")
+_SIZES = "(select doc_id, list_transform(regexp_extract_all(text, '[^ \n\t]+')[1:200], lambda w: cast(length(w) as integer)) as ids from documents)"
+
+
+def _word_sizes(spark, sf_dir):
+    """doc_id and ids: the sizes of a text's words stand for its tokens."""
+    words = F.regexp_extract_all("text", F.lit("[^ \n\t]+"), F.lit(0))
+    return table(spark, sf_dir, "documents").select("doc_id", F.transform(words, lambda w: F.length(w)).alias("ids"))
+
+
+@query(f"""select doc_id, list_concat(ids, list_transform(range(0, 200 - len(ids)), lambda i: cast(0 as integer))) as input_ids,
+         list_concat(list_transform(ids, lambda x: 1), list_transform(range(0, 200 - len(ids)), lambda i: cast(0 as integer))) as attention_mask,
+         list_concat(ids, list_transform(range(0, 200 - len(ids)), lambda i: cast(-100 as integer))) as labels from {_SIZES}""")
 def pad_mask(spark, sf_dir):
-    n = F.least(F.col("n_chars") % 17, F.lit(12)).cast("int")
-    ids = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: ((F.col("doc_id") + i) % 97 + 1).cast("int"))).otherwise(F.array().cast("array<int>"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", ids.alias("ids"))
-    return rows.select("doc_id", *(c.alias(k) for k, c in sequences.padded(F.col("ids"), 10).items()))
+    return _word_sizes(spark, sf_dir).select("doc_id", *(c.alias(k) for k, c in sequences.padded(F.col("ids"), 200).items()))
 
 
-@query("""select doc_id, i as position, cast((doc_id + i + 1) % 97 as integer) as target from documents, range(0, 4) t(i) where (doc_id + i + 1) % 97 <> 0""")
+@query(f"""select doc_id, i as position, ids[i + 2] as target from (select doc_id, ids, unnest(range(0, len(ids) - 1)) as i from {_SIZES})""")
 def label_shift(spark, sf_dir):
-    labels = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: ((F.col("doc_id") + i) % 97).cast("int"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(sequences.shifted(labels)).alias("p"))
-    return rows.select("doc_id", "p.position", "p.target")
+    """Padded labels: each place predicts the next, the padding is left out."""
+    labels = sequences.padded(F.col("ids"), 200)["labels"]
+    rows = _word_sizes(spark, sf_dir).select("doc_id", labels.alias("labels"))
+    return rows.select("doc_id", F.explode(sequences.shifted(F.col("labels"))).alias("p")).select("doc_id", "p.position", "p.target")
 
 
 @query("""with e as (select event_type, event_id, value / sum(value) over (partition by event_type) as p from events where value > 0),
