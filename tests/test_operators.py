@@ -230,6 +230,13 @@ def test_readers_and_writers_of_small_files(spark, tmp_path):
     assert (newest.stem, newest.step) == ("step-10", 10)
 
 
+def test_rounding_is_half_even_on_the_binary_value(spark):
+    values = [0.125, 0.135, 2.675, 2.5, -0.5, 1e300, None, float("inf"), 1.005]
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double")
+    got = {r.k: r.r for r in rows.select("k", T.rounded(F.col("v"), 2).alias("r")).collect()}
+    assert got == {k: None if v is None else round(v, 2) for k, v in enumerate(values)} and got[2] == 2.67 and got[0] == 0.12
+
+
 def test_row_counts_read_no_column(spark):
     counted = readers.row_counts(spark, "/root/testdata/sf0.001/documents.parquet")
     assert "PushedAggregation: [COUNT(*)]" in counted._jdf.queryExecution().toString() and counted.first().n == 200

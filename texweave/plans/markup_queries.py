@@ -214,6 +214,20 @@ def command_intact(spark, sf_dir):
     return subwords.intact_rates(rows, "commands", "parts")
 
 
+@query(rf"""with e as (select p_partkey as idx, unnest(regexp_extract_all(t, '\\begin\{{([a-z]+)', 1)) as item, unnest(range(1, 20)) as i from
+    (select p_partkey, concat('\begin{{', lower(substr(p_brand, 1, 3)), '}} ', repeat('\begin{{a}} ', p_size % 3), repeat('\begin{{b}} ', p_size % 4), repeat('\begin{{c}} ', p_size % 2)) as t from part)),
+  c as (select idx, item, count(*) as n, min(i) as pos from e where item is not null group by 1, 2),
+  r as (select *, row_number() over (partition by idx order by n desc, pos) as rank from c)
+  select idx, cast(rank as integer) as rank, item, cast(n as integer) as n from r where rank <= 3""")
+def top_environments_per_row(spark, sf_dir):
+    """The three most frequent environments of a text, ties by first appearance."""
+    times = lambda name, k: F.expr(rf"repeat(r'\begin{{{name}}} ', cast(p_size % {k} as int))")
+    first = F.concat(F.lit("\\begin{"), F.lower(F.substring("p_brand", 1, 3)), F.lit("} "))
+    text = F.concat(first, times("a", 3), times("b", 4), times("c", 2))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("idx"), T.most_common(T.environments(text), 3).alias("top"))
+    return rows.select("idx", F.posexplode("top").alias("at", "e")).select("idx", (F.col("at") + 1).alias("rank"), "e.item", "e.n")
+
+
 _FREQUENT = r"""f as (select w, count(*) as n from (select unnest(regexp_extract_all(text, '[A-Za-z]+|[0-9]+')) as w from documents) where length(w) between 2 and 20
     group by w order by n desc, w limit 2048), pat as (select string_agg(w, '|' order by length(w) desc, w) || '|[\s\S]' as p from f)"""
 
