@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import uuid
+import zlib
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -169,9 +170,9 @@ def learn_merges(counted: DataFrame, n: int, least: int = 2, least_zone: int = 2
             for k, pair in enumerate(sure, len(merges)):
                 ranks.setdefault(pair, []).append(k)
             joints = {(a[-1], b[0]) for a, b in sure}
-            asked = spark.createDataFrame(sorted(joints), "x string, y string").select(_index_part(F.col("x"), F.col("y"))).distinct().collect()  # at most as many as pairs at once
+            asked = {zlib.crc32((x + y).encode()) % INDEX_PARTS for x, y in joints}
             among = F.struct("x", "y").isin([F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in sorted(joints)])
-            touched = index.where(F.col("part").isin([r[0] for r in asked]) & among).select("x", "y", "units", "freq")
+            touched = index.where(F.col("part").isin(sorted(asked)) & among).select("x", "y", "units", "freq")
             changes = touched.mapInArrow(_changes(ranks, len(merges), joints), "a string, b string, n long")
             counts = counts.unionByName(changes).groupBy("a", "b").agg(F.sum("n").alias("n"))
             counts = checkpoint(counts.where("n > 0"))
@@ -186,7 +187,7 @@ INDEX_PARTS = 64
 
 
 def _index_part(x: Column, y: Column) -> Column:
-    return F.pmod(F.xxhash64(x, y), F.lit(INDEX_PARTS)).cast("int")
+    return (F.crc32(F.concat(x, y).cast("binary")) % INDEX_PARTS).cast("int")
 
 
 def apply_merges(units: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
