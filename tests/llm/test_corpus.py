@@ -41,7 +41,7 @@ def odd(spark):
 
 @pytest.fixture(scope="module")
 def tables(spark):
-    return {n: spark.read.parquet(f"{DIR}/{n}.parquet") for n in ("documents", "benchmark", "labels", "pages", "conversations")}
+    return {n: spark.read.parquet(f"{DIR}/{n}.parquet") for n in ("documents", "benchmark", "labels", "pages", "conversations", "embeddings")}
 
 
 def texts_of(df):
