@@ -132,9 +132,11 @@ def test_quantiles_interpolate(spark):
     assert got == {"a": (1.75, 3.0), "b": (5.0, 5.0)}
 
 
-def test_quantiles_by_refinement(spark, monkeypatch):
+@pytest.mark.parametrize("few", [1, 40, 10_000])
+def test_quantiles_by_refinement(spark, monkeypatch, few):
     """All columns and groups at once against numpy: ties, wide and narrow ranges, tiny differences, infinities, nulls and NaN."""
     monkeypatch.setattr(profiles, "CELLS", 8)
+    monkeypatch.setattr(profiles, "FEW", few)
     rng, inf = np.random.default_rng(1), float("inf")
     columns = {
         "wide": np.exp(rng.normal(0, 40, 300)), "ties": rng.integers(0, 4, 300).astype(float), "near": 1 + np.arange(300) % 7 * 2.0**-52, "huge": rng.choice([-1.7e308, 1.7e308, 0.0, 3.0], 300),

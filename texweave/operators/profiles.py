@@ -14,6 +14,7 @@ from .filters import MOST_BROADCAST
 
 
 CELLS = 4096  # parts into which a round cuts an interval
+FEW = 10_000  # values of an interval that one task sorts
 
 
 def _melted(rows: DataFrame, groups: list[str], columns: list[str]) -> DataFrame:
@@ -22,14 +23,27 @@ def _melted(rows: DataFrame, groups: list[str], columns: list[str]) -> DataFrame
     return rows.select(*groups, F.inline(each)).where("v is not null and not isnan(v)")
 
 
+def _scaled(x: Column, wide: Column) -> Column:
+    """x on the scale of logarithms, where wide, else halved, so that no difference overflows."""
+    return F.when(wide, F.signum(x) * (F.coalesce(F.ln(F.abs(x)), F.lit(0.0)) + 750)).otherwise(x / 2)
+
+
+def _ruler(lo: Column, hi: Column) -> Column:
+    """An interval and its scale: lo, hi, wide, and start and length on that scale."""
+    low, high = (F.greatest(F.least(c, F.lit(1.7976931348623157e308)), F.lit(-1.7976931348623157e308)) for c in (lo, hi))
+    wide = (low * F.signum(high) <= 0) | (F.greatest(F.abs(low), F.abs(high)) / 4 > F.least(F.abs(low), F.abs(high)))
+    start = _scaled(low, wide)
+    return F.struct(lo.alias("lo"), hi.alias("hi"), wide.alias("wide"), start.alias("start"), (_scaled(high, wide) - start).alias("length"))
+
+
 def order_statistics(rows: DataFrame, groups: list[str], columns: list[str], places: Callable[[Column], dict[str, Column]], most_groups: int = MOST_BROADCAST) -> DataFrame:
     """groups, m, name, n and value: of n values of each column and group those at given places of their ascending order, without a sort.
 
     ``places`` takes the number of values and names places from 0. Each place has an interval that
-    holds its value, and how many values lie below. Round after round intervals are cut in ``CELLS``
-    parts, whose counts, smallest and largest values are found in one aggregation over all columns,
-    groups and places; an interval shrinks to the extremes of the part that holds its place, until
-    they are equal. Parts are equally wide on the scale of logarithms where an interval spans zero or more
+    holds its value, and how many values lie below. Round after round intervals of over ``FEW`` values are
+    cut in ``CELLS`` parts, whose counts, smallest and largest values are found in one aggregation over all
+    columns, groups and places; an interval shrinks to the extremes of the part that holds its place. Intervals
+    of fewer values are sorted at last, each by itself, unless their extremes are equal. Parts are equally wide on the scale of logarithms where an interval spans zero or more
     than a factor of four, else on that of the values: six rounds are the most for any doubles. Infinite values
     are parts of their own.
     """
@@ -39,28 +53,42 @@ def order_statistics(rows: DataFrame, groups: list[str], columns: list[str], pla
     n = F.col("n")
     spots = F.array(*(F.struct(F.lit(name).alias("name"), at.cast("long").alias("place")) for name, at in places(n).items()))
     state = values.groupBy(*keys).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    state = checkpoint(state.select(*keys, "n", "lo", "hi", F.lit(0).cast("long").alias("below"), F.inline(spots)))
+    state = checkpoint(state.select(*keys, "n", "lo", "hi", F.lit(0).cast("long").alias("below"), F.col("n").alias("held"), F.inline(spots)))
     renamed = {k: f"_of_{k}" for k in keys}
     same = [F.col(k).eqNullSafe(F.col(r)) for k, r in renamed.items()]
-    few = state.count() <= most_groups  # groups times columns times places
-    while state.where("lo < hi").limit(1).count():
-        spans = state.where("lo < hi").groupBy(*(F.col(k).alias(r) for k, r in renamed.items())).agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-        met = values.join(F.broadcast(spans) if few else spans, same)
-        met = met.select(*keys, "v", F.get(F.filter("spans", lambda s: F.col("v").between(s["lo"], s["hi"])), F.lit(0)).alias("s")).where("s is not null")
-        low, high = (F.when(F.abs(c) < float("inf"), c).otherwise(F.signum(c) * 1.7976931348623157e308) for c in (F.col("s.lo"), F.col("s.hi")))
-        wide = (low * F.signum(high) <= 0) | (F.greatest(F.abs(low), F.abs(high)) / 4 > F.least(F.abs(low), F.abs(high)))
-        scale = lambda x: F.when(wide, F.signum(x) * (F.coalesce(F.ln(F.abs(x)), F.lit(0.0)) + 750)).otherwise(x / 2)  # noqa: E731  (halves, so that no difference overflows)
-        share = (scale(F.col("v")) - scale(low)) / (scale(high) - scale(low))
+    still = F.col("lo") < F.col("hi")
+    rows_of_state, most = state.agg(F.count("*"), F.max(F.when(still, F.col("held")))).first()
+    few = rows_of_state <= most_groups  # groups times columns times places
+
+    def held_by(wanted: Column) -> DataFrame:
+        """keys, v and s, the interval of the wanted ones that holds v."""
+        spans = state.where(wanted).select(*(F.col(k).alias(r) for k, r in renamed.items()), _ruler(F.col("lo"), F.col("hi")).alias("s")).distinct()
+        inside = F.col("v").between(F.col("s.lo"), F.col("s.hi"))  # intervals of a key have no value in common
+        return values.join(F.broadcast(spans) if few else spans, [*same, inside]).select(*keys, "v", "s")
+
+    def with_parts(wanted: Column, parts: DataFrame) -> DataFrame:
+        """The wanted intervals beside what was found in them."""
+        parts = parts.withColumnsRenamed(renamed).withColumns({"_lo": F.col("s.lo"), "_hi": F.col("s.hi")}).drop("s")
+        return state.where(wanted).join(parts, [*same, F.col("lo") == F.col("_lo"), F.col("hi") == F.col("_hi")])
+
+    while (most or 0) > FEW:
+        large = still & (F.col("held") > FEW)
+        share = (_scaled(F.col("v"), F.col("s.wide")) - F.col("s.start")) / F.col("s.length")
         cell = F.when(F.col("v") == float("-inf"), -1).when(F.col("v") == float("inf"), CELLS).otherwise(F.least(F.floor(share * CELLS), F.lit(CELLS - 1)))
-        cells = met.groupBy(*keys, "s", cell.cast("int").alias("cell")).agg(F.count("*").alias("c"), F.min("v").alias("low"), F.max("v").alias("high"))
-        cells = cells.select(*(F.col(k).alias(r) for k, r in renamed.items()), F.col("s.lo").alias("_lo"), F.col("s.hi").alias("_hi"), "cell", "c", "low", "high")
-        ahead = W.partitionBy(*renamed.values(), "_lo", "_hi").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)  # CELLS rows and two
+        cells = held_by(large).groupBy(*keys, "s", cell.cast("int").alias("cell")).agg(F.count("*").alias("c"), F.min("v").alias("low"), F.max("v").alias("high"))
+        ahead = W.partitionBy(*keys, "s").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)  # CELLS rows and two
         cells = cells.withColumn("before", F.coalesce(F.sum("c").over(ahead), F.lit(0)))
         inside = F.col("place").between(F.col("below") + F.col("before"), F.col("below") + F.col("before") + F.col("c") - 1)
-        found = state.where("lo < hi").join(cells, [*same, F.col("lo") == F.col("_lo"), F.col("hi") == F.col("_hi")]).where(inside)
-        found = found.select(*keys, "n", F.col("low").alias("lo"), F.col("high").alias("hi"), (F.col("below") + F.col("before")).alias("below"), "name", "place")
-        state = checkpoint(state.where("lo = hi").unionByName(found))
-    return state.select(*groups, "m", "name", "n", F.col("lo").alias("value"))
+        found = with_parts(large, cells).where(inside)
+        found = found.select(*keys, "n", F.col("low").alias("lo"), F.col("high").alias("hi"), (F.col("below") + F.col("before")).alias("below"), F.col("c").alias("held"), "name", "place")
+        state = checkpoint(state.where(~large).unionByName(found))
+        most = state.agg(F.max(F.when(still, F.col("held")))).first()[0]
+    done = state.where(~still).select(*groups, "m", "name", "n", F.col("lo").alias("value"))
+    if most is None:
+        return done
+    ordered = held_by(still).groupBy(*keys, "s").agg(F.sort_array(F.collect_list("v")).alias("_ordered"))  # FEW values at most
+    found = with_parts(still, ordered).withColumn("value", F.get("_ordered", (F.col("place") - F.col("below")).cast("int")))
+    return done.unionByName(found.select(*groups, "m", "name", "n", "value"))
 
 
 def quantiles(rows: DataFrame, groups: list[str], columns: list[str], shares: dict[str, float]) -> DataFrame:
