@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import re
 import time
 import zlib
@@ -531,6 +532,34 @@ def test_url_trees_on_held_out_urls(spark):
     assert recall > 0.9 and agree > 0.9
 
 
+def test_url_statistics_leave_out_the_own_fold(spark):
+    rows = [(k % 3, k % 5, float(k % 7 < 3)) for k in range(60)] + [(9, 2, 1.0)]
+    whole, others = urls.statistics(spark.createDataFrame(rows, "suffix int, fold int, label double"), "suffix", 0.4)
+    told = lambda labels, scale: (math.log1p(len(labels) * scale), (sum(labels) + 2.0) / (len(labels) + 5))
+    assert {r.suffix: tuple(r)[1:] for r in whole.collect()} == {k: pytest.approx(told([b for s, _, b in rows if s == k], 1)) for k in (0, 1, 2, 9)}
+    want = {(s, f): told([b for k, g, b in rows if k == s and g != f], urls.FOLDS / (urls.FOLDS - 1)) for s, f, _ in rows}
+    assert {(r.suffix, r.fold): tuple(r)[2:] for r in others.collect()} == {k: pytest.approx(v) for k, v in want.items()}
+
+
+def test_url_features_against_brute_force(spark):
+    given = ["https://a-b.example.com/en/x1/y.html?q=1&r=2#top", "http://EXAMPLE.net", "", "x://h1.h2.org/p%20q/%zz/?a", "https://ü.de/ä//ö/"]
+    frame = spark.createDataFrame([(u,) for u in given], "url string")
+    frame = frame.select("url", urls.host_of(F.col("url")).alias("host"), urls.path_of(F.col("url")).alias("path"))
+    for r in frame.select("*", *(c.alias(k) for k, c in urls.features(F.col("url"), F.col("host"), F.col("path")).items())).collect():
+        u, h, p = r.url, r.host, r.path
+        counts = [h.count(c) / max(len(h), 1) for c in set(h)]
+        segment = p.split("/")[1] if p.startswith("/") else ""
+        extension = re.search(r"\.([A-Za-z0-9]{1,8})$", p)
+        want = {
+            "length": len(u), "host_length": len(h), "path_length": len(p), "depth": sum(a == "/" and b != "/" for a, b in zip(p, p[1:], strict=False)), "labels": h.count("."), "hyphens": h.count("-"),
+            "digits": sum(c in "0123456789" for c in u) / max(len(u), 1), "host_digits": sum(c in "0123456789" for c in h) / max(len(h), 1),
+            "other": sum(not (c.isascii() and c.isalnum()) for c in u) / max(len(u), 1), "entropy": -sum(c * math.log2(c) for c in counts), "parameters": len(re.findall("[?&][^=&#]+=", u)),
+            "fragment": "#" in u, "escapes": len(re.findall("%[0-9A-Fa-f]{2}", u)), "first_segment": len(segment), "trailing": p.endswith("/"),
+            "extension": len(extension[1]) if extension else 0, "https": u.startswith("https"),
+        }
+        assert {k: r[f"f_{k}"] for k in want} == {k: pytest.approx(float(v)) for k, v in want.items()}, u
+
+
 def test_url_edges(spark):
     given = [(1, "https://a.net/x?" + "q=1&" * 20_000), (2, None), (2, None), (None, "http://b.org/fr/"), (3, ""), (4, "http://" + "h" * 5000 + ".com/")]
     rows = spark.createDataFrame(given, "page_id long, url string").withColumns({"score": F.lit(1), "label": F.lit(2), "rule": F.lit(3), "features": F.lit(4)})

@@ -2,7 +2,8 @@
 
 The trees are trained on urls that rules have labelled. Features are lexical only: lengths,
 depth, shares of digits and other characters, entropy, counts of parameters, and statistics
-of the host's suffix and of the first path segment among the labelled urls. Features are SQL expressions; the trees are
+of the host's suffix and of the first path segment among the labelled urls; a url that trains takes these
+from the other folds, so that its own label is no feature of it. Features are SQL expressions; the trees are
 Spark's own, fitted and applied by Spark.
 """
 
@@ -13,12 +14,14 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import checkpoint
 
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 SAMPLE_ROWS = 100_000  # labelled urls that the fit takes at most, those with the smallest hash
 SUFFIX_BINS = 1024  # suffixes are hashed to so many bins
+FOLDS = 5  # of the urls that train, by url
 _TREES, _DEPTH = 20, 4
 _LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -70,6 +73,19 @@ def features(url: Column, host: Column, path: Column) -> dict[str, Column]:
     }
 
 
+def statistics(labelled: DataFrame, key: str, share: float) -> tuple[DataFrame, DataFrame]:
+    """f_{key}_seen and f_{key}_blocked of each key over all labelled rows; and of each key and fold over the other folds' rows.
+
+    seen is ln(1 + rows), for the other folds as if they were all of them; blocked is the share of
+    label 1 drawn towards ``share`` by five rows.
+    """
+    folds = labelled.groupBy(key, "fold").agg(F.count("*").alias("n"), F.sum("label").alias("b"))
+    folds = checkpoint(folds.withColumns({f"all_{c}": F.sum(c).over(W.partitionBy(key)) for c in ("n", "b")}))  # SUFFIX_BINS times FOLDS rows at most
+    told = lambda n, b, scale: [F.log1p(n * scale).alias(f"f_{key}_seen"), ((b + 5 * share) / (n + 5)).alias(f"f_{key}_blocked")]
+    n, b, all_n, all_b = (F.col(c) for c in ("n", "b", "all_n", "all_b"))
+    return folds.select(key, *told(all_n, all_b, 1.0)).distinct(), folds.select(key, "fold", *told(all_n - n, all_b - b, FOLDS / (FOLDS - 1)))
+
+
 def verdicts(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, judge_all: bool = False, learn: Column | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict and score (of blocking, by the trees; null under a rule) of every row of ``pages``.
 
@@ -97,24 +113,23 @@ def verdicts(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, judge
         judged = ruled.withColumn("score", block)
     else:
         share = counts[1.0] / sum(counts.values())
-        stats = {}
+        fold = F.pmod(F.xxhash64("url"), F.lit(FOLDS)).alias("fold")
+        totals, others = {}, {}
         for key in ("suffix", "segment"):
-            blocked = (F.sum("label") + 5 * share) / (F.count("*") + 5)
-            found = chosen.groupBy(key).agg(F.log1p(F.count("*")).alias(f"f_{key}_seen"), blocked.alias(f"f_{key}_blocked"))
-            stats[key] = F.broadcast(checkpoint(found))  # SUFFIX_BINS rows at most
+            totals[key], others[key] = (F.broadcast(found) for found in statistics(chosen.select("*", fold), key, share))
 
-        def described(rows: DataFrame) -> DataFrame:
+        def described(rows: DataFrame, stats: dict[str, DataFrame], *by: str) -> DataFrame:
             for key, found in stats.items():
-                rows = rows.join(found, key, "left").fillna({f"f_{key}_seen": 0.0, f"f_{key}_blocked": share})
+                rows = rows.join(found, [key, *by], "left").fillna({f"f_{key}_seen": 0.0, f"f_{key}_blocked": share})
             return rows.select("*", *(c.alias(k) for k, c in lexical.items()))
 
-        names = [*lexical, *(f"f_{key}_{what}" for key in stats for what in ("seen", "blocked"))]
+        names = [*lexical, *(f"f_{key}_{what}" for key in totals for what in ("seen", "blocked"))]
         assemble = VectorAssembler(inputCols=names, outputCol="features")
         trees = GBTClassifier(maxIter=_TREES, maxDepth=_DEPTH, seed=7, featuresCol="features", labelCol="label")
         tasks = min(16, spark.sparkContext.defaultParallelism)  # the limit has left one partition
-        train = checkpoint(assemble.transform(described(chosen)).select("features", "label").repartition(tasks))
+        train = checkpoint(assemble.transform(described(chosen.withColumn("fold", fold), others, "fold")).select("features", "label").repartition(tasks))
         model = trees.fit(train)
-        scored = model.transform(assemble.transform(described(ruled)))
+        scored = model.transform(assemble.transform(described(ruled, totals)))
         judged = scored.withColumn("score", vector_to_array("probability")[1])
     verdict = F.when(F.col("label").isNotNull(), F.when(F.col("label") == 1, "block").otherwise("allow"))
     verdict = F.coalesce(verdict, F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
