@@ -55,7 +55,7 @@ PATTERN = re.compile(
     rf"|(?P<ip>(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d))"
     r"|(?P<ip6>(?<![\w:.])(?=[0-9A-Fa-f:]*[0-9A-Fa-f]{3})(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:.]))"
     r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?:[ ]?[0-9A-Z]{4}){2,7}(?:[ ]?[0-9A-Z]{1,3})?(?!\w))"
-    r"|(?P<card>(?<![\d.-])\d{4}(?P<gap>[ -]?)\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7}(?![\d-]))"
+    r"|(?P<card>(?<![\d.-])(?:\d{4}(?P<gap>[ -]?)\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7}|\d{4}(?P<gap2>[ -])\d{6}(?P=gap2)\d{5})(?![\d-]))"
     r"|(?P<ssn>(?<![\w-])(?!000|666)[0-8]\d{2}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-]))"
     r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w.])\(?\d{3}\)?[ .-]\d{3}[.-]\d{4}(?!\w))"
     rf"|(?P<name>(?<!\w)(?P<title>{'|'.join(sorted(TITLES, key=len, reverse=True))})\.?[ ](?P<who>{_NAME}(?:[ ]{_NAME})?))"
@@ -66,6 +66,8 @@ _PAIR = re.compile(rf"(?<!\w)([A-ZÀ-ÞА-ЯЁ][^\W\d_]+)[ ](?=([A-ZÀ-ÞА-ЯЁ
 _WORD = re.compile(_NAME)
 _PART = re.compile(r"[^\W\d_]+")
 _ALONE = re.compile(r"(?<!\w)[^\W\d_]+(?:[-'’][^\W\d_]+)*(?!\w)")
+# Leading digits and lengths that issuers of cards have.
+_ISSUED = re.compile(r"4\d{12}(?:\d{3}){0,2}|5\d{15}|6\d{15,18}|(?:222[1-9]|22[3-9]\d|2[3-6]\d\d|27[01]\d|2720)\d{12}|3[47]\d{13}|35\d{14}|3[0689]\d{12}")
 _PREFIX = re.compile("(?:AKIA|gh[a-z][_-]|sk[-_](?:live[-_]|test[-_])?|xox[a-z]-?)?")  # what tells the issuer of a secret
 # Words that are names only where a title or a given name stands before them: months, days, colours, places, common words.
 ORDINARY = frozenset(
@@ -102,7 +104,7 @@ def _real(kind: str, text: str) -> bool:
     """Whether a match is what it looks like."""
     if kind == "card":
         digits = normal(kind, text)
-        return _check_digit(digits[:-1]) == digits[-1]
+        return bool(_ISSUED.fullmatch(digits)) and _check_digit(digits[:-1]) == digits[-1]
     if kind == "iban":
         return _remainder(normal(kind, text)) == 1
     if kind == "ip6":
@@ -145,7 +147,8 @@ def canonical(key: bytes, kind: str, entity: str, draw: int) -> str:
     if kind == "ip6":  # from the block for documentation, 2001:db8::/32
         return str(ipaddress.IPv6Address((0x20010DB8 << 96) + int.from_bytes(bytes(next(draws) for _ in range(12)))))
     if kind == "card":
-        body = digits(len(entity) - 1)
+        issuer = entity[: 4 if entity[0] == "2" else 2 if entity[0] in "35" else 1]
+        body = issuer + digits(len(entity) - 1 - len(issuer))
         return body + _check_digit(body)
     if kind == "ssn":  # areas from 900 on belong to nobody
         return "9" + digits(8) if not draw else digits(9)  # drawn again, from all
@@ -175,7 +178,7 @@ def canonical(key: bytes, kind: str, entity: str, draw: int) -> str:
 
 
 def _given(word: str, title: str) -> str:
-    return f"{GENDER.get(word, title)}:{word.lower()}"
+    return f"{GENDER.get(word, GENDER.get(word.capitalize(), title))}:{word.lower()}"
 
 
 def _lines(text: str) -> Iterator[tuple[int, int]]:
@@ -203,8 +206,9 @@ def entities(text: str | None) -> list[tuple[str, str, int, int]]:
         *first, last = words
         for m, kind, entity in [(m, "given", _given(m[0], title)) for m in first] + [(last, "surname", last[0].lower())]:
             found.append((kind, entity, at + m.start(), at + m.end()))
-            if len(m[0]) > 2 and m[0] not in ORDINARY:
-                people.setdefault(m[0], (kind, entity))
+            if len(m[0]) > 2 and m[0].capitalize() not in ORDINARY:
+                for word in {m[0], m[0].upper(), m[0].capitalize() if m[0].isupper() else m[0]}:
+                    people.setdefault(word, (kind, entity))
 
     for m in (m for a, b in _lines(text) for m in PATTERN.finditer(text, a, b)):
         kind = next(k for k in _KINDS if m[k])
@@ -217,8 +221,9 @@ def entities(text: str | None) -> list[tuple[str, str, int, int]]:
         if words[0][0][0].isupper():
             person(words, TITLES[m["title"]], m.start("who"))
     for m in _PAIR.finditer(text):
-        if m[1] in GENDER:
-            person(list(_WORD.finditer(f"{m[1]} {m[2]}")), GENDER[m[1]], m.start())
+        given = m[1].capitalize() if m[1].isupper() and m[2].isupper() and m[1].capitalize() not in ORDINARY else m[1]
+        if given in GENDER and m[1] != m[2]:  # a word repeated is no name
+            person(list(_WORD.finditer(f"{m[1]} {m[2]}")), GENDER[given], m.start())
     if people:  # the same person once more, without a title
         for m in _ALONE.finditer(text):
             spans = [m.span()] if m[0] in people else [p.span() for p in _PART.finditer(text, *m.span()) if p[0] in people]
