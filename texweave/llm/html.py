@@ -16,6 +16,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -235,13 +236,16 @@ def _stop_share(text: str) -> float:
     return sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / len(words)
 
 
-def _nearer(blocks: list[tuple], label: list[bool | None], k: int, before: int | None, after: int | None) -> bool:
-    """Whether a short paragraph or list entry between a good and a bad neighbour is the article's: it has few links, and the bad one is bad by its own place or no nearer, in characters."""
+def _nearer(blocks: list[tuple], ends: list[int], label: list[bool | None], k: int, before: int | None, after: int | None) -> bool:
+    """Whether a short paragraph or list entry between a good and a bad neighbour is the article's: it has few links, and the bad one is bad by its own place or no nearer, in characters.
+
+    ``ends`` are the characters of all blocks up to and with each, so any distance is one difference.
+    """
     if blocks[k][1] > MOST_LINKED * len(blocks[k][0]):
         return False
     if any(blocks[j][2] for j in (before, after) if j is not None and not label[j]):
         return True
-    gap = {label[j]: sum(len(b[0]) for b in blocks[min(j, k) + 1 : max(j, k)]) if abs(j - k) <= 32 else len(blocks) for j in (before, after) if j is not None}
+    gap = {label[j]: ends[max(j, k) - 1] - ends[min(j, k)] for j in (before, after) if j is not None}
     return gap[True] <= gap[False]
 
 
@@ -258,6 +262,7 @@ def main_text(page: str | None) -> str:
     label = [_first_pass(text, linked, bad, region > 0, stop, listed) for (text, linked, bad, region, _), stop in zip(blocks, stops, strict=True)]
     region = [r for *_, r, _ in blocks]
     any_region = any(region)
+    ends = list(accumulate(len(b[0]) for b in blocks))
     decided = [k for k, x in enumerate(label) if x is not None]
     out = list(label)
     before = None
@@ -277,7 +282,7 @@ def main_text(page: str | None) -> str:
         else:
             near = [label[j] for j in (before, nxt) if j is not None]
             heads = blocks[k][4] in _HEADING and nxt is not None and bool(label[nxt])
-            out[k] = any(near) and (all(near) or heads or blocks[k][4] in ("p", "li") and _nearer(blocks, label, k, before, nxt))
+            out[k] = any(near) and (all(near) or heads or blocks[k][4] in ("p", "li") and _nearer(blocks, ends, label, k, before, nxt))
     if any_region:  # a page that marks its article has nothing of it outside
         out = [bool(x and r) for x, r in zip(out, region, strict=True)]
     if not any(out):
