@@ -88,6 +88,12 @@ def zone_arrays(tokens: Column) -> Column:
     return F.transform(F.array(F.struct(tokens.alias("t"), bounds.alias("at"))), between)[0]
 
 
+def zone_texts(tokens: Column) -> Column:
+    """The units of every zone of typed tokens, joined by spaces, as an array: units hold no white space."""
+    marked = F.array_join(F.transform(tokens, lambda t: F.when(t["frozen"], F.lit("\n")).otherwise(t["token"])), " ")
+    return F.filter(F.transform(F.split(marked, "\n"), lambda z: F.btrim(z, F.lit(" "))), lambda z: z != "")
+
+
 def zones(rows: DataFrame, key: str, text: str) -> DataFrame:
     """key, start and units of every zone of the texts. Nothing is exchanged."""
     each = rows.select(key, typed(F.col(text)).alias("_t")).select(key, F.explode(zone_arrays(F.col("_t"))).alias("z"))

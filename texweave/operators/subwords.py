@@ -30,6 +30,7 @@ PAD, UNK, BOS, EOS = range(4)
 _COMMAND = re.compile(r"\\[a-zA-Z]+")
 PAIRS_AT_ONCE = 64  # best pairs that the driver sees at a time
 PIECES_KEPT = 100_000  # encoded runs that a task remembers
+ROWS_AT_ONCE = 64  # rows of a batch that are Python values at the same time
 
 
 @dataclass
@@ -56,6 +57,16 @@ def token_counts(typed: DataFrame) -> DataFrame:
     return typed.groupBy("token", "ttype").agg(F.count("*").alias("n"))
 
 
+def corpus_counts(rows: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+    """``token_counts`` and ``zone_counts`` of the texts, which are lexed once for both; the counts are checkpointed."""
+    lexed = rows.select(markup.typed(F.col(text)).alias("_t"))
+    token = F.transform("_t", lambda t: F.struct(t["token"].alias("token"), t["ttype"].alias("ttype"), F.lit(None).cast("string").alias("zone")))
+    zone = F.transform(markup.zone_texts(F.col("_t")), lambda z: F.struct(F.lit(None).cast("string").alias("token"), F.lit(None).cast("string").alias("ttype"), z.alias("zone")))
+    each = lexed.select(F.explode(F.concat(token, zone)).alias("x")).select("x.*")
+    counted = checkpoint(each.groupBy("token", "ttype", "zone").agg(F.count("*").alias("n")))
+    return counted.where("zone is null").drop("zone"), counted.where("zone is not null").select(F.split("zone", " ").alias("units"), F.col("n").alias("freq"))
+
+
 def frequent_commands(counted: DataFrame, least: int = 2, most: int = 512) -> DataFrame:
     """token and n of the most frequent commands among counted tokens."""
     found = counted.where("ttype in ('COMMAND', 'ESCAPED', 'LINEBREAK')").groupBy("token").agg(F.sum("n").alias("n"))
@@ -230,6 +241,12 @@ def _run_encoder(ids: dict[str, int], ranks: dict[tuple[str, str], int]) -> Call
     return found
 
 
+def _stretches(columns: tuple[pa.Array, ...]) -> Iterator[list[list]]:
+    """The columns of a batch as lists of Python values, ``ROWS_AT_ONCE`` rows at a time."""
+    for at in range(0, len(columns[0]) or 1, ROWS_AT_ONCE):
+        yield [c.slice(at, ROWS_AT_ONCE).to_pylist() for c in columns]
+
+
 def encode(rows: DataFrame, key: str, text: str, vocabulary: Vocabulary, most: int | None = None, special: bool = True) -> DataFrame:
     """key and ids of each text. A cut at ``most`` may lose the end mark. Texts are lexed in place; nothing is exchanged."""
     shared = rows.sparkSession.sparkContext.broadcast((vocabulary.ids, {pair: k for k, pair in enumerate(vocabulary.merges)}))  # a vocabulary
@@ -251,7 +268,8 @@ def encode(rows: DataFrame, key: str, text: str, vocabulary: Vocabulary, most: i
             return (out + [EOS] * special)[:most]
 
         for batch in batches:
-            yield pa.array([one(*(x.as_py() or [] for x in row)) for row in zip(*batch, strict=True)], pa.list_(pa.int32()))
+            for columns in _stretches(batch):
+                yield pa.array([one(*(x or [] for x in row)) for row in zip(*columns, strict=True)], pa.list_(pa.int32()))
 
     lexed = rows.select(key, markup.typed(F.col(text)).alias("_t"))
     return lexed.select(key, F.arrow_udf(encoded, "array<int>")(F.col("_t.token"), F.col("_t.frozen"), F.col("_t.ttype")).alias("ids"))

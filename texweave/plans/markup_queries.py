@@ -8,7 +8,7 @@ from ..functions import markup, text as T
 from ..operators import joins, profiles, subwords
 from ..sources.readers import table
 from .registry import query
-from .views import LATEX_SQL, latex
+from .views import LATEX_SQL, latex, spread_latex
 
 _TOKENS = rf"""(select idx, unnest(range(0, len(t))) as pos, unnest(t) as raw from (select idx, regexp_extract_all(
   regexp_replace(latex, '(\\(?:begin|end)\{{)pmatrix(\}})', '\1' || chr(1) || '\2', 'g'),
@@ -124,12 +124,11 @@ MERGES = 64
 
 
 def _vocabulary(spark, sf_dir):
-    rows = latex(spark, sf_dir)
-    counted = subwords.token_counts(markup.token_rows(rows, "idx", "latex")).cache()
+    rows = spread_latex(spark, sf_dir)
+    counted, zones = subwords.corpus_counts(rows, "latex")
     commands = [r.token for r in subwords.frequent_commands(counted).collect()]  # at most 512
     numbers = [r.token for r in subwords.number_slots(counted, 256).collect()]
-    counted.unpersist()
-    merges = subwords.learn_merges(subwords.zone_counts(markup.zones(rows, "idx", "latex")), MERGES)
+    merges = subwords.learn_merges(zones, MERGES)
     return rows, subwords.extend(subwords.base_tokens(commands), numbers, merges, 2048)
 
 
