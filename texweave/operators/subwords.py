@@ -296,8 +296,9 @@ def encode_pieces(rows: DataFrame, key: str, text: str, vocabulary: Vocabulary)
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         units = _run_encoder(*shared.value)
         for batch in batches:
-            found = ([i for t in x or [] for i in units(tuple(t))] for x in batch.to_pylist())
-            yield pa.array([[BOS, *ids, EOS] for ids in found], pa.list_(pa.int32()))
+            for (texts,) in _stretches((batch,)):
+                found = ([i for t in x or [] for i in units(tuple(t))] for x in texts)
+                yield pa.array([[BOS, *ids, EOS] for ids in found], pa.list_(pa.int32()))
 
     return rows.select(key, F.arrow_udf(encoded, "array<int>")(tokens(stripped(F.col(text)), PRE_TOKEN)).alias("ids"))
 

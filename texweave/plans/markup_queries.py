@@ -83,22 +83,22 @@ def detokenized(spark, sf_dir):
 
 @query(f"select idx, pos, token, ttype, ttype not in ('LETTER', 'GREEK_UC', 'GREEK_LC', 'OTHER') as frozen from {_TYPED}")
 def lexer_tokens(spark, sf_dir):
-    return markup.token_rows(latex(spark, sf_dir), "idx", "latex")
+    return markup.token_rows(spread_latex(spark, sf_dir), "idx", "latex")
 
 
 @query(f"select ttype, count(*) as n from {_TYPED} group by ttype")
 def token_type_counts(spark, sf_dir):
-    return markup.token_rows(latex(spark, sf_dir), "idx", "latex").groupBy("ttype").agg(F.count("*").alias("n"))
+    return markup.token_rows(spread_latex(spark, sf_dir), "idx", "latex").groupBy("ttype").agg(F.count("*").alias("n"))
 
 
 @query(f"select units, count(*) as freq from {_ZONES} group by units")
 def bpe_zones(spark, sf_dir):
-    return subwords.zone_counts(markup.zones(latex(spark, sf_dir), "idx", "latex"))
+    return subwords.zone_counts(markup.zones(spread_latex(spark, sf_dir), "idx", "latex"))
 
 
 @query(f"select token, count(*) as n from {_TYPED} where ttype = 'NUMBER' group by token having count(*) >= 2 order by n desc, token limit 32")
 def number_freq(spark, sf_dir):
-    return subwords.number_slots(subwords.token_counts(markup.token_rows(latex(spark, sf_dir), "idx", "latex")), 128)
+    return subwords.number_slots(subwords.token_counts(markup.token_rows(spread_latex(spark, sf_dir), "idx", "latex")), 128)
 
 
 @query(rf"""with w as (select string_split_regex(regexp_replace(lower(text), '[^a-z ]', ' ', 'g'), ' +') as w from benchmark),
@@ -139,7 +139,7 @@ def encode_ids(spark, sf_dir):
 
 
 def _pieces(spark, sf_dir):
-    rows = latex(spark, sf_dir)
+    rows = spread_latex(spark, sf_dir)
     counted = subwords.piece_counts(rows, "latex").cache()
     vocabulary = subwords.piece_vocabulary(counted)
     counted.unpersist()
@@ -168,7 +168,7 @@ def decode_roundtrip(spark, sf_dir):
 @query(rf"select idx, regexp_extract_all(latex, '\\begin|\\frac|\\sum|\\sqrt|pmatrix|10|[\s\S]') as parts from {LATEX_SQL}")
 def longest_match(spark, sf_dir):
     tokens = ["\\begin", "\\frac", "\\sum", "\\sqrt", "pmatrix", "10", "1", "\\"]
-    return latex(spark, sf_dir).select("idx", subwords.longest_match(F.col("latex"), tokens).alias("parts"))
+    return spread_latex(spark, sf_dir).select("idx", subwords.longest_match(F.col("latex"), tokens).alias("parts"))
 
 
 @query(rf"""with t as materialized {_TYPED}, v as (select token, cast(3 + row_number() over (order by n desc, token) as integer) as id
@@ -176,7 +176,7 @@ def longest_match(spark, sf_dir):
   select idx, pos, coalesce(id, 1) as id from t left join v using (token)""")
 def vocab_lookup(spark, sf_dir):
     """A vocabulary of the corpus' own frequent tokens; rarer ones are unknown."""
-    typed = markup.token_rows(latex(spark, sf_dir), "idx", "latex")
+    typed = markup.token_rows(spread_latex(spark, sf_dir), "idx", "latex")
     frequent = profiles.top_k(typed, "token", 2044, "token").where("n > 5").collect()  # a vocabulary
     vocabulary = spark.createDataFrame([(r.token, 4 + k) for k, r in enumerate(frequent)], "token string, id int")
     return joins.lookup_ids(typed, "token", vocabulary).select("idx", "pos", "id")
@@ -209,7 +209,7 @@ def token_length_summary(spark, sf_dir):
   select cmd, cast(sum(n) as bigint) as n, sum(least(n, kept)) / sum(n) as intact from k group by cmd""")
 def command_intact(spark, sf_dir):
     parts = subwords.longest_match(F.col("latex"), ["\\begin", "\\frac", "\\sq", "\\sum", "pmatrix", "10"])
-    rows = latex(spark, sf_dir).select(T.commands(F.col("latex")).alias("commands"), parts.alias("parts"))
+    rows = spread_latex(spark, sf_dir).select(T.commands(F.col("latex")).alias("commands"), parts.alias("parts"))
     return subwords.intact_rates(rows, "commands", "parts")
 
 
@@ -263,7 +263,7 @@ _LETTERS = r"""f as (select w from (select unnest(regexp_extract_all(latex, '\\?
          coalesce(list(broken || ': ' || k order by r) filter (broken is not null and r <= 10), []) as fragments from q group by cmd""")
 def command_fragments(spark, sf_dir):
     """A vocabulary of letter pairs, with and without a backslash, breaks most commands."""
-    rows = latex(spark, sf_dir)
+    rows = spread_latex(spark, sf_dir)
     pairs = rows.select(F.explode(F.regexp_extract_all("latex", F.lit(r"\\?[a-z]{2}|[0-9]+"), F.lit(0))).alias("w")).groupBy("w").count().where("count > 1")
     tokens = [r.w for r in pairs.collect()]  # a vocabulary: some hundreds of letter pairs, and numbers
     return subwords.command_fragments(rows.select("latex", subwords.longest_match(F.col("latex"), tokens, 1000).alias("parts")), "latex", "parts")
