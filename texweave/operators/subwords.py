@@ -30,6 +30,7 @@ PAD, UNK, BOS, EOS = range(4)
 _COMMAND = re.compile(r"\\[a-zA-Z]+")
 PAIRS_AT_ONCE = 64  # best pairs that the driver sees at a time
 PIECES_KEPT = 100_000  # encoded runs that a task remembers
+CHARACTERS_AT_ONCE = 1 << 18  # characters of texts whose parts are Python values at the same time, beside one longer text
 ROWS_AT_ONCE = 64  # rows of a batch that are Python values at the same time
 
 
@@ -339,13 +340,23 @@ def _walk(text: str, root: dict) -> list[str]:
 def longest_match(text: Column, tokens: list[str], widest: int = 20) -> Column:
     """Greedy longest tokens from the left; a character that no token covers stands for itself. Null stays null.
 
-    Texts walk a trie, built once a task: what a character costs does not grow with the vocabulary.
+    Texts walk a trie, built once a task: what a character costs does not grow with the vocabulary. A batch's parts
+    leave it every ``CHARACTERS_AT_ONCE``, or after a longer text: Python never holds those of a whole batch.
     """
 
     def matched(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         root = _trie(tokens, widest)
         for batch in batches:
-            yield pa.array([None if x is None else _walk(x, root) for x in batch.to_pylist()], pa.list_(pa.string()))
+            out, size = [], 0
+            for x in batch:
+                text = x.as_py()
+                out.append(None if text is None else _walk(text, root))
+                size += len(text or "")
+                if size >= CHARACTERS_AT_ONCE:
+                    yield pa.array(out, pa.list_(pa.string()))
+                    out, size = [], 0
+            if out:
+                yield pa.array(out, pa.list_(pa.string()))
 
     return F.arrow_udf(matched, "array<string>")(text)
 
@@ -354,14 +365,15 @@ def _spans(texts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """Each command of a text with the parts that overlap it. Parts and text follow the same characters."""
     kind = pa.list_(pa.struct([("cmd", pa.string()), ("parts", pa.list_(pa.string()))]))
     for batch in texts:
-        out = []
-        for text, parts in zip(*(c.to_pylist() for c in batch), strict=True):
-            found, ends = [], list(accumulate(map(len, parts or [])))
-            for m in _COMMAND.finditer(text or ""):
-                first, last = bisect_right(ends, m.start()), bisect_left(ends, m.end())
-                found.append({"cmd": m[0], "parts": parts[first : last + 1]})
-            out.append(found)
-        yield pa.array(out, kind)
+        for columns in _stretches(batch):
+            out = []
+            for text, parts in zip(*columns, strict=True):
+                found, ends = [], list(accumulate(map(len, parts or [])))
+                for m in _COMMAND.finditer(text or ""):
+                    first, last = bisect_right(ends, m.start()), bisect_left(ends, m.end())
+                    found.append({"cmd": m[0], "parts": parts[first : last + 1]})
+                out.append(found)
+            yield pa.array(out, kind)
 
 
 def command_fragments(rows: DataFrame, text: str, parts: str, most: int = 10) -> DataFrame:
