@@ -86,8 +86,11 @@ def by_file(rows: DataFrame, path: str, file: str, order: list[str]) -> int:
 
 
 def by_shard(rows: DataFrame, path: str, keys: list[str]) -> None:
-    """Write rows under the names they came from, one folder a key."""
-    rows.repartition(*keys).write.mode("ignore").partitionBy(*keys).parquet(path)
+    """Write rows under the names they came from, one folder a key.
+
+    A key of more than the session's advisory partition size is cut into several files, each by a task of its own.
+    """
+    rows.hint("rebalance", *keys).write.mode("ignore").partitionBy(*keys).parquet(path)
 
 
 def json_rows(rows: DataFrame, path: str) -> None:
