@@ -125,6 +125,17 @@ def test_blocks_hold_what_the_counts_say(spark, tables):
         assert {r.source: (r.source_size, r.target) for r in mixing.mix_counts(table).select("source", "source_size", "target").distinct().collect()} == want
 
 
+@pytest.mark.parametrize("mix", [mixing.mix_counts, mixing.mixed_blocks])
+def test_slots_and_pieces_are_not_broadcast(spark, mix):
+    """A few long documents make many blocks, whose rows no broadcast may take through the driver."""
+    docs = spark.range(40).selectExpr("id doc_id", "concat('s', id % 4) source", "repeat(concat('w', id, ' '), 50000) text")
+    out = mix(docs)
+    out.collect()
+    plan = spark._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "formatted").partition("== Initial Plan ==")[0]
+    rows = [float(n) for n in re.findall(r"BroadcastQueryStage \(\d+\), Statistics\(.*rowCount=([^)]+)\)", plan)]
+    assert rows and max(rows) < 1000 < 40 * 50_000 / mixing.BLOCK_WORDS, rows
+
+
 def test_targets_fill_and_share_the_excess():
     assert mixing.targets([100, 100, 100], [5, 2, 1]) == pytest.approx([187.5, 75, 37.5])
     assert mixing.targets([10, 290, 0], [5, 2, 1]) == pytest.approx([30, 270, 0])

@@ -9,7 +9,9 @@ P(j mod n), P being a keyed swap-or-not permutation of 0..n-1, and meets it by a
 the index. No document is taken more often than its source is passed over, 3 times at most.
 
 The driver sees one row for each source and nothing else: a source is something that
-somebody gave a weight, and ``MOST_SOURCES`` bounds their number.
+somebody gave a weight, and ``MOST_SOURCES`` bounds their number. Spark's size estimates do
+not see that explode makes rows, so it would broadcast slots and pieces, which grow with the
+corpus, through the driver: joins on them broadcast the sources or are hinted to merge.
 """
 
 from __future__ import annotations
@@ -125,7 +127,7 @@ def slots(df: DataFrame, sources: list[Source], seed: int = 0, shard_slots: int
     drawn = checkpoint(drawn.groupBy("shard", "s").agg(F.count("*").alias("n")))
     shards = -(-count // shard_slots)
     drawn = sums_before(drawn, ["s"], "shard", "n", "c", shards)
-    known = _table(df, sources).select("s", "blocks", "quota")
+    known = F.broadcast(_table(df, sources).select("s", "blocks", "quota"))  # MOST_SOURCES rows at most
     drawn = drawn.join(known, "s").withColumn("kept", F.least(F.col("c") + F.col("n"), "quota") - F.least("c", "quota"))
     drawn = checkpoint(drawn)
     kept = drawn.where("kept > 0").select("shard", "s", F.col("c").alias("first"), F.col("kept").alias("n"))
@@ -167,7 +169,7 @@ def _taken(rows: DataFrame, seed: int, block_words: int) -> DataFrame:
     row = F.struct("_key", "doc_id", "_hash", "_id")
     cut = pieces(numbered.select("s", "size", row.alias("_row")), sources, block_words)
     times = slots(rows, sources, seed).groupBy("s", "block").agg(F.count("*").alias("times"))
-    taken = cut.join(times, ["s", "block"]).groupBy(F.col("_row._id").alias("_id")).agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    taken = cut.join(times.hint("merge"), ["s", "block"]).groupBy(F.col("_row._id").alias("_id")).agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     out = numbered.join(taken, "_id", "left")
     return out.withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))
 
@@ -205,9 +207,10 @@ def mixed_blocks(docs: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS)
         return F.transform("pieces", lambda p: F.struct(p["s"].alias("s"), p["block"].alias("block"), piece(p).alias("text"), p["words"].alias("words")))
 
     once = F.transform(F.array(F.regexp_extract_all("_text", F.lit(WORD), F.lit(0))), cut_up)[0]  # a text's words are found once
-    parts = held.join(texts, same).select("_row", F.explode(once).alias("x")).select("x.s", "x.block", F.struct("_row", "x.text", "x.words").alias("part"))
+    parts = held.hint("merge").join(texts, same).select("_row", F.explode(once).alias("x")).select("x.s", "x.block", F.struct("_row", "x.text", "x.words").alias("part"))
     blocks = parts.groupBy("s", "block").agg(F.array_sort(F.collect_list("part")).alias("parts"))  # BLOCK_WORDS words at most
-    taken = slots(rows, sources, seed).join(blocks, ["s", "block"]).join(_table(rows, sources).select("s", "source"), "s")
+    taken = slots(rows, sources, seed).hint("merge").join(blocks, ["s", "block"])
+    taken = taken.join(F.broadcast(_table(rows, sources).select("s", "source")), "s")
     order = W.partitionBy("shard").orderBy(F.xxhash64("s", "j", F.lit(seed)), "s", "j")
     text = F.array_join("parts.text", " ").alias("text")
     n = F.aggregate("parts.words", F.lit(0).cast("long"), lambda a, w: a + w).alias("n_words")
