@@ -8,7 +8,7 @@ theirs, so that the totals meet the quotas. Slot j of a source with n blocks tak
 P(j mod n), P being a keyed swap-or-not permutation of 0..n-1, and meets it by a join on
 the index. No document is taken more often than its source is passed over, 3 times at most.
 
-The driver sees one row for each source and nothing else: a source is something that
+The driver collects one row for each source and nothing else: a source is something that
 somebody gave a weight, and ``MOST_SOURCES`` bounds their number. Spark's size estimates do
 not see that explode makes rows, so it would broadcast slots and pieces, which grow with the
 corpus, through the driver: joins on them broadcast the sources or are hinted to merge.
